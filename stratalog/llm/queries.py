@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, line_dedup, packing, secret_scan, sharding, simhash, token_counts, toxicity
+from . import decontamination, fingerprints, line_dedup, packing, secret_scan, sharding, simhash, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -46,7 +50,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_secret_scan, op2_simhash, op4_toxicity, op5_line_dedup, op7_sharding, op8_token_counts, op9_fingerprints, op10_packing)
+    named = (op1_secret_scan, op2_simhash, op3_decontamination, op4_toxicity, op5_line_dedup, op7_sharding, op8_token_counts, op9_fingerprints, op10_packing)
     return {f.__name__: f for f in named}
 
 

@@ -137,19 +137,17 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
     gauge = Gauge(base, content)
     x = np.array([gauge.features(t) for t in toxic_rest + plain_rest])
     y = np.array([1.0] * len(toxic_rest) + [0.0] * len(plain_rest))
-    # The sample has other shares of the classes than text at large: classes weigh the same.
     return Model(base, content, calibrate(x, y))
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, ...]:
-    """Logistic regression by Newton steps; both classes weigh the same."""
+    """Logistic regression by Newton steps."""
     a = np.column_stack([np.ones(len(x)), x])
-    share = np.where(y == 1, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum())) * len(y)
     w = np.zeros(a.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        slope = a.T @ (share * (p - y)) + ridge * w
-        step = np.linalg.solve((a * (share * p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w)), slope)
+        slope = a.T @ (p - y) + ridge * w
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w)), slope)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
