@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, line_dedup, packing, secret_scan, sharding, simhash, token_counts, toxicity
+from . import decontamination, fingerprints, line_dedup, packing, secret_scan, sharding, simhash, substring_dedup, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_page_lines(_table(spark, sf_dir, "pages"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"), 16)
 
@@ -50,7 +54,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_secret_scan, op2_simhash, op3_decontamination, op4_toxicity, op5_line_dedup, op7_sharding, op8_token_counts, op9_fingerprints, op10_packing)
+    named = (op1_secret_scan, op2_simhash, op3_decontamination, op4_toxicity, op5_line_dedup, op6_substring_dedup, op7_sharding, op8_token_counts, op9_fingerprints, op10_packing)
     return {f.__name__: f for f in named}
 
 
