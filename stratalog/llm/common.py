@@ -78,7 +78,18 @@ def gapless_rank(df: DataFrame, group: list[str], order: list[Column], out: str,
     )
 
 
-def plain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def plain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
     """Only the id and the text, under fixed names: other columns can't clash."""
-    return docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    return docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), *more)
 
+
+def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """Hash of a row's id and text, by which it is found again."""
+    return F.xxhash64(docs[id_col], docs[text_col])
+
+
+def without_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows whose key is not in ``keys`` (row_key), with all their columns."""
+    marked = docs.withColumn("__row_key", row_key(docs, id_col, text_col))
+    gone = checked_broadcast(keys.select(F.col("row_key").alias("__row_key")).distinct())
+    return marked.join(gone, "__row_key", "left_anti").drop("__row_key")

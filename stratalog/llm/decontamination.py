@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, stored
+from .common import checked_broadcast, row_key, stored
 
 WINDOW_WORDS = 5
 MIN_SIMILARITY = 0.8
@@ -107,7 +107,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = MIN_SIMILA
     made = stored(item_templates(items, "item_id", "text", size), "items")
     anchors = checked_broadcast(stored(rare_windows(made, similarity), "anchors"))
     widths = sorted(r[0] for r in made.select("width").distinct().collect())  # at most ``size`` numbers
-    rows = docs.select(F.xxhash64(docs[id_col], docs[text_col]).alias("row_key"), docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    rows = docs.select(row_key(docs, id_col, text_col).alias("row_key"), docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     hashed = rows.select("row_key", _hashed(template_words(F.col("text"))).alias("hashes"))
 
     empty = None

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain, shuffle_partitions, stored
+from .common import plain, row_key, shuffle_partitions, stored, without_rows
 from .components import connected_components
 
 SHINGLE_WORDS = 4
@@ -64,15 +64,16 @@ def simhash(text: str) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row, fp as a signed long."""
-    rows = plain(docs, id_col, text_col)
+    """(row_key, doc_id, fp) of every row: a hash of id and text, the id, and the
+    fingerprint as a signed long."""
+    rows = plain(docs.withColumn("__row_key", row_key(docs, id_col, text_col)), id_col, text_col, "__row_key")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([simhash(t) for t in batch.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("__row_key"), batch.column("doc_id"), pa.array(prints.view(np.int64))], names=["row_key", "doc_id", "fp"])
 
-    return rows.mapInArrow(made, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(made, f"row_key long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def block_masks(blocks: int, kept: int) -> list[int]:
@@ -225,7 +226,11 @@ def _and_last(batches: Iterator) -> Iterator:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of every row.
+    """doc_id, fingerprint (16 hex digits), component_id and stays of every row.
+
+    stays is true for one document of each group: the one with the group's least
+    id, and of rows with that id the one with the least hash of id and text (in
+    row_key); rows that are equal in both stay together.
 
     component_id is the least doc_id reachable by links of at most ``max_bits``
     differing bits. Null texts count as empty; documents without words have
@@ -234,14 +239,28 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty table gives none; other columns are ignored.
     """
     prints = stored(fingerprints(docs, id_col, text_col), "prints")
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
+    # Null ids come after all others.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first")
+    nodes = stored(prints.groupBy("fp").agg(first, F.count("*").alias("n")), "nodes")
     roots = connected_components(near_links(nodes, max_bits))
     labelled = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    groups = labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("n"))
+    groups = labelled.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
     # Only fingerprints of more than one document need a lookup; all others are their own.
-    several = labelled.join(groups.filter("n > 1").select("root", "component_id"), "root").select("fp", "component_id")
+    several = labelled.drop("first").join(groups.filter("n > 1").select("root", "first"), "root").select("fp", "first")
     return prints.join(several, "fp", "left").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.coalesce("component_id", "doc_id").alias("component_id"),
+        F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"),
+        "row_key",
+        (F.col("first").isNull() | (F.col("first.row_key") == F.col("row_key"))).alias("stays"),
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+    """All columns of one document of each near group."""
+    groups = stored(near_groups(docs, id_col, text_col, max_bits), "groups")
+    left = without_rows(docs, groups.filter(~F.col("stays")).select("row_key"), id_col, text_col)
+    again = groups.filter("stays").groupBy("row_key").agg(F.count("*").alias("n")).filter("n > 1")
+    if again.isEmpty():
+        return left
+    return left.withColumn("__row_key", row_key(left, id_col, text_col)).dropDuplicates(["__row_key"]).drop("__row_key")
