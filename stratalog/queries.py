@@ -1,24 +1,369 @@
-"""Queries of the history engine on the driver's tables, and their SQL."""
+"""Queries of the history engine on the driver's tables, and their SQL.
+
+Orders stand for commits, their lines for class listings (``l_returnflag = 'R'``
+is the eligibility flag), customers for sources, events for logs and timelines,
+documents for messages and errors, pages for paths and references.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .fixed import FAILURES
+from .functions.numbers import half_even, percent, ratio
+from .functions.parsing import annotation_items, mask_literals, semantic_items
+from .functions.text import dotted_prefixes, first_line, first_match, list_of, output_problem, references, strip, suffix, tex_number
+from .operators import funnel, history, listing, progress, report, upsert
+
 Query = Callable[[SparkSession, str], DataFrame]
+FOUND: dict[str, tuple[Query, str | None]] = {}
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listing rows and eligible rows of each commit (orders and lines stand in)."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return lines.groupBy("l_orderkey").agg(F.count("*").alias("n_classes"), F.count_if(F.col("l_returnflag") == "R").alias("n_eligible"))
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def registered(run: Query) -> Query:
+        FOUND[run.__name__] = (run, sql)
+        return run
+
+    return registered
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: run for name, (run, _) in FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in FOUND.items() if sql}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as rows of the commit table; pending ones stand for excluded."""
+    o = table(spark, sf_dir, "orders")
+    reason = F.when(F.col("o_orderpriority") == "1-URGENT", "excluded branch").when(F.col("o_orderpriority") == "2-HIGH", "before tag v3.0 (tag date: 2010-01-01)").when(F.col("o_orderpriority") == "3-MEDIUM", "commit message matches 'x'").when(F.col("o_orderstatus") == "P", "no .mo files").otherwise("")
+    rows = o.select(F.lit("s").alias("source_name"), F.col("o_orderkey").cast("string").alias("commit_hash"), F.col("o_orderkey").alias("seq"), reason.alias("exclusion_reason"))
+    return rows.withColumn("excluded", (F.col("exclusion_reason") != "").cast("int"))
+
+
+def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as rows of the class listing."""
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.select(F.lit("s").alias("source_name"), F.col("l_orderkey").cast("string").alias("commit_hash"), F.col("l_partkey").cast("string").alias("class_name"), (F.col("l_returnflag") == "R").cast("int").alias("is_experiment"))
+
+
+REASON = "CASE WHEN o_orderpriority = '1-URGENT' THEN 'branch' WHEN o_orderpriority = '2-HIGH' THEN 'tag' WHEN o_orderpriority = '3-MEDIUM' THEN 'bot' WHEN o_orderstatus = 'P' THEN 'files' END"
+PER_COMMIT = "SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS e FROM lineitem GROUP BY l_orderkey"
+
+
+@query("SELECT l_orderkey, count(*) AS n_classes, count(*) FILTER (l_returnflag = 'R') AS n_eligible FROM lineitem GROUP BY l_orderkey")
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.commit_counts(table(spark, sf_dir, "lineitem"), ["l_orderkey"], F.col("l_returnflag") == "R")
+
+
+@query(f"SELECT round(100 * avg(CASE WHEN n > 0 THEN e::DOUBLE / n ELSE 0 END), 9) AS ratio_mean FROM ({PER_COMMIT})")
+def per_commit_ratio_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = listing.commit_counts(classes(spark, sf_dir))
+    return counts.agg(F.round(100 * F.avg(ratio(F.col("n_eligible"), F.col("n_classes"))), 9).alias("ratio_mean"))
+
+
+@query(f"SELECT median(n)::DOUBLE AS median_n, round(avg(n), 9) AS mean_n, max(n) AS max_n FROM ({PER_COMMIT})")
+def median_files_per_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = listing.commit_counts(classes(spark, sf_dir))
+    return counts.agg(F.median("n_classes").alias("median_n"), F.round(F.avg("n_classes"), 9).alias("mean_n"), F.max("n_classes").alias("max_n"))
+
+
+@query(f"SELECT round_even(avg(n), 0)::BIGINT AS class_mean, round_even(avg(e), 0)::BIGINT AS eligible_mean, max(e) AS eligible_max FROM ({PER_COMMIT})")
+def half_even_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = listing.commit_counts(classes(spark, sf_dir))
+    return counts.agg(half_even(F.avg("n_classes")).alias("class_mean"), half_even(F.avg("n_eligible")).alias("eligible_mean"), F.max("n_eligible").alias("eligible_max"))
+
+
+@query(f"SELECT count(*) AS n FROM orders WHERE ({REASON}) IS NULL AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def retained_without_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.without_listing(commits(spark, sf_dir), classes(spark, sf_dir)).agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey::VARCHAR AS commit_hash, string_agg(DISTINCT l_returnflag, '; ' ORDER BY l_returnflag) FILTER (l_returnflag <> 'N' OR only_n) AS branches, bool_and(only_n) AS only_excluded FROM (SELECT l_orderkey, l_returnflag, bool_and(l_returnflag = 'N') OVER (PARTITION BY l_orderkey) AS only_n FROM lineitem) GROUP BY l_orderkey")
+def branch_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs = table(spark, sf_dir, "lineitem").select(F.lit("s").alias("source_name"), F.col("l_orderkey").cast("string").alias("commit_hash"), F.concat(F.lit("origin/"), "l_returnflag").alias("branch"))
+    return funnel.commit_refs(refs, ["n"]).drop("source_name")
+
+
+MESSAGES = [("the", "first"), ("und|der", "second"), (r"\bde\b", "third")]
+
+
+@query("SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)the') THEN 'first' WHEN regexp_matches(text, '(?i)und|der') THEN 'second' WHEN regexp_matches(text, '(?i)\\bde\\b') THEN 'third' ELSE 'other' END AS reason FROM documents")
+def ordered_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", first_match(F.col("text"), MESSAGES, "other").alias("reason"))
+
+
+@query("SELECT doc_id, split_part(trim(text, chr(32) || chr(9) || chr(10) || chr(13)), chr(10), 1) AS line FROM documents")
+def first_line_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", first_line(F.col("text")).alias("line"))
+
+
+@query("SELECT doc_id, length(trim(text, chr(32) || chr(9) || chr(10) || chr(13))) AS n FROM documents")
+def stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(strip(F.col("text"))).cast("long").alias("n"))
+
+
+@query(
+    "WITH names AS (SELECT p_partkey, replace(p_name, ' ', '.') AS name FROM part), items AS (SELECT DISTINCT split_part(replace(p_name, ' ', '.'), '.', 1) AS item FROM part WHERE p_partkey % 7 = 0 UNION SELECT DISTINCT replace(p_name, ' ', '.') FROM part WHERE p_partkey % 11 = 0), "
+    "hits AS (SELECT p_partkey, item, row_number() OVER (PARTITION BY p_partkey ORDER BY length(item) DESC) AS k, name FROM names JOIN items ON name = item OR starts_with(name, item || '.')) "
+    "SELECT n.p_partkey, item IS NOT NULL AS matched, CASE WHEN item IS NULL THEN 'none' WHEN item = n.name THEN 'exact' ELSE 'prefix' END AS mode, coalesce(item, '') AS matched_item FROM names n LEFT JOIN hits h ON h.p_partkey = n.p_partkey AND k = 1"
+)
+def longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select("p_partkey", F.replace(F.col("p_name"), F.lit(" "), F.lit(".")).alias("class_name"))
+    items = part.filter("p_partkey % 7 = 0").select(F.split("class_name", r"\.")[0].alias("item")).union(part.filter("p_partkey % 11 = 0").select("class_name"))
+    return listing.match_whitelist(part, items, True).drop("class_name")
+
+
+@query("SELECT p_partkey, len(string_split(p_name, ' ')) AS n, split_part(p_name, ' ', 1) AS shortest FROM part")
+def dotted_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prefixes = dotted_prefixes(F.replace(F.col("p_name"), F.lit(" "), F.lit(".")))
+    return table(spark, sf_dir, "part").select("p_partkey", F.size(prefixes).cast("long").alias("n"), F.element_at(prefixes, -1).alias("shortest"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y-%m-%d') AS day FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC) AS k FROM lineitem) WHERE k = 1")
+def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    return upsert.latest(lines, ["l_orderkey", "l_linenumber"], "l_shipdate", "l_partkey", "l_suppkey").withColumn("day", F.date_format("l_shipdate", "yyyy-MM-dd")).drop("l_shipdate")
+
+
+@query("SELECT coalesce(b.c_custkey, a.c_custkey) AS c_custkey, CASE WHEN b.c_custkey IS NULL THEN a.c_mktsegment ELSE 'new' END AS segment FROM (SELECT * FROM customer WHERE c_custkey % 3 > 0) a FULL JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) b ON a.c_custkey = b.c_custkey")
+def upsert_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    old = c.filter("c_custkey % 3 > 0").select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    new = c.filter("c_custkey % 2 = 0").select("c_custkey", F.lit("new").alias("segment"))
+    return upsert.upsert(old, new, ["c_custkey"])
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 > 0 UNION ALL SELECT c_custkey, upper(c_name) FROM customer WHERE c_custkey % 3 = 0")
+def insert_absent_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return upsert.insert_absent(c.filter("c_custkey % 3 > 0"), c.withColumn("c_name", F.upper("c_name")), ["c_custkey"])
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+def delete_obsolete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    return upsert.delete_keys(c, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+
+
+@query("SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+def latest_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", "value", "ts", "event_id")
+    return upsert.latest(events, ["user_id"], "ts", "event_id").drop("ts", "event_id")
+
+
+@query("SELECT user_id, version_index, event_type, count(*) AS n FROM (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS version_index FROM (SELECT *, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 0 ELSE 1 END AS c FROM events)) GROUP BY user_id, version_index, event_type")
+def semantic_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.runs(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type").select("user_id", "version_index", "event_type", "n")
+
+
+@query("WITH r AS (SELECT user_id, version_index, any_value(event_type) AS event_type FROM (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS version_index FROM (SELECT *, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 0 ELSE 1 END AS c FROM events)) GROUP BY user_id, version_index) SELECT user_id, version_index, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY version_index) AS previous, lead(event_type) OVER (PARTITION BY user_id ORDER BY version_index) AS next FROM r")
+def version_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = history.runs(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type")
+    return history.neighbours(found, ["user_id"], "event_type").select("user_id", "version_index", "event_type", "previous", "next")
+
+
+@query(f"WITH s AS (SELECT l_orderkey, n, d FROM ({PER_COMMIT}) JOIN (SELECT l_orderkey AS k, min(l_shipdate) AS d FROM lineitem GROUP BY l_orderkey) ON k = l_orderkey) SELECT l_orderkey, round(m, 9) AS mean FROM (SELECT l_orderkey, avg(n) OVER w AS m, count(*) OVER w AS c FROM s WINDOW w AS (ORDER BY d, l_orderkey ROWS BETWEEN 25 PRECEDING AND 24 FOLLOWING)) WHERE c = 50")
+def moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    series = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.min("l_shipdate").alias("d"))
+    return report.moving_average(series, ["d", "l_orderkey"], "n", 50).select("l_orderkey", F.round("mean", 9).alias("mean"))
+
+
+@query("SELECT page_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(replace(url, '/', '#'), '#([0-9]{1,18})', 1), lambda x: x::BIGINT))), ',') AS refs FROM pages")
+def linked_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(references(F.replace(F.col("url"), F.lit("/"), F.lit("#"))), ",").alias("refs"))
+
+
+@query("SELECT json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY ALL")
+def json_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = F.from_json("props", "k string")
+    return table(spark, sf_dir, "events").groupBy(parsed["k"].alias("k")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, lower(regexp_extract(regexp_extract(url, '([^/]*)/*$', 1), '[^/](\\.[^./]+)$', 1)) AS suffix FROM pages")
+def suffix_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", suffix(F.col("url")).alias("suffix"))
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY ALL")
+def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND l_linestatus = o_orderstatus WHERE l_returnflag = 'R'")
+def two_key_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_linestatus").alias("status"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderstatus").alias("status"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    return lines.join(orders, ["l_orderkey", "status"]).drop("status")
+
+
+@query("SELECT o_orderpriority AS label, count(*) AS n FROM orders GROUP BY ALL ORDER BY n DESC, label LIMIT 3")
+def top_n_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("label")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(3)
+
+
+@query("SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') GROUP BY ALL")
+def scope_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scope = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    return table(spark, sf_dir, "customer").join(scope, "c_custkey", "left_semi").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+
+
+
+@query("WITH o AS (SELECT doc_id, toxic FROM labels), f AS (SELECT doc_id, 1 AS whole FROM documents WHERE n_chars < 3000) SELECT CASE WHEN o.doc_id IS NULL THEN 'orphan' WHEN toxic = 1 AND whole IS NULL THEN 'missing' WHEN toxic = 0 AND whole = 1 THEN 'present' ELSE 'same' END AS state, count(*) AS n FROM o FULL JOIN f ON f.doc_id = o.doc_id GROUP BY ALL")
+def full_outer_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = F.concat(F.lit("a/"), F.col("doc_id").cast("string"))
+    rows = table(spark, sf_dir, "labels").select(F.lit("s").alias("source_name"), F.lit("c").alias("commit_hash"), F.col("doc_id").cast("string").alias("class_name"), named.alias("canonical_model_path"), F.lit("").alias("error_message"), F.col("toxic").alias("canonical_produced"))
+    files = table(spark, sf_dir, "documents").filter("n_chars < 3000").select(named.alias("path"), F.lit("end a;\n").alias("text"))
+    return listing.reconcile(rows, files).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, count(l_orderkey) AS classes, count(*) FILTER (l_returnflag = 'R') AS saved, coalesce(any_value(f), 0) AS failed FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN (SELECT l_orderkey AS k, count(*) AS f FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL) ON k = o_orderkey GROUP BY o_orderkey")
+def seed_from_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = classes(spark, sf_dir).withColumn("canonical_produced", F.col("is_experiment"))
+    failed = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'A'").select(F.lit("s").alias("source_name"), F.col("l_orderkey").cast("string").alias("commit_hash"))
+    return progress.outcome_counts(rows, failed, commits(spark, sf_dir)).select(F.col("commit_hash").cast("long").alias("o_orderkey"), "classes", "saved", "failed")
+
+
+@query(f"SELECT (SELECT count(*) FROM orders WHERE ({REASON}) IS NULL) AS commits, (SELECT count(DISTINCT l_partkey) FROM lineitem WHERE l_returnflag = 'R') AS classes, (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') AS canonical_models, (SELECT count(*) FROM lineitem WHERE l_returnflag = 'A') AS canonicalization_failures")
+def summary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = classes(spark, sf_dir)
+    made = rows.withColumns({"canonical_produced": F.col("is_experiment"), "canonical_model_path": F.lit("")})
+    failed = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'A'").select(F.lit("s").alias("source_name"))
+    return history.History(commits(spark, sf_dir), rows, made, failed).summary("s")
+
+
+@query("SELECT count(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_orderkey END) AS eligible_commits, count(DISTINCT l_orderkey) AS commits FROM lineitem")
+def distinct_when(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classes(spark, sf_dir).agg(F.count_distinct(F.when(F.col("is_experiment") == 1, F.col("commit_hash"))).alias("eligible_commits"), F.count_distinct("commit_hash").alias("commits"))
+
+
+@query(f"SELECT count(*) AS \"FilterInputCommits\", count(*) FILTER (b = 'branch') AS \"FilterExclBranches\", count(*) FILTER (b = 'tag') AS \"FilterExclPreVThree\", count(*) FILTER (b = 'bot') AS \"FilterExclBot\", count(*) FILTER (b = 'files') AS \"FilterExclNoMo\", count(*) FILTER (b IS NULL) AS \"FilterRetained\", count(*) FILTER (b IS NULL OR b <> 'branch') AS \"FilterAfterBranches\", count(*) FILTER (b IS NULL OR b NOT IN ('branch', 'tag')) AS \"FilterAfterPreVThree\", count(*) FILTER (b IS NULL OR b = 'files') AS \"FilterAfterBot\", round(100.0 * count(*) FILTER (b IS NULL) / count(*), 9) AS \"FilterRetainedPct\" FROM (SELECT {REASON} AS b FROM orders)")
+def funnel_remainders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.funnel_metrics(commits(spark, sf_dir)).withColumn("FilterRetainedPct", F.round("FilterRetainedPct", 9))
+
+
+@query(f"SELECT b AS bucket, count(*) AS n FROM (SELECT {REASON} AS b FROM orders) GROUP BY ALL")
+def reason_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = commits(spark, sf_dir)
+    return rows.groupBy(F.when(F.col("excluded") == 1, report.reason_bucket(F.col("exclusion_reason"))).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(DISTINCT l_partkey) AS \"ListDistinctClassNames\", count(*) AS \"ListAllClassVersions\", count(*) FILTER (l_returnflag <> 'R') AS \"ListNonExperimentVersions\", round(100.0 * count(*) FILTER (l_returnflag <> 'R') / count(*), 9) AS \"ListNonExperimentVersionsPct\", count(*) FILTER (l_returnflag = 'R') AS \"ListExperimentVersions\", round(100.0 * count(*) FILTER (l_returnflag = 'R') / count(*), 9) AS \"ListExperimentVersionsPct\" FROM lineitem")
+def listing_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = listing.listing_totals(classes(spark, sf_dir))
+    return row.withColumns({c: F.round(c, 9) for c in row.columns if c.endswith("Pct")})
+
+
+@query(f"SELECT round_even(avg(n), 0)::BIGINT AS \"GrowthAllClassMean\", max(n) AS \"GrowthAllClassMax\", round_even(avg(e), 0)::BIGINT AS \"GrowthExperimentMean\", max(e) AS \"ListMaxExperimentPerCommit\", round(100 * avg(e::DOUBLE / n), 9) AS \"GrowthExperimentRatioMean\" FROM ({PER_COMMIT})")
+def listing_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.growth(listing.commit_counts(classes(spark, sf_dir))).withColumn("GrowthExperimentRatioMean", F.round("GrowthExperimentRatioMean", 9))
+
+
+@query("SELECT event_type AS status, count(*) AS n FROM events GROUP BY ALL")
+def progress_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return progress.by_status(table(spark, sf_dir, "events").select(F.col("event_type").alias("status")))
+
+
+@query("SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return table(spark, sf_dir, "orders").select("o_custkey").distinct().join(gone, "o_custkey", "left_anti")
+
+
+@query(f"SELECT o_orderkey FROM orders WHERE ({REASON}) IS NULL AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'F')")
+def resume_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = table(spark, sf_dir, "lineitem").select(F.lit("s").alias("source_name"), F.col("l_orderkey").cast("string").alias("commit_hash"), F.when(F.col("l_linestatus") == "F", "complete").otherwise("processing").alias("status"))
+    return progress.remaining(commits(spark, sf_dir), done).select(F.col("commit_hash").cast("long").alias("o_orderkey"))
+
+
+@query("SELECT sha256(text) AS canonical_hash, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY ALL HAVING count(*) > 1")
+def content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = history.canonical_hash(F.col("text")).alias("canonical_hash")
+    return table(spark, sf_dir, "documents").groupBy(digest).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).filter("n > 1")
+
+
+CLASSIFIED = " ".join(f"WHEN regexp_matches(m, '(?i){p.replace(chr(39), chr(39) * 2)}') THEN '{label}'" for p, label in FAILURES)
+MESSAGE_SQL = "CASE p_partkey % 6 WHEN 0 THEN 'Class ' || p_name || ' not found in scope' WHEN 1 THEN 'restriction of ' || p_name WHEN 2 THEN 'redeclare ' || p_name WHEN 3 THEN 'base class ' || p_name || ' not found' WHEN 4 THEN 'saveTotalModel produced no output file' ELSE p_name END"
+
+
+@query(f"SELECT CASE {CLASSIFIED} ELSE 'Other' END AS label, count(*) AS n FROM (SELECT {MESSAGE_SQL} AS m FROM part) GROUP BY ALL")
+def failure_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select(F.expr(MESSAGE_SQL).alias("error_message"), F.lit(0).alias("canonical_produced"))
+    return report.failure_histogram(rows)
+
+
+@query("SELECT count(*) AS n FROM lineitem l WHERE l_returnflag = 'R' AND NOT EXISTS (SELECT 1 FROM lineitem o WHERE o.l_orderkey = l.l_orderkey AND o.l_linestatus = 'O')")
+def load_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = table(spark, sf_dir, "lineitem").filter("l_linestatus = 'O'").select(F.lit("s").alias("source_name"), F.col("l_orderkey").cast("string").alias("commit_hash"))
+    return report.load_failures(classes(spark, sf_dir), made)
+
+
+@query("SELECT l_orderkey::VARCHAR AS commit_hash, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_partkey::VARCHAR) AS classes FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey")
+def classes_by_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.classes_by_commit(classes(spark, sf_dir)).select("commit_hash", F.array_join("classes", ",").alias("classes"))
+
+
+@query("SELECT doc_id, CASE WHEN text IS NULL OR strlen(text) = 0 THEN 'canonical output is empty (0 bytes)' ELSE 'canonical output is truncated (no terminating ''end <class>;'')' END AS problem FROM documents WHERE NOT regexp_matches(text, 'end [A-Za-z_]+;')")
+def output_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").filter(~F.col("text").rlike("end [A-Za-z_]+;")).select("doc_id", output_problem(F.col("text")).alias("problem"))
+
+
+@query("SELECT o_orderkey, replace(format('{:,}', o_orderkey * 7919), ',', '{,}') AS shown, array_to_string(list_filter(string_split(o_orderpriority, '-'), lambda x: x <> ''), '|') AS parts FROM orders")
+def tex_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", tex_number(F.col("o_orderkey") * 7919).alias("shown"), F.array_join(list_of(F.col("o_orderpriority"), "-"), "|").alias("parts"))
+
+
+@query("SELECT o_custkey, round(CASE WHEN count(*) > 0 THEN 100.0 * count(*) FILTER (o_orderstatus = 'F') / count(*) ELSE 0 END, 9) AS pct FROM orders GROUP BY o_custkey")
+def guarded_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("a"), F.count("*").alias("b"))
+    return rows.select("o_custkey", F.round(percent(F.col("a"), F.col("b")), 9).alias("pct"))
+
+
+@query("SELECT l_orderkey, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS seq, l_partkey FROM lineitem")
+def ordered_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    return upsert.numbered(lines.select(*order), order).select("l_orderkey", "seq", "l_partkey")
+
+
+@query("SELECT label, lhs, rhs, lhs = rhs AS ok FROM (SELECT 'eligible + other = all' AS label, count(*) FILTER (l_returnflag = 'R') + count(*) FILTER (l_returnflag <> 'R') AS lhs, count(*) AS rhs FROM lineitem UNION ALL SELECT 'lines of orders', count(*), (SELECT count(*) FROM lineitem) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders))")
+def invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, orders = classes(spark, sf_dir), commits(spark, sf_dir).select("commit_hash")
+    total = rows.agg(F.count_if(F.col("is_experiment") == 1).alias("e"), F.count_if(F.col("is_experiment") == 0).alias("o"), F.count("*").alias("n"))
+    held = rows.join(orders, "commit_hash", "left_semi").agg(F.count("*").alias("held"))
+    row = total.crossJoin(held)  # one row each
+    found = F.array(F.struct(F.lit("eligible + other = all").alias("label"), (F.col("e") + F.col("o")).alias("lhs"), F.col("n").alias("rhs")), F.struct(F.lit("lines of orders").alias("label"), F.col("held").alias("lhs"), F.col("n").alias("rhs")))
+    return row.select(F.explode(found).alias("c")).select("c.*", (F.col("c.lhs") == F.col("c.rhs")).alias("ok"))
+
+
+@query()
+def annotation_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of annotation texts made of part names; balanced parsing is beyond SQL."""
+    text = F.format_string('annotation(version="%s", experiment(StopTime=%s), __Other_%s = "a, b)", __OpenModelica_x = 1)', F.col("p_name"), F.col("p_size").cast("string"), F.col("p_partkey").cast("string"))
+    items = table(spark, sf_dir, "part").select("p_partkey", annotation_items(text).alias("items"), F.length(mask_literals(text)).alias("masked_chars"))
+    return items.withColumn("kept", semantic_items(F.col("items")))
+
+
+@query(
+    "SELECT doc_id, n_chars, CASE WHEN source = 'src0' THEN 'excluded branch' WHEN n_chars < 300 THEN 'before tag v1 (tag date: 2020-01-01)' WHEN regexp_matches(lower(trim(split_part(trim(text, chr(32) || chr(10)), chr(10), 1))), '\\bupdate\\s+version\\b') THEN 'commit message matches ''\\bUpdate\\s+version\\b''' WHEN n_chars % 3 = 0 THEN 'no .mo files' ELSE '' END AS exclusion_reason FROM documents"
+)
+def funnel_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The funnel over documents as commits: sources are branches, short texts are old."""
+    docs = table(spark, sf_dir, "documents")
+    key = [F.lit("s").alias("source_name"), F.col("doc_id").cast("string").alias("commit_hash")]
+    when = F.when(F.col("n_chars") < 300, F.lit(datetime(2019, 1, 1))).otherwise(F.lit(datetime(2021, 1, 1)))
+    raw = docs.select(*key, F.col("doc_id").alias("seq"), F.lit("").alias("author_name"), F.lit("").alias("author_email"), when.alias("authored_ts"), when.alias("committed_ts"), F.col("text").alias("message"))
+    refs = docs.select(*key, F.concat(F.lit("origin/"), "source").alias("branch"))
+    diffs = docs.select(*key, F.when(F.col("n_chars") % 3 == 0, "a.c").otherwise("a.mo").alias("a_path"), F.lit("b.c").alias("b_path"))
+    found = funnel.funnel(raw, refs, diffs, ["SRC0"], "v1", datetime(2020, 1, 1))
+    return found.withColumn("doc_id", F.col("commit_hash").cast("long")).join(docs.select("doc_id", "n_chars"), "doc_id").select("doc_id", "n_chars", "exclusion_reason")
