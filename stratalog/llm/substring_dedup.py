@@ -9,6 +9,9 @@ the suffixes of its segments by the difference cover modulo 3: it sorts the
 sampled triples, recurses on their names, sorts the remaining suffixes by the
 names that follow them, merges, and compares the prefixes of neighbours.
 
+A place whose segments are too many to be sorted in memory (the texts around a
+passage of a great many documents) is decided by window hashes instead.
+
 The recursion ends once names stand for more bytes than a window has; what a
 name leaves undecided then no window can see.
 """
@@ -16,7 +19,7 @@ name leaves undecided then no window can see.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +40,17 @@ HOT = 1000
 #: Bytes of segments that are sorted at a time, and gram positions anchored at a time.
 SORTED_BYTES = 1 << 20
 CHUNK = 1 << 22
+#: Windows whose hashes are compared at a time where a place is too large to be sorted.
+HASHED_WINDOWS = 1 << 21
 #: Segments that a task remembers having sent.
 SENT = 200_000
 
-#: Odd multipliers of the gram hash.
+#: Odd multipliers: of the gram hash, and bases of the window hashes.
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 PLACE = (1 << 24) - 1
+#: Numbers that stand for bytes in window hashes.
+BYTES = np.array([xxhash.xxh64_intdigest(bytes([b])) for b in range(256)], dtype=np.uint64)
 
 
 def anchors(raw: bytes, length: int = LENGTH) -> np.ndarray:
@@ -152,6 +160,44 @@ def repeated_starts(segments: list[bytes], length: int = LENGTH) -> list[np.ndar
     return [twice[base : base + max(0, size - length + 1)] for base, size in zip(bases.tolist(), sizes.tolist(), strict=True)]
 
 
+def window_hashes(text: np.ndarray, length: int, base: int) -> np.ndarray:
+    """Polynomial hash of each window, from running sums modulo 2**64."""
+    with np.errstate(over="ignore"):
+        powers = np.full(len(text) + 1, base, dtype=np.uint64)
+        powers[0] = 1
+        powers = np.multiply.accumulate(powers)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(BYTES[text] * powers[:-1])])
+        # Raised to one power, windows compare wherever they start.
+        return (sums[length:] - sums[:-length]) * powers[: len(sums) - length][::-1]
+
+
+def repeated_by_hash(segments: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
+    """As ``repeated_starts`` for any amount of text: 128 bits of hash a window,
+    compared in rounds by a share of the hashes each, so that memory stays bounded."""
+    counts = [max(0, len(s) - length + 1) for s in segments]
+    flags = [np.zeros(n, dtype=bool) for n in counts]
+    rounds = sum(counts) // HASHED_WINDOWS + 1
+    for turn in range(rounds):
+        parts: list[tuple[np.ndarray, ...]] = []
+        for k, segment in enumerate(segments):
+            if counts[k]:
+                text = np.frombuffer(segment, dtype=np.uint8)
+                first = window_hashes(text, length, BASES[0])
+                # The power that all windows of a segment are raised to depends on its size.
+                first *= np.uint64(pow(BASES[0], (1 << 16) - len(segment), 1 << 64))
+                own = np.flatnonzero(((first >> np.uint64(40)) % np.uint64(rounds)) == np.uint64(turn))
+                second = window_hashes(text, length, BASES[1])[own] * np.uint64(pow(BASES[1], (1 << 16) - len(segment), 1 << 64))
+                parts.append((first[own], second, np.full(len(own), k), own))
+        if parts:
+            a, b, k, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((b, a))
+            same = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
+            twice = order[np.append(same, False) | np.append(False, same)]
+            for which, place in zip(k[twice].tolist(), at[twice].tolist(), strict=True):
+                flags[which][place] = True
+    return flags
+
+
 def _signed(digest: int) -> tuple[int, int]:
     return (digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63)
 
@@ -225,35 +271,44 @@ def _sort_places(segments: DataFrame) -> DataFrame:
     rows = segments.filter("bytes is not null").select("place", "s1", "s2", "bytes")
     dealt = rows.repartition(4 * shuffle_partitions(segments.sparkSession), "place").sortWithinPartitions("place", "s1", "s2")
 
-    def decided(held: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    def decided(held: list[tuple[int, int, int, bytes]], by: Callable[[list[bytes]], list[np.ndarray]]) -> pa.RecordBatch:
         out: list[list] = [[], [], [], []]
-        for (_, s1, s2, _), twice in zip(held, repeated_starts([h[3] for h in held]), strict=True):
+        for (_, s1, s2, _), twice in zip(held, by([h[3] for h in held]), strict=True):
             edges = np.flatnonzero(np.diff(np.concatenate([[False], twice, [False]]).astype(np.int8)))
             if edges.size:
                 for column, value in zip(out, (s1, s2, edges[::2].tolist(), edges[1::2].tolist()), strict=True):
                     column.append(value)
         return _batch(out, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())), ["s1", "s2", "starts", "ends"])
 
-    def swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, bytes]] = []  # places of more than one segment
-        place: list[tuple[int, int, int, bytes]] = []  # the place under way
-        size = 0
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, int, bytes]]]:
+        """The different segments of each place that has more than one."""
+        place: list[tuple[int, int, int, bytes]] = []
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("place", "s1", "s2", "bytes")), strict=True):
                 if place and row[0] != place[0][0]:
                     if len(place) > 1:
-                        held += place
-                        size += sum(len(p[3]) + 1 for p in place)
+                        yield place
                     place = []
-                    if size >= SORTED_BYTES:
-                        yield decided(held)
-                        held, size = [], 0
                 if not place or row[1:3] != place[-1][1:3]:
                     place.append(row)
         if len(place) > 1:
+            yield place
+
+    def swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, int, bytes]] = []
+        size = 0
+        for place in places(batches):
+            more = sum(len(p[3]) + 1 for p in place)
+            if more > SORTED_BYTES:
+                yield decided(place, repeated_by_hash)
+                continue
+            if size + more > SORTED_BYTES:
+                yield decided(held, repeated_starts)
+                held, size = [], 0
             held += place
+            size += more
         if held:
-            yield decided(held)
+            yield decided(held, repeated_starts)
 
     return dealt.mapInArrow(swept, "s1 long, s2 long, starts array<long>, ends array<long>")
 
