@@ -37,8 +37,11 @@ REACH = 256
 CONTEXT = LENGTH - REACH
 #: Occurrences beyond which a window's second anchor tells places apart as well.
 HOT = 1000
-#: Bytes of segments that are sorted at a time, and gram positions anchored at a time.
+#: Bytes of the largest place that is sorted.
 SORTED_BYTES = 1 << 20
+#: Bytes of small places that are sorted together: few enough for a core's cache.
+TOGETHER_BYTES = 1 << 17
+#: Gram positions anchored at a time.
 CHUNK = 1 << 22
 #: Windows whose hashes are compared at a time where a place is too large to be sorted.
 HASHED_WINDOWS = 1 << 21
@@ -106,7 +109,7 @@ def difference_cover_order(s: np.ndarray, covered: int, most: int) -> np.ndarray
     two = np.arange(2, n, 3)
     sampled = np.concatenate([one, two])
     triples = (pad[sampled] << 2 * width) | (pad[sampled + 1] << width) | pad[sampled + 2]
-    order = np.argsort(triples, kind="stable")
+    order = np.argsort(triples)
     ranked = triples[order]
     names = np.empty(len(sampled), dtype=np.int64)
     names[order] = np.cumsum(np.append(1, ranked[1:] != ranked[:-1]))
@@ -120,13 +123,14 @@ def difference_cover_order(s: np.ndarray, covered: int, most: int) -> np.ndarray
 
     zero = np.arange(0, n, 3)
     by_one = (pad[zero] << width) | rank[zero + 1]
-    sort = np.argsort(by_one, kind="stable")
+    sort = np.argsort(by_one)
     zero, by_one = zero[sort], by_one[sort]
     by_two = (pad[zero] << 2 * width) | (pad[zero + 1] << width) | rank[zero + 2]
     ones, twos = order[order % 3 == 1], order[order % 3 == 2]
     behind_two = np.searchsorted((pad[twos] << 2 * width) | (pad[twos + 1] << width) | rank[twos + 2], by_two)
     # Names that were left undecided may disagree here; such suffixes are equal as far as asked.
-    before = np.searchsorted((pad[ones] << width) | rank[ones + 1], by_one) + np.maximum.accumulate(behind_two)
+    behind_one = np.searchsorted((pad[ones] << width) | rank[ones + 1], by_one)
+    before = np.maximum.accumulate(behind_one) + np.maximum.accumulate(behind_two)
     merged = np.empty(n, dtype=np.int64)
     at = np.arange(len(zero)) + before
     taken = np.zeros(n, dtype=bool)
@@ -302,7 +306,7 @@ def _sort_places(segments: DataFrame) -> DataFrame:
             if more > SORTED_BYTES:
                 yield decided(place, repeated_by_hash)
                 continue
-            if size + more > SORTED_BYTES:
+            if held and size + more > TOGETHER_BYTES:
                 yield decided(held, repeated_starts)
                 held, size = [], 0
             held += place
