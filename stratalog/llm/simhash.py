@@ -258,7 +258,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """All columns of one document of each near group."""
-    groups = stored(near_groups(docs, id_col, text_col, max_bits), "groups")
+    return keep_stayers(docs, near_groups(docs, id_col, text_col, max_bits), id_col, text_col)
+
+
+def keep_stayers(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that ``groups`` (row_key, stays) lets stay, each once."""
+    groups = stored(groups, "groups")
     left = without_rows(docs, groups.filter(~F.col("stays")).select("row_key"), id_col, text_col)
     again = groups.filter("stays").groupBy("row_key").agg(F.count("*").alias("n")).filter("n > 1")
     if again.isEmpty():
