@@ -7,6 +7,10 @@ rarest windows are looked up, so many that a document which has the asked
 share of all windows must hold one of them. Candidates are aligned and
 measured on all windows, and the slots under placeholders must correspond: a
 value of the item stands for one value of the document throughout.
+
+A capital word that starts a sentence may be a name or not. Texts are compared
+under two rules, of which one must pass: capital words are names behind a word
+of their sentence only (NAME_WORD), or wherever they stand (ANY_NAME).
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ UNITS = (
 #: Placeholders are digits, which no other template word holds.
 NUMBER, UNIT, NAME = "0", "1", "2"
 NAME_WORD = r"(?<=[\p{Ll}\p{Nd},;:] )\p{Lu}\p{Ll}+"
+ANY_NAME = r"(?<![\p{L}\p{M}\p{Nd}])\p{Lu}\p{Ll}+"
 UNIT_WORD = rf"(?i)(?<![\p{{L}}0-9])0 (?:{UNITS})(?![\p{{L}}0-9])"
 BETWEEN = r"[^\p{L}\p{M}\p{Nd}]+"
 
@@ -50,10 +55,10 @@ def raw_words(text: Column) -> Column:
     return _words(_aligned(text))
 
 
-def template_words(text: Column) -> Column:
+def template_words(text: Column, names: str = NAME_WORD) -> Column:
     """Lower-cased words with numbers, units and names as placeholders."""
     numbered = F.regexp_replace(F.regexp_replace(_aligned(text), "[0-9]+", NUMBER), UNIT_WORD, f"{NUMBER} {UNIT}")
-    return _words(F.regexp_replace(F.when(text.rlike("[0-9]"), numbered).otherwise(text), NAME_WORD, NAME))
+    return _words(F.regexp_replace(F.when(text.rlike("[0-9]"), numbered).otherwise(text), names, NAME))
 
 
 def windows(hashes: Column, size: int) -> Column:
@@ -67,13 +72,13 @@ def _hashed(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def item_templates(items: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+def item_templates(items: DataFrame, id_col: str, text_col: str, size: int, names: str = NAME_WORD) -> DataFrame:
     """item_id, template, raw, wins and n of items with a window at least.
 
     Items of fewer words than a window are measured by their whole length.
     """
     text = F.coalesce(items[text_col], F.lit(""))
-    made = items.select(items[id_col].alias("item_id"), template_words(text).alias("template"), raw_words(text).alias("raw"))
+    made = items.select(items[id_col].alias("item_id"), template_words(text, names).alias("template"), raw_words(text).alias("raw"))
     made = made.filter(F.size("template") > 0).withColumn("hashes", _hashed(F.col("template")))
     width = F.least(F.size("hashes"), F.lit(size))
     sized = [F.when(width == k, windows(F.col("hashes"), k)) for k in range(1, size + 1)]
@@ -102,13 +107,23 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = MIN_SIMILA
     Null or empty texts hold nothing and are held by nothing; repeated documents
     give equal rows once; an empty table on either side gives no rows; columns
     other than id and text are ignored. Items of fewer than five words must
-    occur as a whole.
+    occur as a whole. Of two rules that pass, the one with the fewest
+    changed values is told.
     """
-    made = stored(item_templates(items, "item_id", "text", size), "items")
+    ruled = [_leaks_by(names, docs, items, similarity, consistent, size, id_col, text_col) for names in (NAME_WORD, ANY_NAME)]
+    told = [c for c in ruled[0].columns if c not in ("row_key", "item_id")]
+    best = F.min(F.struct("n_changed", "rule", "shift", *[c for c in told if c not in ("n_changed", "rule", "shift")])).alias("best")
+    found = ruled[0].unionByName(ruled[1]).groupBy("row_key", "item_id").agg(best).select("row_key", "item_id", "best.*")
+    return found.select("doc_id", "item_id", "n_windows", "n_matched", "similarity", "n_slots", "n_changed", F.when(F.col("n_changed") > 0, "template").otherwise("copy").alias("kind"), "row_key")
+
+
+def _leaks_by(names: str, docs: DataFrame, items: DataFrame, similarity: float, consistent: float, size: int, id_col: str, text_col: str) -> DataFrame:
+    """Leaks under one rule of names."""
+    made = stored(item_templates(items, "item_id", "text", size, names), "items")
     anchors = checked_broadcast(stored(rare_windows(made, similarity), "anchors"))
     widths = sorted(r[0] for r in made.select("width").distinct().collect())  # at most ``size`` numbers
     rows = docs.select(row_key(docs, id_col, text_col).alias("row_key"), docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    hashed = rows.select("row_key", _hashed(template_words(F.col("text"))).alias("hashes"))
+    hashed = rows.select("row_key", _hashed(template_words(F.col("text"), names)).alias("hashes"))
 
     empty = None
     for width in widths or [size]:
@@ -120,7 +135,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = MIN_SIMILA
 
     suspects = candidates.select("row_key").distinct()
     texts = rows.join(checked_broadcast(suspects), "row_key", "left_semi").dropDuplicates(["row_key"])
-    texts = texts.select("row_key", "doc_id", template_words(F.col("text")).alias("words"), raw_words(F.col("text")).alias("raw_doc"))
+    texts = texts.select("row_key", "doc_id", template_words(F.col("text"), names).alias("words"), raw_words(F.col("text")).alias("raw_doc"))
     texts = texts.withColumn("hashes", _hashed(F.col("words")))
     sized = {k: windows(F.col("hashes"), k) for k in widths}
     texts = stored(texts.select("row_key", "doc_id", "raw_doc", "words", *[w.alias(f"wins_{k}") for k, w in sized.items()]), "suspects")
@@ -157,6 +172,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = MIN_SIMILA
         (F.col("n_matched") / F.col("n")).alias("similarity"),
         F.col("n_slots").cast("long").alias("n_slots"),
         changed.cast("long").alias("n_changed"),
-        F.when(changed > 0, "template").otherwise("copy").alias("kind"),
         "row_key",
+        "shift",
+        F.lit(0 if names == NAME_WORD else 1).alias("rule"),
     )
