@@ -6,7 +6,8 @@ template. Windows of five template words are hash-joined: of each item only its
 rarest windows are looked up, so many that a document which has the asked
 share of all windows must hold one of them. Candidates are aligned and
 measured on all windows, and the slots under placeholders must correspond: a
-value of the item stands for one value of the document throughout.
+value of the item stands for one value of the document throughout. Every place
+where a document may hold an item is examined, and one that passes is enough.
 
 A capital word that starts a sentence may be a name or not. Texts are compared
 under two rules, of which one must pass: capital words are names behind a word
@@ -107,8 +108,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = MIN_SIMILA
     Null or empty texts hold nothing and are held by nothing; repeated documents
     give equal rows once; an empty table on either side gives no rows; columns
     other than id and text are ignored. Items of fewer than five words must
-    occur as a whole. Of two rules that pass, the one with the fewest
-    changed values is told.
+    occur as a whole. Of several places that pass, the one with the fewest
+    changed values is told, then the earliest.
     """
     ruled = [_leaks_by(names, docs, items, similarity, consistent, size, id_col, text_col) for names in (NAME_WORD, ANY_NAME)]
     told = [c for c in ruled[0].columns if c not in ("row_key", "item_id")]
@@ -118,7 +119,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = MIN_SIMILA
 
 
 def _leaks_by(names: str, docs: DataFrame, items: DataFrame, similarity: float, consistent: float, size: int, id_col: str, text_col: str) -> DataFrame:
-    """Leaks under one rule of names."""
+    """Every place that passes under one rule of names."""
     made = stored(item_templates(items, "item_id", "text", size, names), "items")
     anchors = checked_broadcast(stored(rare_windows(made, similarity), "anchors"))
     widths = sorted(r[0] for r in made.select("width").distinct().collect())  # at most ``size`` numbers
@@ -129,9 +130,8 @@ def _leaks_by(names: str, docs: DataFrame, items: DataFrame, similarity: float,
     for width in widths or [size]:
         spread = hashed.select("row_key", F.posexplode(windows(F.col("hashes"), width)).alias("pos", "win")).withColumn("width", F.lit(width))
         empty = spread if empty is None else empty.unionByName(spread)
-    met = empty.join(anchors, ["win", "width"]).groupBy("row_key", "item_id", (F.col("pos") - F.col("at")).alias("shift")).agg(F.count("*").alias("n"))
-    candidates = met.groupBy("row_key", "item_id").agg(F.max(F.struct("n", (-F.col("shift")).alias("back"))).alias("best"))
-    candidates = stored(candidates.select("row_key", "item_id", (-F.col("best.back")).alias("shift")), "candidates")
+    met = empty.join(anchors, ["win", "width"]).select("row_key", "item_id", (F.col("pos") - F.col("at")).alias("shift"))
+    candidates = stored(met.groupBy("row_key", "item_id").agg(F.sort_array(F.collect_set("shift")).alias("shifts")), "candidates")
 
     suspects = candidates.select("row_key").distinct()
     texts = rows.join(checked_broadcast(suspects), "row_key", "left_semi").dropDuplicates(["row_key"])
@@ -141,15 +141,19 @@ def _leaks_by(names: str, docs: DataFrame, items: DataFrame, similarity: float,
     texts = stored(texts.select("row_key", "doc_id", "raw_doc", "words", *[w.alias(f"wins_{k}") for k, w in sized.items()]), "suspects")
     pairs = candidates.join(texts, "row_key").join(checked_broadcast(made), "item_id")
     own = F.coalesce(*[F.when(F.col("width") == k, F.col(f"wins_{k}")) for k in widths]) if widths else F.array().cast("array<bigint>")
-    pairs = pairs.select("row_key", "doc_id", "item_id", "n", "width", "shift", "wins", "template", "raw", "raw_doc", own.alias("own"))
+    pairs = pairs.select("row_key", "doc_id", "item_id", "n", "width", "shifts", "wins", "template", "raw", "raw_doc", own.alias("own"))
+
+    # How many windows the document has does not depend on the place.
+    pairs = pairs.withColumn("n_matched", F.size(F.filter("wins", lambda w: F.array_contains("own", w))))
+    pairs = pairs.filter(F.col("n_matched") >= F.lit(similarity) * F.col("n") - 1e-9).withColumn("shift", F.explode("shifts"))
 
     def place(win: Column, j: Column) -> Column:
-        """Where a window stands in the document: along the alignment, else first; -1 if nowhere."""
+        """Where a window stands in the document: along the alignment, else nearest to it; -1 if nowhere."""
         along = F.col("shift") + j
-        return F.when((along >= 0) & F.coalesce(F.get("own", along) == win, F.lit(False)), along).otherwise((F.array_position("own", win) - 1).cast("int"))
+        spots = F.filter(F.transform("own", lambda w, i: F.when(w == win, F.struct(F.abs(i - along).alias("off"), i.alias("i")))), lambda x: x.isNotNull())
+        return F.when((along >= 0) & F.coalesce(F.get("own", along) == win, F.lit(False)), along).otherwise(F.coalesce(F.array_min(spots)["i"], F.lit(-1)))
 
-    found = pairs.withColumn("places", F.transform("wins", place)).withColumn("n_matched", F.size(F.filter("places", lambda p: p >= 0)))
-    found = found.filter(F.col("n_matched") >= F.lit(similarity) * F.col("n") - 1e-9)
+    found = pairs.withColumn("places", F.transform("wins", place))
     # Words of the item under matched windows, with the document's words opposite.
     opposite = F.flatten(
         F.transform(

@@ -25,3 +25,10 @@ def test_names_at_sentence_starts(spark):
 def test_lower_case_copy_without_names(spark):
     item = "Stones roll down. Rivers run to the sea. Why do birds sing all day long"
     assert leaks(spark, [(1, item.lower())], [(1, item)]) == {(1, 1): "copy"}
+
+
+def test_copy_behind_an_altered_instance(spark):
+    altered = LIST.replace("3 apples", "4 apples").replace("3 pears", "7 pears")
+    docs = [(1, altered), (2, f"{altered}. Then {LIST}"), (3, f"{LIST}. Then {altered}")]
+    found = leaks(spark, docs, [(1, LIST)])
+    assert (1, 1) not in found and found[2, 1] == found[3, 1] == "copy"
