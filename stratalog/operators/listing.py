@@ -82,8 +82,11 @@ def match_whitelist(classes: DataFrame, items: DataFrame, allow_prefix: bool, na
 
 
 def pilot_candidates(commits: DataFrame, items: DataFrame) -> DataFrame:
-    """Every whitelist item for every commit; the whitelist is the small side."""
-    return commits.select(*COMMIT).crossJoin(F.broadcast(items.select(F.col("item").alias("class_name")).limit(WHITELIST_ROWS)))
+    """Every whitelist item for every commit; a whitelist of more than
+    ``WHITELIST_ROWS`` rows is not broadcast, but crossed by partitions."""
+    names = items.select(F.col("item").alias("class_name"))
+    few = names.limit(WHITELIST_ROWS + 1).count() <= WHITELIST_ROWS
+    return commits.select(*COMMIT).crossJoin(F.broadcast(names) if few else names)
 
 
 def canonical_path(root: str, source: Column, commit: Column, name: Column) -> Column:
