@@ -1,23 +1,30 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are fitted: one on ordinary text, and one that adds
-toxic text to it. A window of text (one word, with its borders) is compressed
-with both; the bytes that the toxic one saves are the window's gain. Windows
-whose gain reaches a threshold count, and a logistic calibration turns counts
-and gains of a whole document into a score.
-
-Dictionaries are fitted on a bounded sample of labelled rows. What goes into
-the toxic one are windows that toxic documents hold in many different contexts
-and ordinary ones hardly ever; contexts, not occurrences, so that copies count
-once. Ordinary windows that the toxic dictionary still shortens are added to
-the ordinary one, round by round, until they gain nothing.
+Two separate zstandard dictionaries are trained: one on running text of
+ordinary rows, one on running text of toxic rows. A window of running text
+(``WINDOW_WORDS`` words, one word further each time) is compressed with each;
+its gain is the number of bytes by which the toxic dictionary does better. A
+word stands in two windows, and both must gain for it to tell. A logistic
+calibration, fitted on rows that trained neither dictionary, turns the counts
+of windows beyond several thresholds into a score of the whole text.
+
+Toxic rows are ordinary text for the most part, so the dictionaries are trained
+in rounds. The first toxic dictionary is trained on all text of toxic rows.
+Each round compresses the training windows with both dictionaries: windows of
+toxic rows that gain make the next toxic dictionary, windows of ordinary rows
+that gain join the ordinary one. Compression lengths alone choose windows; no
+word is looked at.
+
+Both dictionaries are filled up to one size, so that matches cost the same in
+either, and each window follows a carrier that both hold, so that it is never
+stored uncompressed and lengths differ byte by byte.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -29,46 +36,79 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Labelled rows of each class that dictionaries and calibration are fitted on
-#: at most, and the longest text among them in bytes.
-SAMPLE_TOXIC = 2000
-SAMPLE_ORDINARY = 4000
+#: at most, and the longest text among them in bytes. Scores read whole texts.
+SAMPLE_TOXIC = 1500
+SAMPLE_ORDINARY = 3000
 SAMPLE_BYTES = 20_000
 #: One row in so many calibrates instead of fitting dictionaries.
 CALIBRATE_EVERY = 3
 
-ORDINARY_BYTES = 32_768
-TOXIC_BYTES = 8_192
-HARD_BYTES = 8_192
-HARD_ROUNDS = 4
-#: Contexts that a toxic window needs, and how many times more than in ordinary text.
-LEAST_CONTEXTS = 6
-CONTRAST = 10.0
-#: Bytes that a window must gain to count.
-LEAST_GAIN = 3
+WINDOW_WORDS = 2
+#: Words of a stretch of running text that dictionaries are trained on.
+STRETCH_WORDS = 40
+#: Size of either dictionary; half of it is trained, the rest takes ordinary windows that gained.
+DICTIONARY_BYTES = 1 << 20
+FIRST_TOXIC_BYTES = 1 << 17
+TOXIC_BYTES = 8192
+#: Segments and substrings of dictionary training, as zstandard names them k and d.
+COARSE, FINE, SUBSTRING = 64, 24, 8
+ROUNDS = 4
+#: Gain from which a window is taken up in the first round and in later ones.
+FIRST_GAIN, LATER_GAIN = 2, 1
+#: Window thresholds whose counts are calibrated, and the greatest gain that counts.
+THRESHOLDS = (1, 2, 3)
+GREATEST = 12
 
 #: Borders of words.
 WORD = re.compile(rb'[^\s.,!?;:#$%&*|"()<>\[\]{}=+/\\]+')
+#: Bytes before each window, which stand at the end of both dictionaries.
+CARRIER = bytes([*range(1, 32), *range(128, 160)])
 #: Bytes behind a window: the compressor starts no match within its last eight bytes.
 TAIL = b"q" * 12
-CACHED_WINDOWS = 400_000
+FILLER = b"~"
+CACHED_WINDOWS = 300_000
 
 
-def words(text: str) -> list[bytes]:
+def _words(text: str) -> list[bytes]:
     return WORD.findall(text.lower().encode("utf-8", "surrogatepass"))
 
 
+def windows(text: str) -> list[bytes]:
+    """Windows of running text, one word further each; one for a shorter text, none without words."""
+    found = _words(text)
+    starts = range(max(1, len(found) - WINDOW_WORDS + 1)) if found else range(0)
+    return [b" " + b" ".join(found[k : k + WINDOW_WORDS]) + b" " for k in starts]
+
+
+def stretches(text: str) -> list[bytes]:
+    found = _words(text)
+    return [b" ".join(found[k : k + STRETCH_WORDS]) for k in range(0, len(found), STRETCH_WORDS)]
+
+
 @dataclass(frozen=True)
 class Model:
-    """Dictionary contents and calibration weights."""
+    """Dictionary contents and calibration weights, the constant first."""
 
     ordinary: bytes
     toxic: bytes
     weights: tuple[float, ...]
 
 
-def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-    fit = zstandard.ZstdCompressionParameters(window_log=17, hash_log=16, chain_log=16, min_match=5, strategy=zstandard.STRATEGY_FAST, write_content_size=False, write_checksum=False, write_dict_id=False)
-    held = zstandard.ZstdCompressionDict(content or b"\n" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+def train(samples: Sequence[bytes], size: int, segment: int) -> bytes:
+    """Dictionary content trained on samples; the samples themselves if they are too few."""
+    try:
+        return zstandard.train_dictionary(size, list(samples), k=segment, d=SUBSTRING).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+def compressor(content: bytes) -> zstandard.ZstdCompressor:
+    log = DICTIONARY_BYTES.bit_length()
+    fit = zstandard.ZstdCompressionParameters(
+        window_log=log + 1, hash_log=log, chain_log=log, search_log=5, min_match=4, target_length=64, strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False
+    )
+    filled = content[:DICTIONARY_BYTES].ljust(DICTIONARY_BYTES, FILLER) + CARRIER + FILLER * len(TAIL)
+    held = zstandard.ZstdCompressionDict(filled, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     held.precompute_compress(compression_params=fit)
     return zstandard.ZstdCompressor(dict_data=held, compression_params=fit)
 
@@ -77,37 +117,47 @@ class Gauge:
     """Gains of windows under a pair of dictionaries, remembered for a while."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
-        self.plain, self.both = _compressor(ordinary), _compressor(ordinary + toxic + b"~" * 16)
+        self.ordinary, self.toxic = compressor(ordinary), compressor(toxic)
         self.known: dict[bytes, int] = {}
 
-    def gain(self, word: bytes) -> int:
-        found = self.known.get(word)
+    def gain(self, window: bytes) -> int:
+        found = self.known.get(window)
         if found is None:
             if len(self.known) >= CACHED_WINDOWS:
                 self.known.clear()
-            window = b" " + word + b" " + TAIL
-            found = self.known[word] = len(self.plain.compress(window)) - len(self.both.compress(window))
+            framed = CARRIER + window + TAIL
+            found = self.known[window] = len(self.ordinary.compress(framed)) - len(self.toxic.compress(framed))
         return found
 
-    def features(self, text: str) -> tuple[float, float, float]:
-        """Greatest gain, sum of gains and share of windows that count."""
-        found = words(text)
-        counting = [g for g in map(self.gain, found) if g >= LEAST_GAIN]
-        return (float(min(max(counting, default=0), 12)), math.log1p(sum(counting)), math.log1p(1000.0 * len(counting) / (len(found) + 20)))
-
-
-def contexts(texts: list[str]) -> Counter:
-    """Different words that each word follows."""
-    return Counter(word for _, word in {(before, word) for text in texts for found in [words(text)] for before, word in zip([b"", *found], found, strict=False)})
-
-
-def train_ordinary(texts: list[str]) -> bytes:
-    """Dictionary content trained on stretches of ordinary text."""
-    stretches = [line[k : k + 200] for line in (b" ".join(words(t)) for t in texts) for k in range(0, min(len(line), 2000), 200)]
-    try:
-        return zstandard.train_dictionary(ORDINARY_BYTES, stretches, k=64, d=6).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on: the text itself
-        return b" ".join(stretches)[-ORDINARY_BYTES:]
+    def features(self, text: str) -> list[float]:
+        """What is calibrated: the greatest gain around a word, and by threshold
+        how many words gain in both their windows, as a number and as a share."""
+        gains = np.array([self.gain(w) for w in windows(text)], dtype=np.int64)
+        if not len(gains):
+            return [0.0] * (2 + 2 * len(THRESHOLDS))
+        before, behind = (gains[:-1], gains[1:]) if len(gains) > 1 else (gains, gains)
+        counts = [int((np.minimum(before, behind) >= t).sum()) for t in THRESHOLDS]
+        summed = before + behind
+        shares = [1000.0 * c / (len(gains) + 50) for c in counts]
+        return [float(min(max(int(summed.max()), 0), GREATEST)), *(math.log1p(v) for v in (*counts, *shares)), math.log1p(int((summed >= 2 * THRESHOLDS[-1]).sum()))]
+
+
+def train_pair(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
+    """Contents of the ordinary and the toxic dictionary."""
+    base = train([s for t in ordinary for s in stretches(t)], DICTIONARY_BYTES // 2, COARSE)
+    other = train([s for t in toxic for s in stretches(t)], FIRST_TOXIC_BYTES, COARSE)
+    bad = list(dict.fromkeys(w for t in toxic for w in windows(t)))
+    good = list(dict.fromkeys(w for t in ordinary for w in windows(t)))
+    taken = b""
+    for turn in range(ROUNDS):
+        gauge, least = Gauge(taken + base, other), LATER_GAIN if turn else FIRST_GAIN
+        picked = [w for w in bad if gauge.gain(w) >= least]
+        if not picked:
+            break
+        gained = sorted(((-gauge.gain(w), w) for w in good if gauge.gain(w) >= least))
+        taken = (b"".join(w for _, w in gained) + taken)[: DICTIONARY_BYTES // 2]
+        other = train(picked, TOXIC_BYTES, FINE)
+    return taken + base, other
 
 
 def fit(toxic: list[str], ordinary: list[str]) -> Model:
@@ -115,43 +165,33 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
     toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))
     if not toxic or not ordinary:
         prior = (len(toxic) + 0.5) / (len(toxic) + len(ordinary) + 1.0)
-        return Model(b"", b"", (math.log(prior / (1 - prior)), 0.0, 0.0, 0.0))
+        return Model(b"", b"", (math.log(prior / (1 - prior)),))
 
     def split(texts: list[str]) -> tuple[list[str], list[str]]:
         own = [t for k, t in enumerate(texts) if (k + 1) % CALIBRATE_EVERY]
         return own or texts, [t for k, t in enumerate(texts) if not (k + 1) % CALIBRATE_EVERY] or texts
 
     (toxic_own, toxic_rest), (plain_own, plain_rest) = split(toxic), split(ordinary)
-    seen_toxic, seen_plain = contexts(toxic_own), contexts(plain_own)
-    scale = max(1, len(toxic_own)) / max(1, len(plain_own))
-    least = max(2, min(LEAST_CONTEXTS, len(toxic_own) // 10))
-    marked = [(n, w) for w, n in seen_toxic.items() if n >= least and n > CONTRAST * scale * (seen_plain[w] + 0.5)]
-    content = b"".join(b" " + w + b" " for _, w in sorted(marked))[-TOXIC_BYTES:]  # the most marked stand last, nearest
-    base = train_ordinary(plain_own)
-    for _ in range(HARD_ROUNDS):
-        gauge = Gauge(base, content)
-        hard = sorted((seen_plain[w], w) for w in seen_plain if gauge.gain(w) >= LEAST_GAIN - 1)
-        if not hard:
-            break
-        base = b"".join(b" " + w + b" " for _, w in hard)[-HARD_BYTES:] + base
-    gauge = Gauge(base, content)
+    pair = train_pair(toxic_own, plain_own)
+    gauge = Gauge(*pair)
     x = np.array([gauge.features(t) for t in toxic_rest + plain_rest])
     y = np.array([1.0] * len(toxic_rest) + [0.0] * len(plain_rest))
-    return Model(base, content, calibrate(x, y))
+    return Model(*pair, calibrate(x, y))
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, ...]:
-    """Logistic regression by Newton steps."""
-    a = np.column_stack([np.ones(len(x)), x])
+def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float, ...]:
+    """Logistic regression by Newton steps, on features of one scale."""
+    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    a = np.column_stack([np.ones(len(x)), (x - mean) / scale])
     w = np.zeros(a.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        slope = a.T @ (p - y) + ridge * w
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w)), slope)
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w)), a.T @ (p - y) + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
-    return tuple(float(v) for v in w)
+    slopes = np.where(x.std(axis=0) > 0, w[1:] / scale, 0.0)
+    return (float(w[0] - slopes @ mean), *(float(v) for v in slopes))
 
 
 @lru_cache(maxsize=2)
@@ -161,8 +201,9 @@ def _gauge(ordinary: bytes, toxic: bytes) -> Gauge:
 
 def score_text(model: Model, text: str) -> float:
     """Score of a whole text from 0 to 1."""
-    bias, *slopes = model.weights
-    z = bias + sum(s * v for s, v in zip(slopes, _gauge(model.ordinary, model.toxic).features(text), strict=True))
+    z, *slopes = model.weights
+    if slopes:
+        z += sum(s * v for s, v in zip(slopes, _gauge(model.ordinary, model.toxic).features(text), strict=True))
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -185,14 +226,18 @@ def fit_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """Fit on a bounded sample of labelled rows that aren't held out.
 
     Null labels and ids are passed over; of several labels of a document the
-    greatest holds.
+    greatest holds, of several texts under one id the least. The sample is
+    chosen by a hash of the id and sorted, so that the order of rows and tasks
+    does not matter; at most ``SAMPLE_TOXIC + SAMPLE_ORDINARY`` texts of
+    ``SAMPLE_BYTES`` reach the driver.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = [known.filter(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for value, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_ORDINARY))]
     wanted = F.broadcast(picked[0].unionByName(picked[1]))  # at most SAMPLE_TOXIC + SAMPLE_ORDINARY rows
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES)
-    found = sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows.join(wanted, "doc_id").limit(4 * (SAMPLE_TOXIC + SAMPLE_ORDINARY)).collect())
+    texts = rows.join(wanted, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    found = sorted((r["doc_id"], r["text"], r["toxic"]) for r in texts.collect())
     return fit([t for _, t, y in found if y == 1], [t for _, t, y in found if y == 0])
 
 
@@ -200,9 +245,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """doc_id, held_out, score and predicted (1 from 0.5) of every row.
 
     Scores depend on the text alone: null texts count as empty, repeated rows
-    get the same score, very long texts are read whole. Null ids are kept and
-    not held out; an empty table gives no rows; without labels of either class
-    all scores are the same.
+    and equal texts get the same score, very long texts are read whole. Null
+    ids are kept and not held out; an empty table gives no rows; without labels
+    of either class all scores are the same; columns other than id and text are
+    ignored, whatever their names.
     """
     model = fit_documents(docs, labels, id_col, text_col)
     scored = docs.select(docs[id_col].alias("doc_id"), held_out(docs[id_col]).alias("held_out"), toxicity(model, docs[text_col]).alias("score"))
