@@ -124,7 +124,9 @@ def pack(docs: DataFrame, window: int = 1024, vocabulary: str | None = None, id_
 
     Returns a row for each piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset. A null or empty text has the one id 0; repeated rows
-    are packed each time; null ids are kept; an empty table gives no rows.
+    are packed each time; null ids are kept; very long texts are packed whole;
+    tails of equal length are told apart by task and row, in any order; an empty
+    table gives no rows; other columns are ignored, whatever their names.
     Every sequence but the last of the greedy stream is full.
     """
     tokens = tokenise(docs, window, vocabulary or default_vocabulary(), id_col, text_col)

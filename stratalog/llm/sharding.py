@@ -52,9 +52,10 @@ def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col
 
     Columns: doc_id, size (UTF-8 bytes of the text plus 1), text_crc32, law,
     shard, slot (0, 1, ... within the shard), grown_shard (with one more shard).
-    A null text counts as empty, a null id is hashed as null; repeated rows
-    share a shard and take different slots; an empty table gives no rows; other
-    columns are ignored.
+    A null text counts as empty, a null id is hashed as null; very long texts
+    are measured whole; rows with equal ids share a shard, repeated rows too,
+    and take different slots; an empty table gives no rows; other columns are
+    ignored, whatever their names.
     """
     raw = F.coalesce(docs[text_col], F.lit("")).cast("binary")
     rows = docs.select(
@@ -65,5 +66,5 @@ def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col
         jump_shard(F.xxhash64(docs[id_col]), shards).alias("shard"),
         jump_shard(F.xxhash64(docs[id_col]), shards + 1).alias("grown_shard"),
     )
-    ranked = gapless_rank(rows, ["shard"], [F.col("doc_id"), F.col("text_crc32"), F.col("size")], "slot", buckets)
+    ranked = gapless_rank(rows, ["shard"], [F.col("doc_id"), F.col("text_crc32"), F.col("size")], "slot", buckets, [F.col("doc_id"), F.col("size")])
     return ranked.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

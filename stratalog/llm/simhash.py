@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain, row_key, shuffle_partitions, stored, without_rows
+from .common import free_name, row_key, shuffle_partitions, stored, without_rows
 from .components import connected_components
 
 SHINGLE_WORDS = 4
@@ -66,14 +66,14 @@ def simhash(text: str) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row_key, doc_id, fp) of every row: a hash of id and text, the id, and the
     fingerprint as a signed long."""
-    rows = plain(docs.withColumn("__row_key", row_key(docs, id_col, text_col)), id_col, text_col, "__row_key")
+    rows = docs.select(row_key(docs, id_col, text_col).alias("row_key"), docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([simhash(t) for t in batch.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("__row_key"), batch.column("doc_id"), pa.array(prints.view(np.int64))], names=["row_key", "doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("doc_id"), pa.array(prints.view(np.int64))], names=["row_key", "doc_id", "fp"])
 
-    return rows.mapInArrow(made, f"row_key long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(made, f"row_key string, doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def block_masks(blocks: int, kept: int) -> list[int]:
@@ -193,20 +193,24 @@ def near_links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     placed = rows.repartition(4 * shuffle_partitions(nodes.sparkSession), "k", "key").sortWithinPartitions("k", "key")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        held: list[list[np.ndarray]] = []  # batches of a bucket that may go on
         for batch in _and_last(batches):
+            done = None
             if batch is not None:
                 now = [batch.column(c).to_numpy() for c in ("fp", "t0", "t1", "k", "key")]
-                held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-                fresh = np.flatnonzero((held[3] != held[3][-1]) | (held[4] != held[4][-1]))
-                done = int(fresh[-1]) + 1 if fresh.size else 0  # the last bucket may go on
-            elif held is not None:
-                done = len(held[0])
+                other = np.flatnonzero((now[3] != now[3][-1]) | (now[4] != now[4][-1]))
+                at = int(other[-1]) + 1 if other.size else 0  # the last bucket may go on
+                if not at and held and (held[-1][3][-1] != now[3][0] or held[-1][4][-1] != now[4][0]):
+                    done, held = held, [now]
+                elif at:
+                    done, held = [*held, [c[:at] for c in now]], [[c[at:] for c in now]]
+                else:
+                    held.append(now)
             else:
-                continue
+                done = held
             if not done:
                 continue
-            part, held = [c[:done] for c in held], [c[done:] for c in held]
+            part = [np.concatenate(c) for c in zip(*done, strict=True)]
             fps = part[0].view(np.uint64)
             coordinates = np.ascontiguousarray(np.stack([part[1], part[2]], axis=1)).view(np.uint8).astype(np.int16)
             starts = np.append(True, (part[3][1:] != part[3][:-1]) | (part[4][1:] != part[4][:-1]))
@@ -235,8 +239,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     component_id is the least doc_id reachable by links of at most ``max_bits``
     differing bits. Null texts count as empty; documents without words have
     fingerprint zero and are linked like any other; null ids are kept and never
-    name a component unless all its ids are null; repeated rows repeat; an
-    empty table gives none; other columns are ignored.
+    name a component unless all its ids are null; repeated rows repeat; very
+    long texts are read whole; an empty table gives none; other columns are
+    ignored, whatever their names. Both sides of the lookup of groups are
+    shuffled from stored tables, so that Spark can split a fingerprint that a
+    large part of all rows has.
     """
     prints = stored(fingerprints(docs, id_col, text_col), "prints")
     # Null ids come after all others.
@@ -246,7 +253,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labelled = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     groups = labelled.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
     # Only fingerprints of more than one document need a lookup; all others are their own.
-    several = labelled.drop("first").join(groups.filter("n > 1").select("root", "first"), "root").select("fp", "first")
+    several = stored(labelled.drop("first").join(groups.filter("n > 1").select("root", "first"), "root").select("fp", "first"), "several")
     return prints.join(several, "fp", "left").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -268,4 +275,5 @@ def keep_stayers(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", tex
     again = groups.filter("stays").groupBy("row_key").agg(F.count("*").alias("n")).filter("n > 1")
     if again.isEmpty():
         return left
-    return left.withColumn("__row_key", row_key(left, id_col, text_col)).dropDuplicates(["__row_key"]).drop("__row_key")
+    key = free_name(left, "row_key__")
+    return left.withColumn(key, row_key(left, id_col, text_col)).dropDuplicates([key]).drop(key)
