@@ -1,8 +1,8 @@
 """Secret scan with corpus-wide ownership frequency, DataFrame functions only.
 
 Candidates are found by patterns, and each candidate value is counted over the
-corpus by distinct repositories and owners. A value that many owners have is a
-copied example; one that few owners have looks live. Pattern hits of the three
+corpus by distinct repositories and owners. A value that many owners have, or
+very many repositories, is a copied example; one that few have looks live. Pattern hits of the three
 base kinds are always reported; generic high-entropy tokens only where their
 value is owner-specific.
 """
@@ -23,13 +23,41 @@ HEX = r"[0-9a-f]{24,}"
 #: Generic tokens: long runs with a digit; letters and variety are checked after.
 TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
 TOKEN_DISTINCT_CHARS = 10
-#: Owners from which on a value counts as a widely copied example.
+#: Owners, or repositories of any owners, from which on a value counts as a widely copied example.
 EXAMPLE_OWNERS = 3
+EXAMPLE_REPOS = 50
+#: Matches whose places are summed at a time.
+BLOCK = 256
 
 KINDS = ("assign", "access", "hex", "token")
 SPAN = "struct<start:int,rank:int,end:int,kind:string,mark:bigint>"
 
 
+def _starts(steps: Column) -> Column:
+    """Places of matches from the gaps before them and their sizes.
+
+    Summed within blocks, then over blocks: an array that grows by a value at a
+    time is copied each time, which is only cheap while it is short.
+    """
+    none = F.array().cast("array<int>")
+
+    def walk(block: Column) -> Column:
+        return F.aggregate(
+            block,
+            F.struct(F.lit(0).alias("at"), none.alias("starts")),
+            lambda seen, step: F.struct((seen["at"] + step["gap"] + step["size"]).alias("at"), F.concat(seen["starts"], F.array(seen["at"] + step["gap"])).alias("starts")),
+        )
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / BLOCK).cast("int")), lambda b: walk(F.slice(steps, b * BLOCK + 1, F.lit(BLOCK))))
+    bases = F.aggregate(
+        blocks,
+        F.struct(F.lit(0).alias("at"), none.alias("bases")),
+        lambda seen, block: F.struct((seen["at"] + block["at"]).alias("at"), F.concat(seen["bases"], F.array(seen["at"])).alias("bases")),
+        lambda seen: seen["bases"],
+    )
+    return F.flatten(F.transform(F.arrays_zip(blocks.alias("block"), bases.alias("base")), lambda x: F.transform(x["block"]["starts"], lambda at: at + x["base"])))
+
+
 def spans_of(text: Column, pattern: str, rank: int, value_group: int = 0) -> Column:
     """Spans of all leftmost non-overlapping matches, in code points.
 
@@ -39,17 +67,8 @@ def spans_of(text: Column, pattern: str, rank: int, value_group: int = 0) -> Col
     between = F.transform(F.split(text, pattern, -1), F.length)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else whole
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    steps = F.arrays_zip(between.alias("gap"), F.transform(whole, F.length).alias("size"))
-    walked = F.aggregate(
-        steps,
-        begin,
-        lambda seen, step: F.struct(
-            (seen["at"] + step["gap"] + F.coalesce(step["size"], F.lit(0))).alias("at"),
-            F.concat(seen["starts"], F.array(seen["at"] + step["gap"])).alias("starts"),
-        ),
-        lambda seen: seen["starts"],
-    )
+    steps = F.transform(F.arrays_zip(between.alias("gap"), F.transform(whole, F.length).alias("size")), lambda s: F.struct(s["gap"].alias("gap"), F.coalesce(s["size"], F.lit(0)).alias("size")))
+    walked = _starts(steps)
 
     def span(hit: Column) -> Column:
         return F.struct(
@@ -102,18 +121,21 @@ def ownership(spans: DataFrame) -> DataFrame:
     return by_owner.groupBy("mark").agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
     """Spans of secrets in every row, with ownership verdicts.
 
     Columns: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live,
-    n_example. Spans read kind:start:end, ordered by start, then kind. n_live
-    and n_example count the spans whose value fewer, or at least
-    ``example_owners`` owners have. A null text counts as empty, a null owner
-    or repository is one of its own; each input row gives one row, so repeated
-    rows repeat; an empty table gives none.
+    n_example. Spans read kind:start:end, ordered by start, then kind. n_example
+    counts the spans whose value at least ``example_owners`` owners or
+    ``example_repos`` repositories have, n_live the others. A null text counts
+    as empty, a null owner or repository is one of its own; very long texts are
+    read whole; spans with one start are ordered by kind; each input row gives
+    one row, so repeated rows repeat (and count as one repository); an empty
+    table gives none; other columns are ignored, whatever their names.
     """
     spans = candidate_spans(docs, id_col, text_col, owner_col, repo_col)
-    examples = ownership(spans).filter(F.col("n_owners") >= example_owners).select("mark", F.lit(True).alias("example"))
+    wide = (F.col("n_owners") >= example_owners) | (F.col("n_repos") >= example_repos)
+    examples = stored(ownership(spans).filter(wide).select("mark", F.lit(True).alias("example")), "examples")
     single = spans.select("row", F.explode(F.concat("base", "extra")).alias("span")).select("row", "span", F.col("span.mark").alias("mark"))
     judged = single.join(checked_broadcast(examples), "mark", "left").select("row", "span", F.coalesce("example", F.lit(False)).alias("example"))
     kept = judged.groupBy("row").agg(F.collect_list(F.struct(F.col("span.start"), F.col("span.rank"), F.col("span.end"), F.col("span.kind"), F.col("example"))).alias("hits"))
