@@ -31,8 +31,8 @@ base AS ({_hits("assign", 0, secret_scan.ASSIGN, 2, "length({v}) >= 6")}
 extra AS (SELECT * FROM ({_hits("token", 3, TOKEN_RUN, 0, "regexp_matches({v}, '[0-9]') AND regexp_matches({v}, '[A-Za-z]') AND len(list_distinct(string_split({v}, ''))) >= 10")}) e
   WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = e.doc_id AND b.start < e.start + e.size AND e.start < b.start + b.size)),
 hits AS (SELECT * FROM base UNION ALL SELECT * FROM extra),
-owned AS (SELECT val, count(DISTINCT source) AS n_owners FROM hits GROUP BY val),
-judged AS (SELECT h.*, kind || ':' || start || ':' || (start + size) AS span, n_owners >= {secret_scan.EXAMPLE_OWNERS} AS example FROM hits h JOIN owned USING (val)),
+owned AS (SELECT val, count(DISTINCT source) AS n_owners, count(DISTINCT doc_id) AS n_repos FROM hits GROUP BY val),
+judged AS (SELECT h.*, kind || ':' || start || ':' || (start + size) AS span, (n_owners >= {secret_scan.EXAMPLE_OWNERS} OR n_repos >= {secret_scan.EXAMPLE_REPOS}) AS example FROM hits h JOIN owned USING (val)),
 rolled AS (SELECT doc_id,
     count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
     string_agg(span, ',' ORDER BY start, rank) FILTER (rank < 3) AS base_spans,
@@ -45,17 +45,21 @@ SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0
 FROM docs d LEFT JOIN rolled r ON r.doc_id = d.doc_id
 """
 
+#: White space around a line, as a DuckDB expression.
+BLANK = "' ' || chr(9) || chr(11) || chr(12) || chr(13)"
+
 LINES = f"""
 WITH body AS (SELECT page_id, lower(regexp_extract(coalesce(url, ''), {_quoted(line_dedup.HOST)}, 1)) AS host,
     string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), {_quoted(line_dedup.UNSEEN)}, '', 'g'),
       {_quoted(line_dedup.BLOCK)}, chr(10), 'g'), {_quoted(line_dedup.TAG)}, '', 'g'), chr(10)) AS lines FROM pages),
 sites AS (SELECT host, count(*) AS pages FROM body GROUP BY host),
 apart AS (SELECT page_id, host, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM body),
-often AS (SELECT host, trim(line) AS line FROM apart JOIN sites USING (host) WHERE trim(line) <> '' AND pages >= {line_dedup.MIN_PAGES}
-  GROUP BY host, trim(line), pages HAVING count(DISTINCT page_id) > {line_dedup.MAX_RATIO} * pages)
-SELECT a.page_id, a.host, count(*) FILTER (trim(a.line) <> '') AS n_lines, count(o.line) AS n_dropped,
-  coalesce(string_agg(a.line, chr(10) ORDER BY i) FILTER (o.line IS NULL), '') AS text
-FROM apart a LEFT JOIN often o ON o.host = a.host AND o.line = trim(a.line) GROUP BY a.page_id, a.host
+bare AS (SELECT *, trim(line, {BLANK}) AS mark FROM apart),
+often AS (SELECT host, mark FROM bare JOIN sites USING (host) WHERE mark <> ''
+  GROUP BY host, mark, pages HAVING count(DISTINCT page_id) > {line_dedup.MAX_RATIO} * pages AND count(DISTINCT page_id) >= {line_dedup.LEAST_PAGES})
+SELECT a.page_id, a.host, count(*) FILTER (a.mark <> '') AS n_lines, count(o.mark) AS n_dropped,
+  coalesce(string_agg(a.line, chr(10) ORDER BY i) FILTER (o.mark IS NULL), '') AS text
+FROM bare a LEFT JOIN often o ON o.host = a.host AND o.mark = a.mark GROUP BY a.page_id, a.host
 """
 
 ORACLES = {"op1_secret_scan": SECRETS, "op5_line_dedup": LINES}
