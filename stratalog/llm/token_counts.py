@@ -1,15 +1,17 @@
 """Token counts kept by delta-maintained rollups.
 
 Events are signed: an insert adds a document's counts, a delete subtracts
-them, a revision subtracts the old and adds the new ones. A batch is first
-summed by (source, lang, tokenizer), and its sums are committed under the
-batch's id by overwriting that id's own folder. Totals are sums over batches,
-so a replayed or half-written batch counts once, and no earlier data is read
-to commit a new batch.
+them, a revision subtracts the old and adds the new ones. A batch is summed by
+(source, lang, tokenizer) and added to the totals of the last version; the new
+totals and the ids of all batches they hold are written aside and published by
+one rename. A batch whose id the totals hold already changes nothing, so
+retries and replays count once; what was left half-written is never read. Work
+follows the batch and the number of keys, not the history.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -17,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored
+from .common import scratch_dir, stored
 from .tokenizing import default_vocabulary, token_ids
 
 KEYS = ["source", "lang", "tokenizer"]
 SUMS = ["n_docs", "n_tokens", "n_bytes"]
-DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_bytes long"
+TOTALS = "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_bytes long"
+#: Versions that stay for readers that began before a newer one was published.
+KEPT_VERSIONS = 3
 
 
 def count_tokens(docs: DataFrame, vocabulary: str | None = None, text_col: str = "text") -> DataFrame:
@@ -51,41 +55,79 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, text_col: str =
 
 
 class RollupStore:
-    """Signed sums by source, language and tokenizer, one folder per batch."""
+    """Totals by source, language and tokenizer, a folder for each version of them.
+
+    A version holds the totals and the ids of the batches in them. It appears
+    by a rename that fails if another writer has published the same number,
+    which then tries again on top of it.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def commit(self, batch_id: str, events: DataFrame) -> None:
-        """Sum a batch of signed events and put the sums under its id.
+    def _at(self, path: str):
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place, place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _versions(self) -> list[int]:
+        place, files = self._at(self.path)
+        names = [f.getPath().getName() for f in files.listStatus(place)] if files.exists(place) else []
+        return sorted(int(n[8:]) for n in names if re.fullmatch(r"version-\d+", n))
+
+    def _read(self, version: int, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/version-{version}/{name}") if version else self.spark.createDataFrame([], schema)
+
+    def commit(self, batch_id: str, events: DataFrame) -> bool:
+        """Add a batch of signed events to the totals; whether it was new.
 
         Events have ``KEYS``, ``SUMS`` and sign (1 or -1; null counts as 0, as
-        do null numbers). Null keys form groups of their own. The write is
-        atomic (job commit) and replaces what the same id held, so that a
-        retry changes nothing.
+        do null numbers). Null keys form groups of their own; other columns are
+        ignored; an empty batch only leaves its id.
         """
         signed = [F.coalesce(F.sum(F.coalesce(F.col(c), F.lit(0)) * F.coalesce(F.col("sign"), F.lit(0))), F.lit(0)).cast("long").alias(c) for c in SUMS]
-        sums = events.groupBy(*KEYS).agg(*signed).filter(" or ".join(f"{c} <> 0" for c in SUMS))
-        sums.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        delta = stored(events.groupBy(*KEYS).agg(*signed), "delta")
+        while True:
+            last = max(self._versions(), default=0)
+            batches = self._read(last, "batches", "batch string")
+            if not batches.filter(F.col("batch") == batch_id).isEmpty():
+                return False
+            total = self._read(last, "totals", TOTALS).unionByName(delta).groupBy(*KEYS).agg(*[F.sum(c).cast("long").alias(c) for c in SUMS])
+            aside = f"{self.path}/aside-{uuid.uuid4().hex}"
+            total.filter(" or ".join(f"{c} <> 0" for c in SUMS)).coalesce(1).write.parquet(f"{aside}/totals")
+            batches.unionByName(self.spark.createDataFrame([(batch_id,)], "batch string")).coalesce(1).write.parquet(f"{aside}/batches")
+            if self._publish(aside, last + 1):
+                return True
+
+    def _publish(self, aside: str, version: int) -> bool:
+        (source, files), (target, _) = self._at(aside), self._at(f"{self.path}/version-{version}")
+        if files.exists(target) or not files.rename(source, target):
+            files.delete(source, True)
+            return False
+        for old in self._versions()[:-KEPT_VERSIONS]:
+            files.delete(self._at(f"{self.path}/version-{old}")[0], True)
+        return True
 
     def totals(self) -> DataFrame:
-        """Sums over all committed batches, without keys that came to nothing."""
-        deltas = self.spark.read.schema(DELTA).option("basePath", self.path).parquet(f"{self.path}/batch=*")
-        total = deltas.groupBy(*KEYS).agg(*[F.sum(c).cast("long").alias(c) for c in SUMS])
-        return total.filter(" or ".join(f"{c} <> 0" for c in SUMS))
+        """Totals of the last version, without keys that came to nothing; empty before the first batch."""
+        return self._read(max(self._versions(), default=0), "totals", TOTALS)
 
 
 def rollup_documents(docs: DataFrame, path: str | None = None, vocabulary: str | None = None) -> DataFrame:
-    """Totals of a table that is inserted under one tokenizer and revised to another.
-
-    Batch ``load`` inserts every document with its white-space word count;
-    batch ``revise`` takes these counts back and adds those of the BPE
-    vocabulary. Both are committed, and ``revise`` once more as a retry would.
-    Returns source, lang, tokenizer, n_docs, n_tokens, n_bytes. An empty table
-    gives no rows; repeated rows count each time.
+    """Totals of a table that is counted under one tokenizer and moved to another.
+
+    Batch ``load`` inserts every document with its white-space word count, once
+    under tokenizer ``words`` and once as a first guess under the BPE
+    vocabulary; batch ``revise`` takes the guesses back and adds the real
+    counts; batch ``retire`` deletes all documents of tokenizer ``words``.
+    ``revise`` is sent once more, as a retry would. Returns source, lang,
+    tokenizer, n_docs, n_tokens, n_bytes.
+
+    Null texts count as empty; null sources and languages are groups of their
+    own; very long texts are counted whole; repeated rows count each time; an
+    empty table gives no rows; other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
-    store = RollupStore(spark, path or f"{shared_dir(spark)}/stratalog/rollup-{uuid.uuid4().hex}")
+    store = RollupStore(spark, path or f"{scratch_dir(spark)}/rollup-{uuid.uuid4().hex}")
     counted = count_tokens(docs, vocabulary).groupBy("source", "lang").agg(
         F.count("*").alias("n_docs"), F.sum("n_tokens").alias("bpe"), F.sum("n_words").alias("words"), F.sum("n_bytes").alias("n_bytes")
     )
@@ -94,7 +136,8 @@ def rollup_documents(docs: DataFrame, path: str | None = None, vocabulary: str |
     def events(tokenizer: str, column: str, sign: int) -> DataFrame:
         return counted.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), "n_docs", F.col(column).alias("n_tokens"), "n_bytes", F.lit(sign).alias("sign"))
 
-    store.commit("load", events("words", "words", 1))
+    store.commit("load", events("words", "words", 1).unionByName(events("byte_bpe_50k", "words", 1)))
     for _ in range(2):
-        store.commit("revise", events("words", "words", -1).unionByName(events("byte_bpe_50k", "bpe", 1)))
+        store.commit("revise", events("byte_bpe_50k", "words", -1).unionByName(events("byte_bpe_50k", "bpe", 1)))
+    store.commit("retire", events("words", "words", -1))
     return store.totals()
