@@ -105,9 +105,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = MIN_SIMILA
     item's windows that the document has), n_slots, n_changed (slot values, and
     those that differ in the document), kind (``copy`` or ``template``) and
     row_key (a hash of id and text by which a document is found again).
-    Null or empty texts hold nothing and are held by nothing; repeated documents
-    give equal rows once; an empty table on either side gives no rows; columns
-    other than id and text are ignored. Items of fewer than five words must
+    Null or empty texts hold nothing and are held by nothing; null ids are kept;
+    very long texts are read whole; repeated documents give equal rows once; an
+    empty table on either side gives no rows; columns other than id and text are
+    ignored, whatever their names. Items of fewer than five words must
     occur as a whole. Of several places that pass, the one with the fewest
     changed values is told, then the earliest.
     """
@@ -126,11 +127,12 @@ def _leaks_by(names: str, docs: DataFrame, items: DataFrame, similarity: float,
     rows = docs.select(row_key(docs, id_col, text_col).alias("row_key"), docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     hashed = rows.select("row_key", _hashed(template_words(F.col("text"), names)).alias("hashes"))
 
-    empty = None
-    for width in widths or [size]:
-        spread = hashed.select("row_key", F.posexplode(windows(F.col("hashes"), width)).alias("pos", "win")).withColumn("width", F.lit(width))
-        empty = spread if empty is None else empty.unionByName(spread)
-    met = empty.join(anchors, ["win", "width"]).select("row_key", "item_id", (F.col("pos") - F.col("at")).alias("shift"))
+    # Windows of all widths in one pass over the texts.
+    def placed(width: int) -> Column:
+        return F.transform(windows(F.col("hashes"), width), lambda w, i: F.struct(w.alias("win"), i.alias("pos"), F.lit(width).alias("width")))
+
+    spread = hashed.select("row_key", F.explode(F.concat(*map(placed, widths or [size]))).alias("w")).select("row_key", "w.win", "w.pos", "w.width")
+    met = spread.join(anchors, ["win", "width"]).select("row_key", "item_id", (F.col("pos") - F.col("at")).alias("shift"))
     candidates = stored(met.groupBy("row_key", "item_id").agg(F.sort_array(F.collect_set("shift")).alias("shifts")), "candidates")
 
     suspects = candidates.select("row_key").distinct()
