@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from test_shingles import brute_kept
+
 from stratalog.llm import components, decontamination, line_dedup, simhash, toxicity
 
 
@@ -167,25 +169,34 @@ def test_templates_keep_their_words_in_step(spark):
 # --- lines
 
 
+AROUND = " \t\x0b\x0c\r"
+
+
 def brute_lines(rows, ratio, least):
     pages, seen = {}, {}
     for host, text in rows:
         pages[host or ""] = pages.get(host or "", 0) + 1
-        for line in {x.strip(" ") for x in (text or "").split("\n")} - {""}:
+        for line in {x.strip(AROUND) for x in (text or "").split("\n")} - {""}:
             seen[host or "", line] = seen.get((host or "", line), 0) + 1
-    gone = {k for k, n in seen.items() if pages[k[0]] >= least and n > ratio * pages[k[0]]}
-    return ["\n".join(x for x in (t or "").split("\n") if (h or "", x.strip(" ")) not in gone) for h, t in rows]
+    gone = {k for k, n in seen.items() if n >= least and n > ratio * pages[k[0]]}
+    return ["\n".join(x for x in (t or "").split("\n") if (h or "", x.strip(AROUND)) not in gone) for h, t in rows]
 
 
-def test_lines(spark, awkward, nothing):
+@pytest.mark.parametrize("few", [True, False])
+def test_lines(spark, awkward, nothing, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(line_dedup, "small", lambda df: False)
     rng = random.Random(6)
-    rows = [(k, rng.choice(["a", "b", None]), "\n".join(rng.choice(["menu", " menu ", "", "foot", f"own {k}", f"x{rng.randint(0, 9)}"]) for _ in range(rng.randint(0, 8)))) for k in range(60)]
-    rows += [(100, "c", "menu\nmenu"), (101, "a", None)]
-    frame = spark.createDataFrame(rows, "k int, h string, t string").withColumn("mark", F.lit(1))
-    found = {r["k"]: r["__text"] for r in line_dedup.drop_site_lines(frame, F.col("h"), F.col("t"), 0.3, 5).collect()}
-    assert found == dict(zip([r[0] for r in rows], brute_lines([r[1:] for r in rows], 0.3, 5)))
-    cut = line_dedup.drop_site_lines(awkward, awkward["source"], awkward["text"], 0.3, 2)
-    assert cut.count() == awkward.count() and line_dedup.drop_site_lines(nothing, nothing["source"], nothing["text"]).count() == 0
+    rows = [(k, rng.choice(["a", "b", None]), "\n".join(rng.choice(["menu", " menu ", "menu\t", "\x0cmenu\r", "", "\t", "foot", f"own {k}", f"x{rng.randint(0, 9)}"]) for _ in range(rng.randint(0, 8)))) for k in range(60)]
+    rows += [(100, "c", "menu\nmenu"), (101, "a", None), (102, "a", "menu\n" + "long " * 100_000), (102, "a", "menu\n" + "long " * 100_000)]
+    frame = spark.createDataFrame(rows, "k int, h string, t string").withColumns({c: F.lit(1) for c in ("mark", "__text", "__lines", "site__", "marks__", "part__", "pages")}).repartition(3)
+    cut = line_dedup.drop_site_lines(frame, F.col("h"), F.col("t"), 0.3, 3)
+    assert cut.columns == [*frame.columns, "kept_text", "n_lines", "n_dropped"] and cut.filter("__text = 1 and site__ = 1").count() == len(rows)
+    assert sorted((r["k"], r["kept_text"]) for r in cut.collect()) == sorted(zip([r[0] for r in rows], brute_lines([r[1:] for r in rows], 0.3, 3)))
+    with pytest.raises(ValueError):
+        line_dedup.drop_site_lines(cut, F.col("h"), F.col("t"))
+    cut = line_dedup.drop_site_lines(awkward, awkward["source"], awkward["text"], 0.3, 2, ("a", "b", "c"))
+    assert cut.count() == awkward.count() and line_dedup.drop_site_lines(nothing, nothing["source"], nothing["text"], names=("a", "b", "c")).count() == 0
 
 
 def test_pages(spark):
@@ -196,6 +207,15 @@ def test_pages(spark):
     assert found[3]["text"].strip() == "own 3" and (found[9]["host"], found[9]["text"]) == ("", "")
 
 
+def test_awkward_pages(spark):
+    long = "<p>menu</p>" + "<p>w</p>" * 20_000
+    rows = [(1, "https://a/1", long), (1, "https://a/1", long), *[(k, "https://a/x", "<p>menu\t</p><p>own</p>" + str(k)) for k in range(2, 6)], (None, None, None), (7, "", "")]
+    pages = spark.createDataFrame([(*r, 1, 2) for r in rows], "page_id long, url string, html string, site long, mark long")
+    found = line_dedup.dedup_page_lines(pages).collect()
+    assert len(found) == len(rows) and all("menu" not in r["text"] for r in found)
+    assert sorted(r["n_dropped"] for r in found if r["page_id"] == 1) == [1, 1] and line_dedup.dedup_page_lines(pages.limit(0)).count() == 0
+
+
 # --- toxicity
 
 
@@ -230,6 +250,26 @@ def test_toxicity_never_sees_held_out_labels(labelled):
     assert toxicity.fit_documents(docs, labels) == toxicity.fit_documents(docs, flipped)
 
 
+def test_gains_match_plain_compression(labelled):
+    docs, labels = labelled
+    model = toxicity.fit_documents(docs, labels)
+    ordinary, toxic = toxicity.compressor(model.ordinary), toxicity.compressor(model.toxic)
+    for text in ("the river and vexlor under stones", "one", "", "Bread!! " * 200_000):
+        words = re.findall(rb'[^\s.,!?;:#$%&*|"()<>\[\]{}=+/\\]+', text.lower().encode())
+        pairs = [words[k : k + 2] for k in range(max(1, len(words) - 1))] if words else []
+        framed = [toxicity.CARRIER + b" " + b" ".join(p) + b" " + toxicity.TAIL for p in pairs[:50]]
+        gauge = toxicity.Gauge(model.ordinary, model.toxic)
+        assert [gauge.gain(w) for w in toxicity.windows(text)[:50]] == [len(ordinary.compress(f)) - len(toxic.compress(f)) for f in framed]
+        assert 0 <= toxicity.score_text(model, text) <= 1
+    assert toxicity.score_text(model, "the river vexlor and grobnik walking") > toxicity.score_text(model, "the river stone and garden walking")
+
+
+def test_toxicity_does_not_depend_on_the_order_of_rows(labelled):
+    docs, labels = labelled
+    twice = docs.unionByName(docs).orderBy(F.desc("doc_id")).repartition(5)
+    assert toxicity.fit_documents(docs, labels) == toxicity.fit_documents(twice, labels.unionByName(labels))
+
+
 def test_toxicity_on_awkward_rows(labelled, awkward, nothing):
     docs, labels = labelled
     assert toxicity.score_documents(awkward, labels).filter("score between 0 and 1").count() == awkward.count()
@@ -252,8 +292,7 @@ def test_stages_on_the_tables(spark, small):
         if name != "line_dedup":
             assert after <= before, name
         if name == "simhash_near_dedup":
-            assert len(set(brute_components([simhash.simhash(t) for _, t in sorted(after)]))) == len(after)
-            assert len(after) == len(set(brute_components([simhash.simhash(t) for _, t in sorted(before)])))
+            assert {k for k, _ in after} == brute_kept(sorted(before))
         sizes.append(docs.count())
     assert sizes[1] > 0.7 * sizes[0] and sizes[2] == sizes[1] >= sizes[3] >= sizes[4] > 0.5 * sizes[0]
     pieces = corpus_pipeline.pack_windows(spark, docs, small)
