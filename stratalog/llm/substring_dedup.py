@@ -9,8 +9,12 @@ the suffixes of its segments by the difference cover modulo 3: it sorts the
 sampled triples, recurses on their names, sorts the remaining suffixes by the
 names that follow them, merges, and compares the prefixes of neighbours.
 
-A place whose segments are too many to be sorted in memory (the texts around a
-passage of a great many documents) is decided by window hashes instead.
+A place with more text than a task sorts (the texts around a passage of a great
+many documents) is dealt out anew: its windows are cut by their distance from
+the anchor into narrower stretches, and a stretch goes to a place of its own by
+all the bytes that its windows have in common. The stretches narrow down to one
+window, where a place holds equal windows only, so no place stays too large and
+no window takes another way. Equal segments are sorted once.
 
 The recursion ends once names stand for more bytes than a window has; what a
 name leaves undecided then no window can see.
@@ -19,7 +23,7 @@ name leaves undecided then no window can see.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stored
+from .common import checked_broadcast, shuffle_partitions, stored
 
 LENGTH = 400
 GRAM = 16
@@ -37,23 +41,20 @@ REACH = 256
 CONTEXT = LENGTH - REACH
 #: Occurrences beyond which a window's second anchor tells places apart as well.
 HOT = 1000
-#: Bytes of the largest place that is sorted.
+#: Bytes of text that a task sorts at a time; larger places are dealt out anew.
 SORTED_BYTES = 1 << 20
+#: Windows of a stretch, from one dealing to the next.
+STRETCHES = (64, 16, 4, 1)
 #: Bytes of small places that are sorted together: few enough for a core's cache.
 TOGETHER_BYTES = 1 << 17
 #: Gram positions anchored at a time.
 CHUNK = 1 << 22
-#: Windows whose hashes are compared at a time where a place is too large to be sorted.
-HASHED_WINDOWS = 1 << 21
 #: Segments that a task remembers having sent.
 SENT = 200_000
 
-#: Odd multipliers: of the gram hash, and bases of the window hashes.
+#: Odd multipliers of the gram hash.
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 PLACE = (1 << 24) - 1
-#: Numbers that stand for bytes in window hashes.
-BYTES = np.array([xxhash.xxh64_intdigest(bytes([b])) for b in range(256)], dtype=np.uint64)
 
 
 def anchors(raw: bytes, length: int = LENGTH) -> np.ndarray:
@@ -164,46 +165,10 @@ def repeated_starts(segments: list[bytes], length: int = LENGTH) -> list[np.ndar
     return [twice[base : base + max(0, size - length + 1)] for base, size in zip(bases.tolist(), sizes.tolist(), strict=True)]
 
 
-def window_hashes(text: np.ndarray, length: int, base: int) -> np.ndarray:
-    """Polynomial hash of each window, from running sums modulo 2**64."""
-    with np.errstate(over="ignore"):
-        powers = np.full(len(text) + 1, base, dtype=np.uint64)
-        powers[0] = 1
-        powers = np.multiply.accumulate(powers)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(BYTES[text] * powers[:-1])])
-        # Raised to one power, windows compare wherever they start.
-        return (sums[length:] - sums[:-length]) * powers[: len(sums) - length][::-1]
-
-
-def repeated_by_hash(segments: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """As ``repeated_starts`` for any amount of text: 128 bits of hash a window,
-    compared in rounds by a share of the hashes each, so that memory stays bounded."""
-    counts = [max(0, len(s) - length + 1) for s in segments]
-    flags = [np.zeros(n, dtype=bool) for n in counts]
-    rounds = sum(counts) // HASHED_WINDOWS + 1
-    for turn in range(rounds):
-        parts: list[tuple[np.ndarray, ...]] = []
-        for k, segment in enumerate(segments):
-            if counts[k]:
-                text = np.frombuffer(segment, dtype=np.uint8)
-                first = window_hashes(text, length, BASES[0])
-                # The power that all windows of a segment are raised to depends on its size.
-                first *= np.uint64(pow(BASES[0], (1 << 16) - len(segment), 1 << 64))
-                own = np.flatnonzero(((first >> np.uint64(40)) % np.uint64(rounds)) == np.uint64(turn))
-                second = window_hashes(text, length, BASES[1])[own] * np.uint64(pow(BASES[1], (1 << 16) - len(segment), 1 << 64))
-                parts.append((first[own], second, np.full(len(own), k), own))
-        if parts:
-            a, b, k, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((b, a))
-            same = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
-            twice = order[np.append(same, False) | np.append(False, same)]
-            for which, place in zip(k[twice].tolist(), at[twice].tolist(), strict=True):
-                flags[which][place] = True
-    return flags
-
-
-def _signed(digest: int) -> tuple[int, int]:
-    return (digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63)
+def _own(piece: bytes) -> tuple[int, int]:
+    """128 bits of a cryptographic digest, by which equal segments are known."""
+    found = hashlib.blake2b(piece, digest_size=16).digest()
+    return int.from_bytes(found[:8], "little", signed=True), int.from_bytes(found[8:], "little", signed=True)
 
 
 def _batch(columns: list[list], types: tuple, names: list[str]) -> pa.RecordBatch:
@@ -230,15 +195,16 @@ def _place_documents(texts: DataFrame) -> DataFrame:
 
 
 def _segments(texts: DataFrame) -> DataFrame:
-    """Segments around followed anchors: (place, s1, s2, t1, t2, start, size, bytes).
+    """Segments around followed anchors: (place, s1, s2, t1, t2, start, size, lead, bytes).
 
-    bytes is null where the task has sent the same segment before.
+    size: windows that begin in it. lead: bytes before the anchor. bytes is null
+    where the task has sent the same segment before.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[tuple[int, int]] = set()
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(9)]
             for t1, t2, text, marks in zip(*(batch.column(c).to_pylist() for c in ("t1", "t2", "text", "marks")), strict=True):
                 raw = text.encode()
                 at = anchors(raw)
@@ -257,27 +223,54 @@ def _segments(texts: DataFrame) -> DataFrame:
                         ]
                     for first, end, where in parts:
                         piece = raw[first : end - 1 + LENGTH]
-                        own = _signed(xxhash.xxh3_128_intdigest(piece))
+                        own = _own(piece)
                         known = own in sent
                         if not known:
                             if len(sent) >= SENT:
                                 sent.clear()
                             sent.add(own)
-                        for column, value in zip(out, (where, *own, t1, t2, first, end - first, None if known else piece), strict=True):
+                        for column, value in zip(out, (where, *own, t1, t2, first, end - first, int(at[low]) - first, None if known else piece), strict=True):
                             column.append(value)
-            yield _batch(out, (*[pa.int64()] * 5, pa.int64(), pa.int64(), pa.binary()), ["place", "s1", "s2", "t1", "t2", "start", "size", "bytes"])
+            yield _batch(out, (*[pa.int64()] * 8, pa.binary()), ["place", "s1", "s2", "t1", "t2", "start", "size", "lead", "bytes"])
 
-    return texts.mapInArrow(cut, "place long, s1 long, s2 long, t1 long, t2 long, start long, size long, bytes binary")
+    return texts.mapInArrow(cut, "place long, s1 long, s2 long, t1 long, t2 long, start long, size long, lead long, bytes binary")
 
 
-def _sort_places(segments: DataFrame) -> DataFrame:
-    """(s1, s2, starts, ends): runs of window starts that other segments repeat."""
-    rows = segments.filter("bytes is not null").select("place", "s1", "s2", "bytes")
-    dealt = rows.repartition(4 * shuffle_partitions(segments.sparkSession), "place").sortWithinPartitions("place", "s1", "s2")
+def _stretches(pieces: DataFrame, width: int) -> DataFrame:
+    """Pieces cut into stretches of ``width`` windows: (place, s1, s2, p1, p2, shift, size, lead, bytes).
 
-    def decided(held: list[tuple[int, int, int, bytes]], by: Callable[[list[bytes]], list[np.ndarray]]) -> pa.RecordBatch:
+    Windows of one stretch have their distance from the anchor in one interval,
+    and share the bytes from its last window's start to its first window's end;
+    those bytes and the interval name the new place. p1, p2, shift: the segment
+    that a piece comes from, and where in it.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in range(9)]
+            for place, p1, p2, shift, size, lead, raw in zip(*(batch.column(c).to_pylist() for c in ("place", "p1", "p2", "shift", "size", "lead", "bytes")), strict=True):
+                first = 0
+                while first < size:
+                    part = (lead - first) // width  # distances from part * width on
+                    end = min(size, lead - part * width + 1)
+                    piece = raw[first : end - 1 + LENGTH]
+                    shared = raw[lead - part * width : lead - (part + 1) * width + 1 + LENGTH]
+                    where = xxhash.xxh64_intdigest(shared + place.to_bytes(8, "little", signed=True) + part.to_bytes(4, "little", signed=True)) - (1 << 63)
+                    for column, value in zip(out, (where, *_own(piece), p1, p2, shift + first, end - first, lead - first, piece if width > 1 else None), strict=True):
+                        column.append(value)
+                    first = end
+            yield _batch(out, (*[pa.int64()] * 8, pa.binary()), ["place", "s1", "s2", "p1", "p2", "shift", "size", "lead", "bytes"])
+
+    return pieces.mapInArrow(cut, "place long, s1 long, s2 long, p1 long, p2 long, shift long, size long, lead long, bytes binary")
+
+
+def _sorted_places(pieces: DataFrame) -> DataFrame:
+    """(s1, s2, starts, ends): runs of window starts that other pieces of a place repeat."""
+    dealt = pieces.select("place", "s1", "s2", "bytes").repartition(4 * shuffle_partitions(pieces.sparkSession), "place").sortWithinPartitions("place", "s1", "s2")
+
+    def decided(held: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
         out: list[list] = [[], [], [], []]
-        for (_, s1, s2, _), twice in zip(held, by([h[3] for h in held]), strict=True):
+        for (_, s1, s2, _), twice in zip(held, repeated_starts([h[3] for h in held]), strict=True):
             edges = np.flatnonzero(np.diff(np.concatenate([[False], twice, [False]]).astype(np.int8)))
             if edges.size:
                 for column, value in zip(out, (s1, s2, edges[::2].tolist(), edges[1::2].tolist()), strict=True):
@@ -285,7 +278,7 @@ def _sort_places(segments: DataFrame) -> DataFrame:
         return _batch(out, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())), ["s1", "s2", "starts", "ends"])
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, int, bytes]]]:
-        """The different segments of each place that has more than one."""
+        """The different pieces of each place that has more than one."""
         place: list[tuple[int, int, int, bytes]] = []
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("place", "s1", "s2", "bytes")), strict=True):
@@ -303,46 +296,75 @@ def _sort_places(segments: DataFrame) -> DataFrame:
         size = 0
         for place in places(batches):
             more = sum(len(p[3]) + 1 for p in place)
-            if more > SORTED_BYTES:
-                yield decided(place, repeated_by_hash)
-                continue
             if held and size + more > TOGETHER_BYTES:
-                yield decided(held, repeated_starts)
+                yield decided(held)
                 held, size = [], 0
             held += place
             size += more
         if held:
-            yield decided(held, repeated_starts)
+            yield decided(held)
 
     return dealt.mapInArrow(swept, "s1 long, s2 long, starts array<long>, ends array<long>")
 
 
+def _repeats(segments: DataFrame) -> DataFrame:
+    """(s1, s2, low, high): runs of windows, by segment, that occur elsewhere.
+
+    segments: stored rows (place, s1, s2, size, lead, bytes or null). A segment
+    that occurs again is repeated whole. Pieces of places that are too large
+    are cut and dealt out anew until none is.
+    """
+    again = segments.groupBy("s1", "s2").agg(F.count("*").alias("n"), F.first("size").alias("size")).filter("n > 1")
+    found = again.select("s1", "s2", F.lit(0).cast("long").alias("low"), F.col("size").alias("high"))
+    pieces = segments.filter("bytes is not null").select("place", "s1", "s2", F.col("s1").alias("p1"), F.col("s2").alias("p2"), F.lit(0).cast("long").alias("shift"), "size", "lead", "bytes")
+    for turn, width in enumerate(STRETCHES):
+        load = pieces.groupBy("place").agg(F.sum(F.octet_length("bytes") + 1).alias("load")).filter(F.col("load") > SORTED_BYTES)
+        large = stored(load.select("place"), "large")
+        if large.isEmpty():
+            return found.unionByName(_runs(pieces, turn))
+        large = checked_broadcast(large)
+        found = found.unionByName(_runs(pieces.join(large, "place", "left_anti"), turn))
+        left = pieces.join(large, "place", "left_semi").dropDuplicates(["p1", "p2", "shift"])
+        pieces = stored(_stretches(left.select("place", "p1", "p2", "shift", "size", "lead", "bytes"), width), "pieces")
+        twice = pieces.groupBy("s1", "s2").agg(F.count("*").alias("n")).filter("n > 1").select("s1", "s2")
+        whole = pieces.join(stored(twice, "twice"), ["s1", "s2"]).select(F.col("p1").alias("s1"), F.col("p2").alias("s2"), F.col("shift").alias("low"), (F.col("shift") + F.col("size")).alias("high"))
+        found = found.unionByName(whole)
+    return found  # a stretch of one window is a piece of its own
+
+
+def _runs(pieces: DataFrame, turn: int) -> DataFrame:
+    """Sorted places, told by the segments that their pieces come from."""
+    runs = _sorted_places(pieces).select("s1", "s2", F.explode(F.arrays_zip("starts", "ends")).alias("run")).select("s1", "s2", F.col("run.starts").alias("low"), F.col("run.ends").alias("high"))
+    if not turn:
+        return runs
+    homes = pieces.select("s1", "s2", "p1", "p2", "shift")
+    return homes.join(stored(runs, "runs"), ["s1", "s2"]).select(F.col("p1").alias("s1"), F.col("p2").alias("s2"), (F.col("shift") + F.col("low")).alias("low"), (F.col("shift") + F.col("high")).alias("high"))
+
+
 def _cut_texts(texts: DataFrame) -> DataFrame:
-    """(t1, t2, n_removed, n_spans, kept_sha256) from texts with their repeated starts."""
+    """(t1, t2, n_removed, n_spans, kept_sha256, spans) from texts with their repeated starts."""
 
     def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for t1, t2, text, runs in zip(*(batch.column(c).to_pylist() for c in ("t1", "t2", "text", "runs")), strict=True):
-                raw, kept, removed, spans, at = text.encode(), hashlib.sha256(), 0, 0, 0
-                reach = -1
-                for low, high in sorted((r["low"], r["high"]) for r in runs):
-                    if low > reach:
-                        spans += 1
-                        kept.update(raw[max(at, 0) : low])
-                        removed -= low
-                        reach = high - 1 + LENGTH
-                        removed += reach
-                    elif high - 1 + LENGTH > reach:
-                        removed += high - 1 + LENGTH - reach
-                        reach = high - 1 + LENGTH
-                    at = reach
+                raw, kept, at = text.encode(), hashlib.sha256(), 0
+                spans: list[list[int]] = []
+                for low, high in sorted((r["low"], r["high"] - 1 + LENGTH) for r in runs):
+                    if spans and low <= spans[-1][1]:
+                        spans[-1][1] = max(spans[-1][1], high)
+                    else:
+                        spans.append([low, high])
+                for low, high in spans:
+                    kept.update(raw[at:low])
+                    at = high
                 kept.update(raw[at:])
-                for column, value in zip(out, (t1, t2, removed, spans, kept.hexdigest()), strict=True):
+                removed = sum(high - low for low, high in spans)
+                for column, value in zip(out, (t1, t2, removed, len(spans), kept.hexdigest(), ",".join(f"{a}:{b}" for a, b in spans)), strict=True):
                     column.append(value)
-            yield _batch(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), ["t1", "t2", "n_removed", "n_spans", "kept_sha256"])
+            yield _batch(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), ["t1", "t2", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    return texts.mapInArrow(done, "t1 long, t2 long, n_removed long, n_spans long, kept_sha256 string")
+    return texts.mapInArrow(done, "t1 long, t2 long, n_removed long, n_spans long, kept_sha256 string, spans string")
 
 
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -352,37 +374,41 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """What is left of every text once each byte is removed that a 400-byte
     string covers which also starts elsewhere in the corpus.
 
-    Columns: doc_id, n_bytes, n_removed, n_spans, kept_sha256. Texts count as
-    UTF-8 bytes, null ones as empty; matches don't cross documents; equal texts
-    (repeated rows too) repeat each other whole from 400 bytes on and are sorted
-    once; null ids are kept; an empty table gives no rows; other columns are
-    ignored. Texts are known by two 64-bit hashes.
+    Columns: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed
+    runs as start:end in bytes, comma-joined). Texts count as UTF-8 bytes, null
+    ones as empty, and are read whole, however long; matches don't cross
+    documents; equal texts (repeated rows too) repeat each other whole from 400
+    bytes on and are sorted once; null ids are kept; rows with equal ids are
+    told apart by their texts; an empty table gives no rows; other columns are
+    ignored, whatever their names. Texts are known by two 64-bit hashes, and an
+    error is raised should two texts that differ by SHA-256 share both.
     """
     text = F.coalesce(docs[text_col], F.lit(""))
     rows = docs.select(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2"), docs[id_col].alias("doc_id"), text.alias("text"))
     base = stored(_place_documents(rows), "places")
-    copies = stored(base.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "copies")
+    copies = stored(base.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("sha").alias("sha"), F.max("sha").alias("other")), "copies")
+    if not copies.filter("sha <> other").isEmpty():
+        raise RuntimeError("two different texts share 128 bits of hash")
 
     # Each text once, by the copy with the least id; its anchors; those whose place occurs again.
-    single = base.filter(F.size("classes") > 0).join(copies, ["t1", "t2"]).filter(F.col("doc_id").eqNullSafe(F.col("rep")))
-    spots = single.select("t1", "t2", F.posexplode("classes").alias("k", "place"))
-    again = spots.groupBy("place").agg(F.count("*").alias("n")).filter("n > 1").select("place", (F.col("n") > HOT).alias("hot"))
-    marks = spots.join(again, "place").groupBy("t1", "t2").agg(F.collect_set(F.struct("k", "hot")).alias("marks"))
-    marks = stored(marks.join(copies, ["t1", "t2"]).select("t1", "t2", "rep", "marks"), "marks")
-    long_texts = rows.filter(F.octet_length("text") >= LENGTH)
-    followed = stored(long_texts.join(marks, ["t1", "t2"]).filter(F.col("doc_id").eqNullSafe(F.col("rep"))).select("t1", "t2", "text", "marks"), "followed")
+    same = ["t1", "t2"]
+    single = base.filter(F.size("classes") > 0).select(*same, "doc_id", "classes").join(copies.select(*same, "rep"), same).filter(F.col("doc_id").eqNullSafe(F.col("rep"))).dropDuplicates(same)
+    spots = stored(single.select(*same, "rep", F.posexplode("classes").alias("k", "place")), "spots")
+    again = stored(spots.groupBy("place").agg(F.count("*").alias("n")).filter("n > 1").select("place", (F.col("n") > HOT).alias("hot")), "again")
+    # ``again`` is stored, so that both sides are shuffled and a hot place can be split.
+    marks = stored(spots.join(again, "place").groupBy(*same).agg(F.first("rep").alias("rep"), F.collect_set(F.struct("k", "hot")).alias("marks")), "marks")
+    long_texts = rows.filter(F.octet_length("text") >= LENGTH).withColumnRenamed("doc_id", "rep")
+    at = [long_texts[c] == marks[c] for c in same] + [long_texts["rep"].eqNullSafe(marks["rep"])]
+    followed = stored(long_texts.join(marks, at).select(long_texts["t1"], long_texts["t2"], "text", "marks").dropDuplicates(same), "followed")
 
     segments = stored(_segments(followed), "segments")
-    whole = segments.groupBy("s1", "s2").agg(F.count("*").alias("n"), F.first("size").alias("size")).filter("n > 1")
-    whole = whole.select("s1", "s2", F.array(F.lit(0).cast("long")).alias("starts"), F.array("size").alias("ends"))
-    partly = _sort_places(segments).join(whole.select("s1", "s2"), ["s1", "s2"], "left_anti")
-    repeats = whole.unionByName(partly).select("s1", "s2", F.explode(F.arrays_zip("starts", "ends")).alias("run")).select("s1", "s2", "run.starts", "run.ends")
-    hits = segments.select("s1", "s2", "t1", "t2", "start").join(repeats, ["s1", "s2"])
-    hits = hits.groupBy("t1", "t2").agg(F.collect_set(F.struct((F.col("start") + F.col("starts")).alias("low"), (F.col("start") + F.col("ends")).alias("high"))).alias("runs"))
-    cut = _cut_texts(followed.select("t1", "t2", "text").join(hits, ["t1", "t2"])).dropDuplicates(["t1", "t2"])
-
-    several = copies.filter("copies > 1").select("t1", "t2", "copies")
-    out = base.select("t1", "t2", "doc_id", "n_bytes", "sha").join(several, ["t1", "t2"], "left").join(cut, ["t1", "t2"], "left")
+    repeats = stored(_repeats(segments), "repeats")
+    hits = segments.select("s1", "s2", *same, "start").join(repeats, ["s1", "s2"])
+    hits = stored(hits.groupBy(*same).agg(F.collect_set(F.struct((F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))).alias("runs")), "hits")
+    cut = _cut_texts(followed.select(*same, "text").join(hits, same))
+
+    verdicts = stored(copies.filter("copies > 1").select(*same, "copies").join(cut, same, "full_outer"), "verdicts")
+    out = base.select(*same, "doc_id", "n_bytes", "sha").join(verdicts, same, "left")
     gone = F.col("copies").isNotNull() & (F.col("n_bytes") >= LENGTH)
     return out.select(
         "doc_id",
@@ -390,4 +416,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(gone, F.lit(EMPTY_SHA)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        F.when(gone, F.concat(F.lit("0:"), F.col("n_bytes").cast("string"))).otherwise(F.coalesce("spans", F.lit(""))).alias("spans"),
     )

@@ -62,6 +62,20 @@ def test_secret_ownership(spark):
     assert all(found[k]["spans"] == "" and found[k]["n_example"] == 0 and found[k]["n_live"] == 0 for k in range(4))
 
 
+def test_secret_in_many_repositories(spark):
+    value = "Qw7Er5Ty3Ui1Op0As2Df4Gh6"
+    docs = spark.createDataFrame([(k, f"key {value} here", "s0") for k in range(secret_scan.EXAMPLE_REPOS)], "doc_id long, text string, source string")
+    assert secret_scan.scan(docs).filter("spans = '' and n_live = 0").count() == secret_scan.EXAMPLE_REPOS
+    assert secret_scan.scan(docs.filter("doc_id > 0")).filter("spans = 'token:4:28' and n_live = 1").count() == secret_scan.EXAMPLE_REPOS - 1
+
+
+def test_many_secrets_in_one_text(spark):
+    text = " ".join(f"token=abc{k:06d}" for k in range(30_000))
+    row = secret_scan.scan(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")).first()
+    listed = ",".join(f"{k}:{a}:{b}" for a, _, b, k in base_spans(text))
+    assert row["n_assign"] == 30_000 and row["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
+
+
 def test_secrets_on_awkward_rows(awkward, nothing):
     assert secret_scan.scan(awkward).count() == awkward.count()
     assert secret_scan.scan(nothing).count() == 0
@@ -85,14 +99,36 @@ def test_probes(spark):
     assert alone["near_next"] == 1.0 and alone["n_chars"] == 11
 
 
-def test_collisions_are_split(spark, monkeypatch):
+def test_collisions_are_split(spark):
+    """Digests that collide in the stored rows get their marks; equal forms stay together."""
     docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "A")], "doc_id long, text string")
-    found = spark.createDataFrame([(1, "d"), (2, "d"), (3, "d")], "doc_id long, fingerprint string")
-    same = docs.filter("doc_id <> 2")
-    assert fingerprints.separate_collisions(found.filter("doc_id <> 2"), same).select("fingerprint").distinct().count() == 1
-    # Both sides of a clash are told apart where the digest itself clashes.
-    forced = spark.createDataFrame([(i, fingerprints.digest(b"a")) for i in (1, 3)], "doc_id long, fingerprint string")
-    assert fingerprints.separate_collisions(forced, same).select("fingerprint").distinct().count() == 1
+    rows = [(i, "d", fingerprints.mark(fingerprints.canonical(t)), "e", "m") for i, t in ((1, "a"), (2, "b"), (3, "A"))]
+    found = spark.createDataFrame([*rows, (4, "x", "y", "d", "other")], "doc_id long, fingerprint string, mark string, edited string, edited_mark string")
+    split = {r["doc_id"]: r for r in fingerprints.separate_collisions(found, docs, {"fingerprint": "mark", "edited": "edited_mark"}).collect()}
+    assert split[1]["fingerprint"] == split[3]["fingerprint"] != split[2]["fingerprint"]
+    assert split[4]["fingerprint"] == "x" and split[4]["edited"] == "d-other" and split[1]["edited"] == "e"
+
+
+def test_many_collisions_are_split(spark, monkeypatch):
+    """More than a thousand colliding digests, made by a digest of two texts each."""
+    docs = spark.range(2400).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    rows = [(k, f"d{k // 2}", f"m{k}") for k in range(2400)]
+    found = spark.createDataFrame(rows, "doc_id long, fingerprint string, mark string")
+    split = fingerprints.separate_collisions(found, docs, {"fingerprint": "mark"})
+    assert split.select("fingerprint").distinct().count() == 2400 and split.columns == ["doc_id", "fingerprint"]
+
+
+@pytest.mark.parametrize("kind", ["string", "null", "equal"])
+def test_probes_of_other_ids(spark, kind):
+    texts = [f"Text {k} " + "ab cd " * (k % 7) for k in range(300)]
+    ids = {"string": [f"é{k * 7919 % 300:03d}" for k in range(300)], "null": [None] * 300, "equal": [5] * 300}[kind]
+    docs = spark.createDataFrame(list(zip(ids, texts)), f"doc_id {'string' if kind == 'string' else 'long'}, text string").repartition(3)
+    found = fingerprints.probe_edits(docs)
+    assert found.count() == 300 and found.select("fingerprint").distinct().count() == 300
+    if kind == "string":
+        order = sorted(zip(ids, texts))
+        want = sorted((i, hashlib.sha256((a[: len(a) - len(a) // 4] + b[: len(a) // 4]).encode()).hexdigest()) for (i, a), (_, b) in zip(order, order[1:] + order[:1]))
+        assert rows_of(found, "doc_id", "edited_sha256") == sorted(want, key=repr)
 
 
 def test_fingerprints_on_awkward_rows(awkward, nothing):
@@ -121,9 +157,10 @@ def brute_substrings(texts, length=substring_dedup.LENGTH):
     return out
 
 
-@pytest.mark.parametrize("hot", [substring_dedup.HOT, 2])
-def test_substrings(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "sorted_bytes"), [(substring_dedup.HOT, substring_dedup.SORTED_BYTES), (2, substring_dedup.SORTED_BYTES), (substring_dedup.HOT, 2500), (2, 700)])
+def test_substrings(spark, monkeypatch, hot, sorted_bytes):
     monkeypatch.setattr(substring_dedup, "HOT", hot)
+    monkeypatch.setattr(substring_dedup, "SORTED_BYTES", sorted_bytes)
     rng = random.Random(hot)
     passages = ["".join(rng.choice("abcdé ") for _ in range(700)) for _ in range(3)]
 
@@ -141,6 +178,19 @@ def test_substrings(spark, monkeypatch, hot):
     rows = [(k, text()) for k in range(80)] + [(None, None), (5, ""), (7, passages[0]), (7, passages[0]), (8, passages[0][:400]), (9, "y" * 399)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = sorted(((i, *b) for (i, _), b in zip(rows, brute_substrings([t for _, t in rows]))), key=repr)
+    found = substring_dedup.remove_repeats(docs).cache()
+    assert rows_of(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    for r in found.collect():
+        assert r["n_removed"] == sum(int(b) - int(a) for a, b in (x.split(":") for x in r["spans"].split(",") if x))
+
+
+def test_substrings_around_a_common_passage(spark):
+    """More text around one passage than a task sorts: it is dealt out anew down to single windows."""
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(399))
+    rows = [(k, "".join(rng.choice("xyz") for _ in range(k % 3)) + passage + "".join(rng.choice("uvw") for _ in range(rng.randint(0, 300)))) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = sorted(((i, *b) for (i, _), b in zip(rows, brute_substrings([t for _, t in rows]))), key=repr)
     assert rows_of(substring_dedup.remove_repeats(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
@@ -295,5 +345,40 @@ def test_batches_are_idempotent_and_signed(spark, tmp_path):
     store.commit("b2", event(("a", "en", "v1", 1, 5, 20, -1)))
     store.commit("b3", event(("a", "en", "v1", 1, 10, 50, -1), ("a", "en", "v1", 1, 12, 50, 1)))
     assert rows_of(store.totals(), "source", "n_docs", "n_tokens", "n_bytes") == sorted([("a", 1, 12, 50), (None, 1, 0, 0)], key=repr)
+    assert not store.commit("b2", event(("a", "en", "v1", 9, 9, 9, 1)))  # a batch counts once
     store.commit("b4", event(("a", "en", "v1", 1, 12, 50, -1)))
     assert store.totals().filter("source = 'a'").count() == 0
+
+
+def test_store_before_and_after_a_failed_commit(spark, tmp_path):
+    store = token_counts.RollupStore(spark, str(tmp_path / "rollup"))
+    assert store.totals().count() == 0
+    event = spark.createDataFrame([("a", "en", "v1", 1, 10, 50, 1)], "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_bytes long, sign int")
+    broken = event.withColumn("n_tokens", F.expr("raise_error('lost')").cast("long"))
+    with pytest.raises(Exception, match="lost"):
+        store.commit("b1", broken)
+    (tmp_path / "rollup" / "aside-half" / "totals").mkdir(parents=True)  # what a driver that died leaves
+    assert store.totals().count() == 0 and store.commit("b1", event)
+    publish, lost = store._publish, []
+
+    def overtaken(aside, version):  # another writer is first, once
+        if not lost:
+            lost.append(token_counts.RollupStore(spark, store.path).commit("b2", event))
+        return publish(aside, version)
+
+    store._publish = overtaken
+    assert store.commit("b3", event) and lost == [True]
+    assert rows_of(store.totals(), "n_docs", "n_tokens") == [(3, 30)]
+
+
+def test_plain_text_has_one_tokenisation():
+    """Every code point that goes to the faster library, alone and between others."""
+    from tokenizers import Tokenizer
+
+    path = tokenizing.default_vocabulary()
+    exact = Tokenizer.from_file(path)
+    points = [chr(c) for c in range(0x2100) if tokenizing.PLAIN_TEXT.match(chr(c))]
+    assert len(points) > 300
+    for c in points:
+        for text in (c, f"a{c}b 1{c}2 {c} {c}{c}\n{c}"):
+            assert tokenizing.token_ids(text, path) == exact.encode(text, add_special_tokens=False).ids, repr(c)
