@@ -47,7 +47,7 @@ WINDOW_WORDS = 2
 #: Words of a stretch of running text that dictionaries are trained on.
 STRETCH_WORDS = 40
 #: Size of either dictionary; half of it is trained, the rest takes ordinary windows that gained.
-DICTIONARY_BYTES = 1 << 20
+DICTIONARY_BYTES = 1 << 18
 FIRST_TOXIC_BYTES = 1 << 17
 TOXIC_BYTES = 8192
 #: Segments and substrings of dictionary training, as zstandard names them k and d.
@@ -66,18 +66,22 @@ CARRIER = bytes([*range(1, 32), *range(128, 160)])
 #: Bytes behind a window: the compressor starts no match within its last eight bytes.
 TAIL = b"q" * 12
 FILLER = b"~"
-CACHED_WINDOWS = 300_000
+#: Windows that are compressed in one call.
+TOGETHER = 20_000
 
 
 def _words(text: str) -> list[bytes]:
     return WORD.findall(text.lower().encode("utf-8", "surrogatepass"))
 
 
+def window(words: list[bytes], k: int) -> bytes:
+    return b" " + b" ".join(words[k : k + WINDOW_WORDS]) + b" "
+
+
 def windows(text: str) -> list[bytes]:
     """Windows of running text, one word further each; one for a shorter text, none without words."""
     found = _words(text)
-    starts = range(max(1, len(found) - WINDOW_WORDS + 1)) if found else range(0)
-    return [b" " + b" ".join(found[k : k + WINDOW_WORDS]) + b" " for k in starts]
+    return [window(found, k) for k in range(max(1, len(found) - WINDOW_WORDS + 1))] if found else []
 
 
 def stretches(text: str) -> list[bytes]:
@@ -103,10 +107,8 @@ def train(samples: Sequence[bytes], size: int, segment: int) -> bytes:
 
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
-    log = DICTIONARY_BYTES.bit_length()
-    fit = zstandard.ZstdCompressionParameters(
-        window_log=log + 1, hash_log=log, chain_log=log, search_log=5, min_match=4, target_length=64, strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False
-    )
+    log = DICTIONARY_BYTES.bit_length() - 1
+    fit = zstandard.ZstdCompressionParameters(window_log=log + 2, hash_log=log, chain_log=log, min_match=4, strategy=zstandard.STRATEGY_DFAST, write_content_size=False, write_checksum=False, write_dict_id=False)
     filled = content[:DICTIONARY_BYTES].ljust(DICTIONARY_BYTES, FILLER) + CARRIER + FILLER * len(TAIL)
     held = zstandard.ZstdCompressionDict(filled, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     held.precompute_compress(compression_params=fit)
@@ -114,32 +116,49 @@ def compressor(content: bytes) -> zstandard.ZstdCompressor:
 
 
 class Gauge:
-    """Gains of windows under a pair of dictionaries, remembered for a while."""
+    """Gains of windows under a pair of dictionaries."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         self.ordinary, self.toxic = compressor(ordinary), compressor(toxic)
-        self.known: dict[bytes, int] = {}
 
-    def gain(self, window: bytes) -> int:
-        found = self.known.get(window)
-        if found is None:
-            if len(self.known) >= CACHED_WINDOWS:
-                self.known.clear()
-            framed = CARRIER + window + TAIL
-            found = self.known[window] = len(self.ordinary.compress(framed)) - len(self.toxic.compress(framed))
-        return found
+    def gains(self, asked: list[bytes]) -> np.ndarray:
+        """Gain of each window."""
+        out = np.zeros(len(asked), dtype=np.int64)
+        for k in range(0, len(asked), TOGETHER):
+            framed = [CARRIER + w + TAIL for w in asked[k : k + TOGETHER]]
+            plain, other = (np.fromiter(map(len, c.multi_compress_to_buffer(framed)), np.int64, len(framed)) for c in (self.ordinary, self.toxic))
+            out[k : k + len(framed)] = plain - other
+        return out
+
+    def pairs(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Gains of the two windows around a word, where both are positive.
+
+        Of two neighbours one has an even place, so windows at even places are
+        compressed first, and others only beside one that gains.
+        """
+        n = max(1, len(words) - WINDOW_WORDS + 1) if words else 0
+        even = self.gains([window(words, k) for k in range(0, n, 2)])
+        first = 2 * np.flatnonzero(even > 0)
+        if n == 1:
+            return even[even > 0], even[even > 0]
+        low, high = first[first > 0], first[first < n - 1]
+        near = np.concatenate([low, high])
+        odd, back = np.unique(np.concatenate([low - 1, high + 1]), return_inverse=True)
+        other = self.gains([window(words, k) for k in odd.tolist()])[back]
+        return even[near // 2][other > 0], other[other > 0]
 
     def features(self, text: str) -> list[float]:
-        """What is calibrated: the greatest gain around a word, and by threshold
-        how many words gain in both their windows, as a number and as a share."""
-        gains = np.array([self.gain(w) for w in windows(text)], dtype=np.int64)
-        if not len(gains):
+        """What is calibrated: the greatest gain around a word, by threshold how
+        many words gain in both their windows, as a number and as a share, and
+        how many gain much."""
+        found = _words(text)
+        one, two = self.pairs(found)
+        if not len(one):
             return [0.0] * (2 + 2 * len(THRESHOLDS))
-        before, behind = (gains[:-1], gains[1:]) if len(gains) > 1 else (gains, gains)
-        counts = [int((np.minimum(before, behind) >= t).sum()) for t in THRESHOLDS]
-        summed = before + behind
-        shares = [1000.0 * c / (len(gains) + 50) for c in counts]
-        return [float(min(max(int(summed.max()), 0), GREATEST)), *(math.log1p(v) for v in (*counts, *shares)), math.log1p(int((summed >= 2 * THRESHOLDS[-1]).sum()))]
+        both, summed = np.minimum(one, two), one + two
+        counts = [int((both >= t).sum()) for t in THRESHOLDS]
+        shares = [1000.0 * c / (len(found) + 50) for c in counts]
+        return [float(min(int(summed.max()), GREATEST)), *(math.log1p(v) for v in (*counts, *shares)), math.log1p(int((summed >= 2 * THRESHOLDS[-1]).sum()))]
 
 
 def train_pair(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
@@ -151,10 +170,10 @@ def train_pair(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     taken = b""
     for turn in range(ROUNDS):
         gauge, least = Gauge(taken + base, other), LATER_GAIN if turn else FIRST_GAIN
-        picked = [w for w in bad if gauge.gain(w) >= least]
+        picked = [w for w, gain in zip(bad, gauge.gains(bad).tolist(), strict=True) if gain >= least]
         if not picked:
             break
-        gained = sorted(((-gauge.gain(w), w) for w in good if gauge.gain(w) >= least))
+        gained = sorted((-gain, w) for w, gain in zip(good, gauge.gains(good).tolist(), strict=True) if gain >= least)
         taken = (b"".join(w for _, w in gained) + taken)[: DICTIONARY_BYTES // 2]
         other = train(picked, TOXIC_BYTES, FINE)
     return taken + base, other

@@ -259,7 +259,11 @@ def test_gains_match_plain_compression(labelled):
         pairs = [words[k : k + 2] for k in range(max(1, len(words) - 1))] if words else []
         framed = [toxicity.CARRIER + b" " + b" ".join(p) + b" " + toxicity.TAIL for p in pairs[:50]]
         gauge = toxicity.Gauge(model.ordinary, model.toxic)
-        assert [gauge.gain(w) for w in toxicity.windows(text)[:50]] == [len(ordinary.compress(f)) - len(toxic.compress(f)) for f in framed]
+        assert gauge.gains(toxicity.windows(text)[:50]).tolist() == [len(ordinary.compress(f)) - len(toxic.compress(f)) for f in framed]
+        gains = gauge.gains(toxicity.windows(text)[:500]).tolist()
+        pairs = sorted((min(p), max(p)) for p in (zip(gains, gains[1:]) if len(gains) > 1 else zip(gains, gains)) if min(p) > 0)
+        one, two = gauge.pairs(words[:501])
+        assert sorted((min(p), max(p)) for p in zip(one.tolist(), two.tolist())) == pairs
         assert 0 <= toxicity.score_text(model, text) <= 1
     assert toxicity.score_text(model, "the river vexlor and grobnik walking") > toxicity.score_text(model, "the river stone and garden walking")
 
