@@ -48,6 +48,10 @@ NON_SEMANTIC = [
 ]
 OWN_VENDOR = "OpenModelica"
 
+# The name that an annotation item declares, and the vendor in such a name.
+ITEM_KEY = r"^\s*([A-Za-z_$][A-Za-z0-9_$]*)"
+VENDOR_KEY = "^__([A-Za-z0-9]+)_"
+
 # Funnel reasons and the substrings by which reports bucket them.
 EXCLUDED_BRANCH = "excluded branch"
 NO_FILES = "no .mo files"
@@ -58,7 +62,6 @@ EMPTY_OUTPUT = "canonical output is empty (0 bytes)"
 TRUNCATED_OUTPUT = "canonical output is truncated (no terminating 'end <class>;')"
 FAILURE_TYPES = ["checkout_failed", "load_model_failed", "annotation_cleanup_failed", "no_classes", "canonical_no_output"]
 
-# Repositories of sources whose issues and commits are on GitHub are given by the caller;
-# these are the labels of the step-3 scope.
+# Labels of the step-3 scope.
 ALL_SCOPE = "All experiment classes"
 PILOT_SCOPE = "Pilot whitelist"

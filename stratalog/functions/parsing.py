@@ -3,54 +3,74 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..fixed import NON_SEMANTIC, OWN_VENDOR
+from ..fixed import ITEM_KEY, NON_SEMANTIC, OWN_VENDOR, VENDOR_KEY
 
-LITERAL = re.compile(r'"(?:[^"\\]|\\.)*"', re.DOTALL)
 MACRO = re.compile(r"\\newcommand\{\\([A-Za-z0-9_]+)\}\{")
+#: Signs that change where the scanner is: a literal's border, an escape in it, brackets, a comma.
+SIGN = re.compile(r'\\.|["(\[{}\]),]', re.DOTALL)
+
+
+@dataclass
+class Scan:
+    """What one pass over a text finds: literals that end, and every bracket and
+    comma outside them with the depth behind it."""
+
+    literals: list[tuple[int, int]] = field(default_factory=list)
+    signs: list[tuple[int, str, int]] = field(default_factory=list)
+
+
+def scan(text: str) -> Scan:
+    found, opened, depth, held = Scan(), None, 0, 0
+    for hit in SIGN.finditer(text):
+        sign = hit[0]
+        if sign == '"' and opened is None:
+            opened, held = hit.start(), len(found.signs)
+        elif sign == '"':
+            found.literals.append((opened, hit.end()))
+            del found.signs[held:]  # signs inside a literal don't count
+            depth = found.signs[-1][2] if found.signs else 0
+            opened = None
+        elif len(sign) == 1:
+            depth += (sign in "([{") - (sign in ")]}")
+            found.signs.append((hit.start(), sign, depth))
+    return found
 
 
 def masked(text: str) -> str:
     """The text with what string literals hold made neutral, length kept."""
-    out, at = [], 0
-    for found in LITERAL.finditer(text):
-        out += [text[at : found.start() + 1], "." * (len(found[0]) - 2)]
-        at = found.end() - 1
-    return "".join(out) + text[at:]
-
-
-def closing(text: str, start: int) -> int:
-    """Index of the bracket that closes the one at ``start``; -1 if none does."""
-    depth = 0
-    for at in range(start, len(text)):
-        depth += {"(": 1, ")": -1}.get(text[at], 0)
-        if depth == 0:
-            return at
-    return -1
+    shown, at = "", 0
+    for start, end in scan(text).literals:
+        shown += text[at : start + 1] + "." * (end - start - 2)
+        at = end - 1
+    return shown + text[at:]
 
 
 def top_level_parts(text: str) -> list[str]:
     """Parts between commas that stand in no bracket and no literal."""
-    cuts, depth = [-1], 0
-    for at, sign in enumerate(masked(text)):
-        if sign == "," and depth == 0:
-            cuts.append(at)
-        depth += (sign in "([{") - (sign in ")]}")
-    pieces = [text[a + 1 : b].strip() for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
-    return [p for p in pieces if p]
+    cuts = [at for at, sign, depth in scan(text).signs if sign == "," and depth == 0]
+    parts = (text[a:b].strip() for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(text)], strict=True))
+    return [p for p in parts if p]
 
 
 def items_of(text: str | None) -> list[str]:
     """Items of an annotation in brackets; none if it is empty or unbalanced."""
-    if not text:
+    signs = scan(text or "").signs
+    first = next((k for k, (_, sign, _) in enumerate(signs) if sign == "("), None)
+    if first is None:
         return []
-    start = masked(text).find("(")
-    end = closing(masked(text), start) if start >= 0 else -1
-    return top_level_parts(text[start + 1 : end]) if end >= 0 else []
+    inside, level = [], 0
+    for at, sign, _ in signs[first:]:
+        level += (sign == "(") - (sign == ")")
+        if level == 0:
+            inside.append(at)
+            break
+    return top_level_parts(text[signs[first][0] + 1 : inside[0]]) if inside else []
 
 
 def macro_of(line: str | None) -> tuple[str, str] | None:
@@ -92,12 +112,12 @@ def tex_macro(line: Column) -> Column:
 
 def item_key(item: Column) -> Column:
     """Name that an item declares; empty if it is malformed."""
-    return F.regexp_extract(item, r"^\s*([A-Za-z_$][A-Za-z0-9_$]*)", 1)
+    return F.regexp_extract(item, ITEM_KEY, 1)
 
 
 def non_semantic(key: Column) -> Column:
     """Whether an annotation has no effect: listed, or of another vendor."""
-    vendor = F.regexp_extract(key, "^__([A-Za-z0-9]+)_", 1)
+    vendor = F.regexp_extract(key, VENDOR_KEY, 1)
     return key.isin(NON_SEMANTIC) | ((vendor != "") & (vendor != OWN_VENDOR))
 
 

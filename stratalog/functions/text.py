@@ -11,8 +11,10 @@ from ..fixed import EMPTY_OUTPUT, TRUNCATED_OUTPUT
 
 #: White space that ``strip`` takes away; \s alone lacks the separators U+001C to U+001F.
 BLANK = r"[\s\x1c-\x1f]"
+#: Bytes at the end of a canonical text that are looked at.
+TAIL_BYTES = 4096
 #: Line ends of ``splitlines``.
-LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+ENDS = r"\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
 
 def strip(text: Column) -> Column:
@@ -24,8 +26,14 @@ def blank_to_empty(text: Column) -> Column:
 
 
 def first_line(text: Column) -> Column:
-    """First line of a stripped text; empty for a blank one."""
-    return F.split(strip(blank_to_empty(text)), LINE_END)[0]
+    """First line of a stripped text; empty for a blank one.
+
+    Only the first line is read; white space behind it goes if nothing follows.
+    """
+    body = blank_to_empty(text)
+    line = F.regexp_extract(body, rf"(?U)\A{BLANK}*([^{ENDS}]*)", 1)
+    alone = body.rlike(rf"(?U)\A{BLANK}*[^{ENDS}]*{BLANK}*\z")
+    return F.when(alone, strip(line)).otherwise(line)
 
 
 def branch_name(ref: Column) -> Column:
@@ -100,15 +108,17 @@ def compiler_error(text: Column) -> Column:
 def output_problem(text: Column) -> Column:
     """Why a canonical text isn't a complete model; empty if it is. Null counts as empty."""
     body = blank_to_empty(text)
-    lines = F.filter(F.split(F.right(body, F.lit(4096)), "\n"), lambda line: line.rlike(r"[^ \t\r\x0b\x0c]"))
+    tail = F.substring(body.cast("binary"), -TAIL_BYTES, TAIL_BYTES).cast("string")
+    lines = F.filter(F.split(tail, "\n"), lambda line: line.rlike(r"[^ \t\r\x0b\x0c]"))
     last = F.when(F.size(lines) > 0, F.element_at(lines, -1))
     ended = F.coalesce(last.rlike(r"^\s*end\s+[A-Za-z_][A-Za-z0-9_.]*\s*;\s*$"), F.lit(False))
     return F.when(F.octet_length(body) == 0, EMPTY_OUTPUT).when(~ended, TRUNCATED_OUTPUT).otherwise("")
 
 
 def references(text: Column) -> Column:
-    """Numbers behind ``#``, unique and sorted."""
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(blank_to_empty(text), F.lit(r"#(\d{1,18})"), F.lit(1)), lambda n: n.cast("bigint"))))
+    """Numbers behind ``#``, unique and sorted; those beyond 64 bits name nothing and are left out."""
+    found = F.transform(F.regexp_extract_all(blank_to_empty(text), F.lit(r"#(\d+)"), F.lit(1)), lambda n: n.try_cast("bigint"))
+    return F.array_sort(F.array_distinct(F.filter(found, lambda n: n.isNotNull())))
 
 
 def tex_number(number: Column) -> Column:
