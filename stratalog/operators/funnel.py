@@ -20,7 +20,7 @@ def commit_refs(branches: DataFrame, excluded: list[str]) -> DataFrame:
     """
     name = branch_name(F.col("branch"))
     out = F.lower(name).isin([b.lower() for b in excluded]) if excluded else F.lit(False)
-    named = branches.select(*COMMIT, name.alias("name"), out.alias("out"))
+    named = branches.select(*COMMIT, name.alias("name"), out.alias("out")).distinct()
     seen = named.groupBy(*COMMIT).agg(F.bool_and("out").alias("only_excluded"), F.collect_set("name").alias("all"), F.collect_set(F.when(~F.col("out"), F.col("name"))).alias("kept"))
     shown = F.when(F.col("only_excluded"), F.col("all")).otherwise(F.col("kept"))
     return seen.select(*COMMIT, F.array_join(F.array_sort(shown), "; ").alias("branches"), "only_excluded")
@@ -43,7 +43,11 @@ def changed_extensions(diffs: DataFrame) -> DataFrame:
 
 def message_reason(message: Column) -> Column:
     """Why a message looks like a bot's: the first pattern on its first line; null if a human's."""
-    line = first_line(message)
+    return line_reason(first_line(message))
+
+
+def line_reason(line: Column) -> Column:
+    """The same from the first line itself."""
     human = F.lit(False)
     for pattern in HUMAN_OVERRIDE:
         human = human | line.rlike(f"(?iuU){pattern}")
@@ -51,8 +55,8 @@ def message_reason(message: Column) -> Column:
     return F.when(~human & (line != ""), F.coalesce(*hits))
 
 
-def bot_reason(name: Column, email: Column, message: Column, extensions: Column, names: list[str], emails: list[str]) -> Column:
-    """Why a commit is a bot's, by name, e-mail, then message; null if it isn't.
+def bot_reason(name: Column, email: Column, line: Column, extensions: Column, names: list[str], emails: list[str]) -> Column:
+    """Why a commit is a bot's, by name, e-mail, then the message's first line; null if it isn't.
 
     A message about documentation only is a human's if other kinds of files changed.
     """
@@ -60,23 +64,24 @@ def bot_reason(name: Column, email: Column, message: Column, extensions: Column,
     by_email = contains_any(blank_to_empty(email), emails)
     doc_only = F.lit(False)
     for pattern in DOC_ONLY:
-        doc_only = doc_only | first_line(message).rlike(f"(?iuU){pattern}")
+        doc_only = doc_only | line.rlike(f"(?iuU){pattern}")
     others = F.size(F.array_except(F.coalesce(extensions, F.array().cast("array<string>")), F.array(*map(F.lit, DOC_EXTENSIONS)))) > 0
     return F.coalesce(
         F.when(by_name.isNotNull(), F.concat(F.lit("author name contains '"), by_name, F.lit("'"))),
         F.when(by_email.isNotNull(), F.concat(F.lit("author email contains '"), by_email, F.lit("'"))),
-        F.when(~(doc_only & others), message_reason(message)),
+        F.when(~(doc_only & others), line_reason(line)),
     )
 
 
-def before_tag(authored: Column, tag: str | None, cutoff: datetime | None) -> Column:
+def before_tag(authored: Column, tag: str | None, cutoff: Column | datetime | None) -> Column:
     """Reason of a commit authored before the cutoff; null at or after it, or without one."""
     if cutoff is None:
         return F.lit(None).cast("string")
-    return F.when(authored < F.lit(cutoff), F.lit(f"before tag {tag} (tag date: {cutoff:%Y-%m-%d})"))
+    at = cutoff if isinstance(cutoff, Column) else F.lit(cutoff)
+    return F.when(authored < at, F.concat(F.lit(f"before tag {tag} (tag date: "), F.date_format(at, "yyyy-MM-dd"), F.lit(")")))
 
 
-def too_old(authored: Column, limit_years: float | None, now: datetime) -> Column:
+def too_old(authored: Column, limit_years: float | None, now: datetime | None) -> Column:
     """Reason of a commit older than the limit in years of 365.25 days; null without a limit."""
     if limit_years is None:
         return F.lit(None).cast("string")
@@ -95,13 +100,23 @@ def tag_cutoff(tags: DataFrame, source: str, tag: str | None) -> datetime | None
     return row[0]
 
 
+def tag_cutoffs(commits: DataFrame, tags: DataFrame, tag: str) -> DataFrame:
+    """(source_name, cutoff) of every source; one without the tag is an error."""
+    named = tags.filter(F.col("tag") == tag).groupBy("source_name").agg(F.min("authored_ts").alias("cutoff"))
+    found = commits.select("source_name").distinct().join(named, "source_name", "left")
+    lacking = found.filter("cutoff is null").select("source_name").first()
+    if lacking is not None:
+        raise LookupError(f"tag {tag} of {lacking[0]} is not there")
+    return found
+
+
 def funnel(
     commits: DataFrame,
     branches: DataFrame,
     diffs: DataFrame,
     excluded_branches: list[str] | None = None,
     tag: str | None = None,
-    cutoff: datetime | None = None,
+    cutoff: datetime | DataFrame | None = None,
     limit_years: float | None = None,
     now: datetime | None = None,
     bot_names: list[str] | None = None,
@@ -110,17 +125,23 @@ def funnel(
     """Every commit with the first reason for which it is left out, or none.
 
     Order: excluded branch, before the tag, too old, bot, no model files. Order
-    of commits stays in ``seq``. All joins are on the commit's key.
+    of commits stays in ``seq``. All joins are on the commit's key. ``cutoff`` is
+    one time, or one of each source (``tag_cutoffs``). An age limit needs ``now``.
     """
+    if limit_years is not None and now is None:
+        raise ValueError("an age limit needs the time that ages are counted from")
     refs = commit_refs(branches, excluded_branches or [])
     extensions = changed_extensions(diffs)
     touching = touched_files(diffs).select(*COMMIT).distinct().withColumn("touching", F.lit(True))
     joined = commits.join(refs, COMMIT).join(extensions, COMMIT, "left").join(touching, COMMIT, "left")
+    if isinstance(cutoff, DataFrame):
+        joined, cutoff = joined.join(F.broadcast(cutoff.select("source_name", "cutoff")), "source_name", "left"), F.col("cutoff")  # one row a source
+    joined = joined.withColumn("line", first_line(F.col("message")))
     reason = F.coalesce(
         F.when(F.col("only_excluded"), EXCLUDED_BRANCH),
         before_tag(F.col("authored_ts"), tag, cutoff),
-        too_old(F.col("authored_ts"), limit_years, now or datetime(1970, 1, 1)),
-        bot_reason(F.col("author_name"), F.col("author_email"), F.col("message"), F.col("extensions"), bot_names or [], bot_emails or []),
+        too_old(F.col("authored_ts"), limit_years, now),
+        bot_reason(F.col("author_name"), F.col("author_email"), F.col("line"), F.col("extensions"), bot_names or [], bot_emails or []),
         F.when(F.col("touching").isNull(), NO_FILES),
         F.lit(""),
     )

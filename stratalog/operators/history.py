@@ -41,7 +41,9 @@ def neighbours(versions: DataFrame, keys: list[str], value: str) -> DataFrame:
 @dataclass
 class History:
     """Queries over stored tables. Methods return DataFrames; ``texts`` has
-    (source_name, commit_hash, class_name, text)."""
+    (source_name, commit_hash, class_name, text), ``github`` the repository of
+    each source, ``payloads`` records fetched from there: (repository, kind,
+    key, payload), kind being commit, pulls (both by commit) or issue (by number)."""
 
     commits: DataFrame
     listing: DataFrame
@@ -49,6 +51,7 @@ class History:
     failures: DataFrame
     texts: DataFrame | None = None
     github: dict[str, str] | None = None
+    payloads: DataFrame | None = None
 
     def __enter__(self) -> History:
         return self
@@ -152,6 +155,26 @@ class History:
             raise ValueError(f"no repository is known for {source}")
         return found
 
+    def _payload(self, source: str, kind: str, key: str | None = None) -> DataFrame:
+        if self.payloads is None:
+            raise ValueError("no fetched records were given")
+        own = (F.col("repository") == self.github_repository(source)) & (F.col("kind") == kind)
+        return self.payloads.filter(own if key is None else own & (F.col("key") == key))
+
+    def get_github_commit(self, source: str, commit: str) -> DataFrame:
+        return self._payload(source, "commit", commit).select(github_commit(F.col("payload")).alias("c")).select("c.*")
+
+    def get_github_pull_requests(self, source: str, commit: str) -> DataFrame:
+        return self._payload(source, "pulls", commit).select(F.explode(github_pulls(F.col("payload"))).alias("p")).select("p.*")
+
+    def get_github_issue(self, source: str, number: int) -> DataFrame:
+        return self._payload(source, "issue", str(number)).select(github_issue(F.col("payload")).alias("i")).select("i.*")
+
+    def get_github_linked_issues(self, source: str, commit: str) -> DataFrame:
+        """Issues among the fetched records that a commit's message refers to."""
+        issues = self._payload(source, "issue").select(github_issue(F.col("payload")).alias("i")).select("i.*")
+        return self.get_linked_issues(source, commit, issues)
+
     def get_linked_issues(self, source: str, commit: str, issues: DataFrame) -> DataFrame:
         """Issues that a commit's message refers to; unknown numbers are passed over."""
         numbers = self.get_commit(source, commit).select(F.explode(references(F.col("commit_message"))).alias("number"))

@@ -128,8 +128,15 @@ def outcomes(candidates: DataFrame, texts: DataFrame, root: str, items: DataFram
     )
 
 
+def commit_failures(problems: DataFrame, at: Column) -> DataFrame:
+    """Failure log of commits that could not be processed: problems are (source_name,
+    commit_hash, failure_type, compiler_message), with one of the failure types."""
+    known = problems.filter(F.col("failure_type").isin(FAILURE_TYPES))
+    return known.select(*COMMIT, F.lit("").alias("class_name"), "failure_type", strip(F.coalesce("compiler_message", F.lit(""))).alias("compiler_message"), at.alias("created_at_utc"))
+
+
 def failure_rows(outcome_rows: DataFrame, at: Column) -> DataFrame:
-    """Failure log of outcomes without a text, to be appended."""
+    """Failure log of outcomes without a text."""
     return outcome_rows.filter("canonical_produced = 0").select(*CLASS, F.lit(FAILURE_TYPES[4]).alias("failure_type"), F.col("error_message").alias("compiler_message"), at.alias("created_at_utc"))
 
 

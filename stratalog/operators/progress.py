@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed import ALL_SCOPE, PILOT_SCOPE
 from ..functions.numbers import percent
+from ..functions.text import metric_words
 
 COMMIT = ["source_name", "commit_hash"]
 
@@ -123,5 +125,43 @@ def setting(settings: DataFrame, step: int, key: str, default: str = "") -> str:
     return row[0] if row else default
 
 
+def run_log(run_id: int, source: str, step: str, at: datetime, settings: str, sources: DataFrame) -> DataFrame:
+    """Log row of a run that begins; its duration comes later."""
+    row = sources.sparkSession.range(1).select(F.lit(run_id).cast("long").alias("id"))
+    return row.select("id", F.lit(source).alias("source_name"), F.lit(step).alias("step_name"), F.lit(at).alias("generated_at_utc"), F.lit(None).cast("double").alias("duration_s"), F.lit(settings).alias("run_settings_json"))
+
+
+def finished_run(logs: DataFrame, run_id: int, seconds: float) -> DataFrame:
+    """The log row of a run with its duration, to be upserted."""
+    return logs.filter(F.col("id") == run_id).withColumn("duration_s", F.lit(float(seconds)))
+
+
+def metric_rows(values: DataFrame, run_id: int, step: int) -> DataFrame:
+    """(name, value) as metric rows of a run, to be upserted by run and name."""
+    return values.select(F.lit(run_id).cast("long").alias("run_id"), "name", F.lit(step).alias("step"), "value", F.xxhash64("name").alias("seq"))
+
+
+def metric_names(values: DataFrame) -> DataFrame:
+    """(name, words) of the macros that TeX files define, as seeds of metric names."""
+    return values.select("name", metric_words(F.col("name")).alias("words")).distinct()
+
+
+def source_record(sources: DataFrame, name: str) -> dict | None:
+    """One enabled source by name; None if it isn't there, isn't enabled, or the table can't be read."""
+    try:
+        row = sources.filter((F.col("name") == name) & (F.col("enabled") == 1)).first()
+    except AnalysisException:
+        return None
+    return None if row is None else row.asDict()
+
+
+def moved_paths(sources: DataFrame, root: str) -> DataFrame:
+    """Sources whose repository path is absolute and lies outside ``root``, with
+    the path by which they are named there, to be upserted."""
+    inside = F.concat(F.lit(root.rstrip("/") + "/"), F.element_at(F.split(F.rtrim(F.col("repo_path"), F.lit("/")), "/"), -1))
+    stale = F.col("repo_path").startswith("/") & ~F.col("repo_path").startswith(root.rstrip("/") + "/")
+    return sources.filter(stale).withColumn("repo_path", inside)
+
+
 def enabled_sources(sources: DataFrame) -> DataFrame:
     return sources.filter("enabled = 1").orderBy("name")

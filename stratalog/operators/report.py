@@ -11,15 +11,18 @@ from ..fixed import BOT_SIGNS, EMPTY_FAILURE, FAILURES, OTHER_FAILURE, REPORTED_
 from ..functions.numbers import percent
 from ..functions.text import first_match, strip
 from .listing import commit_counts, growth, listing_totals
+from .upsert import numbered
 
 COMMIT = ["source_name", "commit_hash"]
+#: Rows of a series that a task orders.
+BLOCK_ROWS = 100_000
 
 
 def reason_bucket(reason: Column) -> Column:
     """Bucket of an exclusion reason by what it contains; null for none."""
     low = F.lower(reason)
     bot = reduce(lambda a, b: a | b, [low.contains(s) for s in BOT_SIGNS])
-    return F.when(low.contains("excluded branch"), "branch").when(low.contains("before tag"), "tag").when(low.contains("no .mo files"), "files").when(bot, "bot")
+    return F.when(low.contains("excluded branch"), "branch").when(low.contains("before tag"), "tag").when(low.startswith("commit date:"), "age").when(low.contains("no .mo files"), "files").when(bot, "bot")
 
 
 def funnel_metrics(commits: DataFrame) -> DataFrame:
@@ -27,14 +30,14 @@ def funnel_metrics(commits: DataFrame) -> DataFrame:
     bucket = F.when(F.col("excluded") == 1, reason_bucket(F.col("exclusion_reason")))
     counted = commits.agg(
         F.count("*").alias("FilterInputCommits"),
-        *[F.count_if(bucket == b).alias(name) for b, name in (("branch", "FilterExclBranches"), ("tag", "FilterExclPreVThree"), ("bot", "FilterExclBot"), ("files", "FilterExclNoMo"))],
+        *[F.count_if(bucket == b).alias(name) for b, name in (("branch", "FilterExclBranches"), ("tag", "FilterExclPreVThree"), ("age", "FilterExclAge"), ("bot", "FilterExclBot"), ("files", "FilterExclNoMo"))],
         F.count_if(F.col("excluded") == 0).alias("FilterRetained"),
     )
     return counted.withColumns(
         {
             "FilterAfterBranches": F.col("FilterInputCommits") - F.col("FilterExclBranches"),
             "FilterAfterPreVThree": F.col("FilterInputCommits") - F.col("FilterExclBranches") - F.col("FilterExclPreVThree"),
-            "FilterAfterBot": F.col("FilterInputCommits") - F.col("FilterExclBranches") - F.col("FilterExclPreVThree") - F.col("FilterExclBot"),
+            "FilterAfterBot": F.col("FilterInputCommits") - F.col("FilterExclBranches") - F.col("FilterExclPreVThree") - F.col("FilterExclAge") - F.col("FilterExclBot"),
             "FilterRetainedPct": percent(F.col("FilterRetained"), F.col("FilterInputCommits")),
         }
     )
@@ -98,9 +101,12 @@ def failure_class(message: Column) -> Column:
 
 
 def failure_histogram(outcomes: DataFrame, extra: int = 0) -> DataFrame:
-    """(label, n) of failures with a message, most first; load failures folded in."""
-    failed = outcomes.filter("canonical_produced = 0 and error_message <> ''")
-    counts = failed.groupBy(failure_class(F.col("error_message")).alias("label")).agg(F.count("*").alias("n"))
+    """(label, n) of failures, most first; load failures folded in.
+
+    Failures without a message count as such, so that classes add up to failures.
+    """
+    failed = outcomes.filter("canonical_produced = 0")
+    counts = failed.groupBy(failure_class(F.coalesce("error_message", F.lit(""))).alias("label")).agg(F.count("*").alias("n"))
     if extra:
         more = failed.sparkSession.range(1).select(F.lit("Package load failure").alias("label"), F.lit(extra).cast("long").alias("n"))
         counts = counts.unionByName(more).groupBy("label").agg(F.sum("n").alias("n"))
@@ -121,10 +127,17 @@ def moving_average_window(n: int) -> int:
 def moving_average(series: DataFrame, order: list[str], value: str, k: int) -> DataFrame:
     """Rows with the mean of a centred frame of k rows; incomplete frames give none.
 
-    The series has one row a commit, so it is ordered in one task.
+    Rows are numbered in ranges of the order, and each goes to the block of its
+    number; the rows at a block's edges go to the neighbours along with it, so
+    that no task orders the whole series. Rows equal in ``order`` stand in any order.
     """
-    frame = Window.orderBy(*order).rowsBetween(-(k // 2), k - 1 - k // 2)
-    return series.withColumns({"mean": F.avg(value).over(frame), "__n": F.count("*").over(frame)}).filter(F.col("__n") == k).drop("__n")
+    block = max(BLOCK_ROWS, k)
+    at = F.col("seq__")
+    near = F.array(*[F.floor((at + d) / block) for d in (-k, 0, k)])
+    spread = numbered(series, order).withColumnRenamed("seq", "seq__").withColumn("block__", F.explode(F.array_distinct(near)))
+    frame = Window.partitionBy("block__").orderBy("seq__").rowsBetween(-(k // 2), k - 1 - k // 2)
+    framed = spread.withColumns({"mean": F.avg(value).over(frame), "n__": F.count("*").over(frame)})
+    return framed.filter((F.floor(at / block) == F.col("block__")) & (F.col("n__") == k)).drop("n__", "seq__", "block__")
 
 
 def timeline(listing: DataFrame, dates: DataFrame) -> DataFrame | None:
@@ -142,7 +155,7 @@ def invariants(values: dict[str, int], categories: int, package_load: int, extra
     """(label, left, right, ok) of what must agree between the metrics."""
     states = progress or {}
     found = [
-        ("retained + excluded = input", values["FilterRetained"] + sum(values[f"FilterExcl{b}"] for b in ("Branches", "PreVThree", "Bot", "NoMo")), values["FilterInputCommits"]),
+        ("retained + excluded = input", values["FilterRetained"] + sum(values[f"FilterExcl{b}"] for b in ("Branches", "PreVThree", "Age", "Bot", "NoMo")), values["FilterInputCommits"]),
         ("listed + unlisted commits = retained", listed_commits + unlisted, values["FilterRetained"]),
         ("eligible + other = all", values["ListExperimentVersions"] + values["ListNonExperimentVersions"], values["ListAllClassVersions"]),
     ]

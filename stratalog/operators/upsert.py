@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..schemas import TABLES, conform, empty
+from ..schemas import KEYS, TABLES, conform, empty
 
 
 def latest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
@@ -36,79 +37,147 @@ def delete_keys(old: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
 
 
 class Store:
-    """Tables of ``schemas.TABLES`` in one folder, partitioned by source where they have one.
+    """Tables of ``schemas.TABLES`` in one folder. Those with a source and a key
+    are partitioned by source and, below it, by a hash of the key.
 
-    A keyed write joins new rows with the stored ones of the same sources only
-    and replaces just these partitions (dynamic overwrite), through a staged
-    copy, as a table can't be read and replaced in one plan.
+    A keyed write reads and replaces only the partitions that its keys fall
+    into, through a staged copy, as a table can't be read and replaced in one
+    plan. Partitions that are left without rows are deleted.
     """
 
+    #: Parts of a source's rows.
+    PARTS = 16
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _there(self, path: str) -> bool:
+    def _place(self, path: str):
         place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place)
+        return place, place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _there(self, path: str) -> bool:
+        place, files = self._place(path)
+        return files.exists(place)
 
     def read(self, name: str) -> DataFrame:
         """The table; one that isn't there is empty."""
         path = f"{self.path}/{name}"
-        return conform(self.spark.read.parquet(path), TABLES[name]) if self._there(path) else empty(self.spark, name)
+        if not self._there(path):
+            return empty(self.spark, name)
+        # The type of a partition's name isn't to be guessed: 007 is no number.
+        known = [T.StructField(f.name, T.StringType()) if f.name == "source_name" else f for f in self.spark.read.parquet(path).schema]
+        return conform(self.spark.read.schema(T.StructType(known)).parquet(path), TABLES[name])
 
     def views(self) -> None:
         """Register every table for SQL."""
         for name in TABLES:
             self.read(name).createOrReplaceTempView(name)
 
+    def _split(self, name: str) -> bool:
+        return "source_name" in TABLES[name].fieldNames() and name in KEYS
+
+    def _parted(self, name: str, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("part", F.pmod(F.xxhash64(*KEYS[name]), F.lit(self.PARTS)).cast("int"))
+
+    def frozen(self, rows: DataFrame) -> DataFrame:
+        """The rows as they are now, whatever is written later: kept beside the tables."""
+        path = f"{self.path}/.frozen-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     def append(self, name: str, rows: DataFrame) -> None:
         self._write(name, rows, "append")
 
-    def replace_sources(self, name: str, rows: DataFrame) -> None:
-        """All rows of the sources in ``rows``, in one commit."""
-        self._write(name, rows, "overwrite")
+    def replace_sources(self, name: str, rows: DataFrame, sources: list[str] | None = None) -> None:
+        """All rows of ``sources`` (those in ``rows`` if not given): the ones in
+        ``rows`` take their place, and a source without any has none left."""
+        new = conform(rows, TABLES[name])
+        if not self._split(name):
+            return self._staged(name, new, None)
+        named = [r[0] for r in new.select("source_name").distinct().collect()] if sources is None else sources  # one row a source
+        every = self.spark.createDataFrame([(s, p) for s in named for p in range(self.PARTS)], "source_name string, part int")
+        return self._staged(name, new.filter(F.col("source_name").isin(named)), every)
 
     def upsert(self, name: str, rows: DataFrame, keys: list[str]) -> None:
         new = conform(rows, TABLES[name])
-        old = self.read(name)
-        if "source_name" in old.columns:
-            old = old.join(F.broadcast(new.select("source_name").distinct()), "source_name", "left_semi")
-        self._staged(name, upsert(old, new, keys))
+        if not self._split(name):
+            return self._staged(name, upsert(self.read(name), new, keys), None)
+        touched = self._parted(name, new).select("source_name", "part").distinct()
+        return self._staged(name, upsert(self._in(name, touched), new, keys), touched)
+
+    def _in(self, name: str, touched: DataFrame) -> DataFrame:
+        """Stored rows in partitions: at most ``PARTS`` rows a source are broadcast."""
+        return self._parted(name, self.read(name)).join(F.broadcast(touched), ["source_name", "part"], "left_semi").drop("part").select(TABLES[name].fieldNames())
 
     def insert_absent(self, name: str, seeds: DataFrame, keys: list[str]) -> None:
-        self._staged(name, insert_absent(self.read(name), conform(seeds, TABLES[name]), keys))
+        self._staged(name, insert_absent(self.read(name), conform(seeds, TABLES[name]), keys), None)
 
     def delete(self, name: str, gone: DataFrame, keys: list[str]) -> None:
-        self._staged(name, delete_keys(self.read(name), gone, keys))
+        old = self.read(name)
+        if not self._split(name):
+            return self._staged(name, delete_keys(old, gone, keys), None)
+        touched = self._parted(name, old.join(gone.select(*keys).distinct(), keys, "left_semi").select(old.columns)).select("source_name", "part").distinct()
+        return self._staged(name, delete_keys(self._in(name, touched), gone, keys), touched)
 
     def drop(self, confirmed: bool = False) -> None:
         """Delete all tables; only if it is confirmed."""
         if not confirmed:
             raise PermissionError("deleting all tables must be confirmed")
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+        place, files = self._place(self.path)
+        files.delete(place, True)
 
-    def _staged(self, name: str, rows: DataFrame) -> None:
+    def _staged(self, name: str, rows: DataFrame, touched: DataFrame | None) -> None:
+        """Put rows in the place of those in the partitions touched, or of the whole table."""
         stage = f"{self.path}/.stage-{uuid.uuid4().hex}"
-        rows.write.parquet(stage)
-        self._write(name, self.spark.read.schema(rows.schema).parquet(stage), "overwrite")
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(stage)
-        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+        rows.write.parquet(f"{stage}/rows")
+        made = self.spark.read.schema(rows.schema).parquet(f"{stage}/rows")
+        left = []
+        if touched is not None:
+            touched.write.parquet(f"{stage}/touched")
+            touched = self.spark.read.schema("source_name string, part int").parquet(f"{stage}/touched")
+            held = self._parted(name, made).select("source_name", "part").distinct()
+            left = touched.join(held, ["source_name", "part"], "left_anti").collect()  # at most PARTS rows a source
+        if touched is None and self._split(name):
+            place, files = self._place(f"{self.path}/{name}")
+            files.delete(place, True)
+        self._write(name, made, "overwrite")
+        escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        for r in left:
+            place, files = self._place(f"{self.path}/{name}/source_name={escape(r['source_name'])}/part={r['part']}")
+            files.delete(place, True)
+        place, files = self._place(stage)
+        files.delete(place, True)
 
     def _write(self, name: str, rows: DataFrame, mode: str) -> None:
-        writer = conform(rows, TABLES[name]).write.mode(mode)
-        if "source_name" in TABLES[name].fieldNames():
-            writer = writer.partitionBy("source_name").option("partitionOverwriteMode", "dynamic")
+        rows = conform(rows, TABLES[name])
+        if self._split(name):
+            writer = self._parted(name, rows).write.mode(mode).partitionBy("source_name", "part").option("partitionOverwriteMode", "dynamic")
+        else:
+            writer = rows.write.mode(mode)
         writer.parquet(f"{self.path}/{name}")
 
 
-def numbered(df: DataFrame, order: list[str], start: int = 0, ranges: int = 64) -> DataFrame:
+def numbered(df: DataFrame, order: list[str], start: int = 0, rows_a_range: int = 1_000_000) -> DataFrame:
     """Add ``seq``: places from ``start`` on in the given order, without gaps.
 
     Rows are cut into ranges of the order, counted, and numbered within them.
+    The bounds of the ranges are taken first and fixed, so that a task that is
+    run again puts its rows where they were; rows equal in ``order`` share a
+    range and stand in any order.
     """
-    cut = df.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id())
-    counts = cut.groupBy("__range").agg(F.count("*").alias("__n"))
+    wanted = max(1, min(1000, -(-df.count() // rows_a_range)))
+    bounds = []
+    if wanted > 1:
+        cut = df.select(*order).repartitionByRange(wanted, *order).groupBy(F.spark_partition_id().alias("range"))
+        least = cut.agg(F.min(F.struct(*order)).alias("least"))
+        bounds = [r["least"] for r in least.orderBy("least").collect()][1:]  # fewer than a thousand
+    kinds = df.select(*order).schema
+    own = F.struct(*order)
+    fixed = [F.struct(*[F.lit(b[f.name]).cast(f.dataType).alias(f.name) for f in kinds]) for b in bounds]
+    place = F.size(F.filter(F.array(*fixed), lambda b: b <= own)) if fixed else F.lit(0)
+    ranged = df.withColumn("__range", place)
+    counts = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     inner = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
-    return cut.join(F.broadcast(starts), "__range").withColumn("seq", (inner + F.col("__before") + start).cast("long")).drop("__range", "__before")
+    return ranged.join(F.broadcast(starts), "__range").withColumn("seq", (inner + F.col("__before") + start).cast("long")).drop("__range", "__before")

@@ -32,38 +32,57 @@ class Run:
 
     def step_one(self, commits: DataFrame, branches: DataFrame, diffs: DataFrame, tags: DataFrame) -> None:
         """Funnel and touched files of all sources; each source's rows are replaced."""
-        cutoffs = {r[0]: funnel.tag_cutoff(tags, r[0], self.tag) for r in commits.select("source_name").distinct().collect()} if self.tag else {None: None}
-        rows = None
-        for source, cutoff in cutoffs.items():
-            own = [t if source is None else t.filter(F.col("source_name") == source) for t in (commits, branches, diffs)]
-            part = funnel.funnel(*own, self.excluded_branches, self.tag, cutoff, self.limit_years, self.now)
-            rows = part if rows is None else rows.unionByName(part)
-        self.store.replace_sources("commits", rows)
-        self.store.replace_sources("files", funnel.retained_files(self.store.read("commits"), diffs))
-
-    def step_two(self, listed: DataFrame) -> None:
-        """Listings of commits not complete yet; a rerun finds nothing left to do."""
-        todo = progress.remaining(self.store.read("commits"), self.store.read("listing_progress"))
+        cutoffs = funnel.tag_cutoffs(commits, tags, self.tag) if self.tag else None
+        rows = funnel.funnel(commits, branches, diffs, self.excluded_branches, self.tag, cutoffs, self.limit_years, self.now)
+        sources = [r[0] for r in commits.select("source_name").distinct().collect()]  # one row a source
+        self.store.replace_sources("commits", rows, sources)
+        self.store.replace_sources("files", funnel.retained_files(self.store.read("commits"), diffs), sources)
+
+    def _begin(self, todo: DataFrame, table: str) -> None:
+        """Mark commits as begun, so that one cut short differs from one never begun."""
+        self.store.upsert(table, todo.select(*COMMIT, F.lit("processing").alias("status"), F.lit(self.now).alias("last_updated_utc")), KEYS[table])
+
+    def _log(self, failed: DataFrame) -> None:
+        """Failures under an id of what failed: a rerun replaces its own rows."""
+        self.store.upsert("failures", failed.withColumn("id", F.xxhash64("source_name", "commit_hash", "class_name", "failure_type")), KEYS["failures"])
+
+    def step_two(self, listed: DataFrame, problems: DataFrame | None = None) -> None:
+        """Listings of commits not complete yet; a rerun finds nothing left to do.
+
+        problems: commits that could not be checked out or loaded, with failure type and message.
+        """
+        todo = self.store.frozen(progress.remaining(self.store.read("commits"), self.store.read("listing_progress")))
+        self._begin(todo, "listing_progress")
+        if problems is not None:
+            self._log(listing.commit_failures(problems.join(todo, COMMIT, "left_semi"), F.lit(self.now)))
         rows = listed.join(todo, COMMIT, "left_semi")
         self.store.upsert("listing", rows, KEYS["listing"])
         self.store.upsert("listing_progress", progress.listing_progress(todo, self.store.read("listing"), self.now), KEYS["listing_progress"])
 
-    def step_three(self, texts: DataFrame) -> None:
+    def step_three(self, texts: DataFrame, problems: DataFrame | None = None) -> None:
         """Outcomes of eligible classes of commits not complete yet.
 
-        Outcomes are upserted before states, so that what was cut short is done again.
+        Outcomes and failures are upserted before states, so that what was cut
+        short is done again and counts once. problems: commits that could not be
+        loaded or cleaned, with failure type and message; their classes have no outcome.
         """
-        todo = progress.remaining(self.store.read("commits"), self.store.read("outcome_progress"))
+        todo = self.store.frozen(progress.remaining(self.store.read("commits"), self.store.read("outcome_progress")))
+        self._begin(todo, "outcome_progress")
+        lost = None if problems is None else problems.join(todo, COMMIT, "left_semi")
         items = listing.enabled_whitelist(self.store.read("whitelist")) if self.pilot else None
         if self.pilot:
             candidates = listing.pilot_candidates(todo, items)
         else:
             candidates = self.store.read("listing").filter("is_experiment = 1").join(todo, COMMIT, "left_semi")
+        if lost is not None:
+            candidates = candidates.join(lost.select(*COMMIT).distinct(), COMMIT, "left_anti")
         made = listing.outcomes(candidates, texts, self.root, items, self.allow_prefix)
         self.store.upsert("outcomes", made, KEYS["outcomes"])
         fresh = self.store.read("outcomes").join(todo, COMMIT, "left_semi")
-        failed = listing.failure_rows(fresh, F.lit(self.now)).withColumn("id", F.xxhash64("source_name", "commit_hash", "class_name", "created_at_utc"))
-        self.store.append("failures", failed)
+        failed = listing.failure_rows(fresh, F.lit(self.now))
+        if lost is not None:
+            failed = failed.unionByName(listing.commit_failures(lost, F.lit(self.now)))
+        self._log(failed)
         counts = progress.outcome_counts(fresh, failed, todo)
         states = counts.select(*COMMIT, F.lit("complete").alias("status"), F.col("classes").alias("processed_classes_count"), F.col("saved").alias("saved_models_count"), F.col("failed").alias("failure_count"), F.lit(self.now).alias("last_updated_utc"))
         self.store.upsert("outcome_progress", states, KEYS["outcome_progress"])

@@ -34,6 +34,7 @@ INPUTS = Schemas({
     "class_listing": "source_name string, commit_hash string, class_name string, is_experiment int",
     "canonical_texts": "source_name string, commit_hash string, class_name string, text string, error_message string",
     "annotations": "source_name string, commit_hash string, package string, annotation string",
+    "github_payloads": "repository string, kind string, key string, payload string",
 })
 
 #: Stored tables. Commits and failures carry ``seq``: the order in which they came.
@@ -58,6 +59,8 @@ KEYS = {
     "settings": ["step", "key"],
     "whitelist": ["class_name"],
     "commits": ["source_name", "commit_hash"],
+    "run_logs": ["id"],
+    "metrics": ["run_id", "name"],
     "files": ["source_name", "commit_hash", "mo_file_path"],
     "listing": ["source_name", "commit_hash", "class_name"],
     "listing_progress": ["source_name", "commit_hash"],

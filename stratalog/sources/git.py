@@ -3,13 +3,15 @@
     spark.dataSource.register(GitHistory)
     spark.read.format("git_history").option("path", repo).option("rows", "commits").load()
 
-rows is commits (default), branches or diffs. Every remote branch (or local
+fallbacks names further paths, separated by semicolons, for where the first is
+no repository. rows is commits (default), branches or diffs. Every remote branch (or local
 one, if there is no remote) is a partition of branches; commits and diffs are
 dealt out by ranges of hashes.
 """
 
 from __future__ import annotations
 
+import os
 import subprocess
 from collections.abc import Iterator
 from datetime import datetime, timezone
@@ -45,7 +47,10 @@ class Part(InputPartition):
 
 class GitReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.path, self.rows = options["path"], options.get("rows", "commits")
+        self.rows = options.get("rows", "commits")
+        # Of the paths that are given, the first that is a repository.
+        given = [options["path"], *filter(None, options.get("fallbacks", "").split(";"))]
+        self.path = next((p for p in given if os.path.exists(os.path.join(p, ".git")) or os.path.exists(os.path.join(p, "HEAD"))), given[0])
         self.source = options.get("source", self.path.rstrip("/").rsplit("/", 1)[-1])
 
     def partitions(self) -> list[Part]:

@@ -14,6 +14,7 @@ from stratalog import schemas
 from stratalog.operators import funnel, history, listing, progress, report, upsert
 from stratalog.plans.steps import Run, tex_lines, updated_tex
 from stratalog.sources import readers
+from stratalog.sources import settings as environment
 from stratalog.sources.git import GitHistory
 from stratalog.streaming import incremental
 
@@ -195,6 +196,102 @@ def test_history_queries(spark):
             h.github_repository("?")
 
 
+def test_github_lookups(spark):
+    h = dataset(spark)
+    rows = [("o/r", "commit", "b", json.dumps({"sha": "b"})), ("o/r", "pulls", "b", json.dumps([{"number": 4}, {"number": 5}])), ("o/r", "issue", "7", json.dumps({"number": 7, "title": "t"})), ("x/y", "commit", "b", json.dumps({"sha": "other"}))]
+    with pytest.raises(ValueError):
+        h.get_github_commit("S", "b")
+    h.payloads = frame(spark, "github_payloads", rows)
+    assert [r["sha"] for r in h.get_github_commit("S", "b").collect()] == ["b"] and h.get_github_commit("S", "?").count() == 0
+    assert [r["number"] for r in h.get_github_pull_requests("S", "b").collect()] == [4, 5]
+    assert h.get_github_issue("S", 7).first()["title"] == "t" and h.get_github_issue("S", 8).first() is None
+    assert [r["number"] for r in h.get_github_linked_issues("S", "b").collect()] == [7]
+
+
+def test_runs_and_metrics(spark, tmp_path):
+    store = upsert.Store(spark, str(tmp_path / "store"))
+    store.upsert("run_logs", progress.run_log(1, "S", "step1", T0, "{}", store.read("sources")), ["id"])
+    assert store.read("run_logs").first()["duration_s"] is None
+    store.upsert("run_logs", progress.finished_run(store.read("run_logs"), 1, 2.5), ["id"])
+    assert [r["duration_s"] for r in store.read("run_logs").collect()] == [2.5]
+    for value in ("old", "new"):
+        values = spark.createDataFrame([("m", value), ("n", "1")], "name string, value string")
+        store.upsert("metrics", progress.metric_rows(values, 1, 1), schemas.KEYS["metrics"])
+    assert sorted((r["name"], r["value"]) for r in store.read("metrics").collect()) == [("m", "new"), ("n", "1")]
+    assert progress.metric_names(spark.createDataFrame([("StepOneInputCommits",)], "name string")).first()["words"] == "input commits"
+
+
+def test_sources_and_settings(spark, tmp_path):
+    rows = frame(spark, "sources", [("S", "/old/place/lib", "", 1, "", "", None), ("T", "lib", "", 0, "", "", None)])
+    assert progress.source_record(rows, "S")["repo_path"] == "/old/place/lib" and progress.source_record(rows, "T") is None
+    assert progress.source_record(spark.createDataFrame([("S",)], "name string"), "S") is None
+    assert [(r["name"], r["repo_path"]) for r in progress.moved_paths(rows, "/new").collect()] == [("S", "/new/lib")]
+    (tmp_path / ".env").write_text("# note\nexport A = 'x y'\nB=\"\"\nnothing\n=v\nC=1\n")
+    found = environment.read_environment(str(tmp_path / ".env"), {"C": "2", "D": "3"})
+    assert found == {"A": "x y", "B": "", "C": "2"} and environment.read_environment(str(tmp_path / "none"), {"D": "3"}) == {}
+    assert environment.settings_table(spark, found, 3).count() == 3
+    assert environment.repository_path(" lib/x ", "/root") == "/root/lib/x" and environment.repository_path("/a/../b", "/root") == "/b"
+
+
+def test_store_deletes_and_replaces(spark, tmp_path):
+    store = upsert.Store(spark, str(tmp_path / "store"))
+    rows = [(s, f"c{k}", "p.mo", 0) for s in ("a", "b=/ x", "007") for k in range(40)]
+    store.replace_sources("files", frame(spark, "files", rows))
+    assert sorted(tuple(r) for r in store.read("files").collect()) == sorted(rows)
+    store.delete("files", frame(spark, "files", rows[:40]), schemas.KEYS["files"])
+    assert sorted(tuple(r) for r in store.read("files").collect()) == sorted(rows[40:])
+    store.delete("files", frame(spark, "files", rows[40:42]).select("commit_hash"), ["commit_hash"])
+    assert store.read("files").count() == 76
+    store.replace_sources("files", frame(spark, "files", []), ["b=/ x"])
+    assert {r[0] for r in store.read("files").select("source_name").distinct().collect()} == {"007"}
+    store.upsert("files", frame(spark, "files", [("007", "c5", "p.mo", 1), ("n", "c", "q.mo", 0)]), schemas.KEYS["files"])
+    assert store.read("files").filter("is_baseline = 1").count() == 1 and store.read("files").count() == 39
+
+
+def test_commits_that_could_not_be_processed(spark, tmp_path):
+    store = upsert.Store(spark, str(tmp_path / "store"))
+    run = Run(store, now=T1)
+    store.replace_sources("commits", frame(spark, "commits", [("S", c, k, "", "", "", 0, "") for k, c in enumerate("ab")]))
+    store.upsert("listing", frame(spark, "listing", [("S", c, "X", 1) for c in "ab"]), schemas.KEYS["listing"])
+    problems = spark.createDataFrame([("S", "a", "load_model_failed", " no file "), ("S", "b", "unheard of", "x")], "source_name string, commit_hash string, failure_type string, compiler_message string")
+    texts = frame(spark, "canonical_texts", [("S", "b", "X", "model\nend X;\n", "")])
+    run.step_three(texts, problems.filter("commit_hash = 'a'"))
+    assert [tuple(r)[1:6] for r in store.read("failures").collect()] == [("S", "a", "", "load_model_failed", "no file")]
+    states = {r["commit_hash"]: (r["status"], r["saved_models_count"], r["failure_count"]) for r in store.read("outcome_progress").collect()}
+    assert states == {"a": ("complete", 0, 1), "b": ("complete", 1, 0)}
+    assert listing.commit_failures(problems, F.lit(T1)).count() == 1
+    broken = texts.withColumn("text", F.expr("raise_error('cut short')"))
+    store.replace_sources("commits", frame(spark, "commits", [("S", "c", 2, "", "", "", 0, "")]))
+    store.upsert("listing", frame(spark, "listing", [("S", "c", "X", 1)]), schemas.KEYS["listing"])
+    with pytest.raises(Exception, match="cut short"):
+        run.step_three(broken)
+    assert store.read("outcome_progress").filter("commit_hash = 'c' and status = 'processing'").count() == 1
+
+
+def test_age_limit_needs_a_time(spark):
+    raw, refs, diffs, tags = inputs(spark)
+    with pytest.raises(ValueError):
+        funnel.funnel(raw, refs, diffs, limit_years=1.5)
+    with pytest.raises(LookupError):
+        funnel.tag_cutoffs(raw, tags, "v9")
+    old = frame(spark, "commits", [("S", "a", 0, "", "", "", 1, "commit date: 2019-01-01, age: 2.4 years"), ("S", "b", 1, "", "", "", 0, "")])
+    row = report.funnel_metrics(old).first()
+    assert (row["FilterExclAge"], row["FilterAfterBot"], row["FilterRetained"]) == (1, 1, 1)
+
+
+def test_numbering_and_means_in_ranges(spark, monkeypatch):
+    rows = [(k * 7919 % 1000 // 3, float(k)) for k in range(1000)]
+    series = spark.createDataFrame([(a, k, v) for k, (a, v) in enumerate(rows)], "a int, b int, v double").repartition(5)
+    found = upsert.numbered(series, ["a", "b"], rows_a_range=70).orderBy("seq").collect()
+    want = sorted((a, k, v) for k, (a, v) in enumerate(rows))
+    assert [(r["a"], r["b"], r["v"], r["seq"]) for r in found] == [(*w, k) for k, w in enumerate(want)]
+    monkeypatch.setattr(report, "BLOCK_ROWS", 20)
+    for k in (1, 4, 50):
+        means = {(r["a"], r["b"]): r["mean"] for r in report.moving_average(series, ["a", "b"], "v", k).collect()}
+        low, high = k // 2, k - 1 - k // 2
+        assert means == {want[i][:2]: pytest.approx(sum(w[2] for w in want[i - low : i + high + 1]) / k) for i in range(low, len(want) - high)}
+
+
 def test_github_payloads(spark):
     commit = json.dumps({"sha": "s", "commit": {"author": {"name": "n"}}, "files": [{"filename": "f"}], "stats": {"total": 99}})
     pulls = json.dumps([{"number": 1, "merged_at": "x", "labels": [{"name": "l"}]}, {"number": 2, "merged_at": None}])

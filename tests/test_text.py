@@ -57,9 +57,9 @@ def test_main_package(spark):
 
 
 def test_output_problem(spark):
-    texts = ["", "model X\nend X;\n", "model X\n", "end a.b_c ;\n\n \n", None, "end 1;", "x" * 5000 + "\nend Y;"]
+    texts = ["", "model X\nend X;\n", "model X\n", "end a.b_c ;\n\n \n", None, "end 1;", "x" * 5000 + "\nend Y;", "é" * 3000 + "\nend Y;", "end Y;" + " " * 4096]
     kinds = [p.split(" (")[0] for p in column(spark, texts, text.output_problem)]
-    assert kinds == ["canonical output is empty", "", "canonical output is truncated", "", "canonical output is empty", "canonical output is truncated", ""]
+    assert kinds == ["canonical output is empty", "", "canonical output is truncated", "", "canonical output is empty", "canonical output is truncated", "", "", "canonical output is truncated"]
 
 
 def test_paths(spark):
@@ -70,7 +70,7 @@ def test_paths(spark):
 
 def test_small_parsers(spark):
     assert column(spark, ['"a b"', "''", None, " x ", '"'], text.compiler_error) == ["a b", "", "", "x", ""]
-    assert column(spark, ["fixes #12, #3 and #12", None], text.references) == [[3, 12], []]
+    assert column(spark, ["fixes #12, #3 and #12, #12345678901234567890", None], text.references) == [[3, 12], []]
     assert column(spark, ["1,234", "", "x", None, "10{,}139"], text.parsed_int) == [1234, 0, 0, 0, 10139]
     assert column(spark, ["On", "0", "yes ", None], text.parsed_flag) == [True, False, True, False]
     assert column(spark, [10139], text.tex_number, "bigint") == ["10{,}139"]
@@ -116,3 +116,4 @@ def test_numbers(spark):
     assert [r[0] for r in halves.select(numbers.half_even(F.col("v"))).collect()] == [0, 2, 2, 3]
     assert (numbers.fixed_point(0.25), numbers.fixed_point(0.15)) == ("0.2", "0.1")
     assert (numbers.duration_text(62), numbers.duration_text(60), numbers.size_text(1536)) == ("1 m", "1 m", "1.5 KB")
+    assert [numbers.size_text(n) for n in (0, 1023, 1024, 1 << 30, 5 << 50)] == ["0.0 B", "1023.0 B", "1.0 KB", "1.0 GB", "5120.0 TB"]
