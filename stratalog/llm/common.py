@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +17,9 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
 
+#: Rows of a batch where rows are large.
+BATCH_ROWS = 500
+
 _cleared: set[str] = set()
 
 
@@ -65,6 +71,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let go of the shuffle files of what is stored by now; Spark only does so
+    when the driver happens to collect its garbage, and they take disk till then."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete the tables that ``stored`` has written for this application, once results are saved."""
     _delete(spark._jvm, spark._jsc.hadoopConfiguration(), scratch_dir(spark))
@@ -101,6 +114,19 @@ def checked_broadcast(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int
     return F.broadcast(df) if small(df, most, most_bytes) else df
 
 
+@contextmanager
+def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Within it, tables that are stored go to Python a few rows at a time, so that
+    batches of long texts or large sets take little memory beside the executor's heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
