@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, line_dedup, packing, secret_scan, sharding, simhash, substring_dedup, token_counts, toxicity
+from . import decontamination, fingerprints, line_dedup, packing, phrases, secret_scan, sharding, simhash, spelling, substring_dedup, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,8 +53,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), 1024)
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(_table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_secret_scan, op2_simhash, op3_decontamination, op4_toxicity, op5_line_dedup, op6_substring_dedup, op7_sharding, op8_token_counts, op9_fingerprints, op10_packing)
+    named = (op1_secret_scan, op2_simhash, op3_decontamination, op4_toxicity, op5_line_dedup, op6_substring_dedup, op7_sharding, op8_token_counts, op9_fingerprints, op10_packing, op11_phrases, op12_spelling_variants, op13_url_filter)
     return {f.__name__: f for f in named}
 
 
