@@ -30,8 +30,9 @@ MOST = 2000
 MILLION = 1_000_000
 #: Bits of the table of frequent phrases: 8 MB.
 FILTER_BITS = 1 << 26
-#: Bytes of text that a task tokenises at once.
-SLICE_BYTES = 4 << 20
+#: Bytes of text that a task tokenises at once, and rows of a batch that it takes up for that.
+SLICE_BYTES = 2 << 20
+SLICE_ROWS = 128
 #: Parts of a language's candidates, each of which is ranked for itself first.
 SALTS = 256
 
@@ -44,12 +45,14 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[bytes, bytes]]:
     """(language, texts joined by line feeds) of a batch, a few MB at a time."""
     open_texts: dict[bytes, list[bytes]] = {}
     sizes: dict[bytes, int] = {}
-    for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-        open_texts.setdefault(lang, []).append(text)
-        sizes[lang] = sizes.get(lang, 0) + len(text)
-        if sizes[lang] >= SLICE_BYTES:
-            yield lang, b"\n".join(open_texts.pop(lang))
-            del sizes[lang]
+    for first in range(0, batch.num_rows, SLICE_ROWS):
+        part = batch.slice(first, SLICE_ROWS)
+        for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
+            open_texts.setdefault(lang, []).append(text)
+            sizes[lang] = sizes.get(lang, 0) + len(text)
+            if sizes[lang] >= SLICE_BYTES:
+                yield lang, b"\n".join(open_texts.pop(lang))
+                del sizes[lang]
     for lang, texts in open_texts.items():
         yield lang, b"\n".join(texts)
 
