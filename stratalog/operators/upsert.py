@@ -1,14 +1,18 @@
-"""Keyed writes on plain Parquet: last write wins, insert if absent, delete, replace."""
+"""Keyed writes on plain Parquet: last write wins, insert if absent, delete, replace; tables with versions."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import KEYS, TABLES, conform, empty
+from ..scratch import written
+from ..versions import Folder, VersionLog
 
 
 def latest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
@@ -36,148 +40,231 @@ def delete_keys(old: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(gone.select(*keys).distinct(), keys, "left_anti").select(old.columns)
 
 
-class Store:
-    """Tables of ``schemas.TABLES`` in one folder. Those with a source and a key
-    are partitioned by source and, below it, by a hash of the key.
-
-    A keyed write reads and replaces only the partitions that its keys fall
-    into, through a staged copy, as a table can't be read and replaced in one
-    plan. Partitions that are left without rows are deleted.
-    """
-
-    #: Parts of a source's rows.
-    PARTS = 16
+@dataclass(frozen=True)
+class Snapshot:
+    """A version of a store: the folders that each table's rows are in."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    version: int
+    tables: dict[str, list[str]]
 
-    def _place(self, path: str):
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return place, place.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _there(self, path: str) -> bool:
-        place, files = self._place(path)
-        return files.exists(place)
+class Transaction:
+    """Changes of one or more tables on top of a snapshot, which become visible together.
 
-    def read(self, name: str) -> DataFrame:
-        """The table; one that isn't there is empty."""
-        path = f"{self.path}/{name}"
-        if not self._there(path):
-            return empty(self.spark, name)
-        # The type of a partition's name isn't to be guessed: 007 is no number.
-        known = [T.StructField(f.name, T.StringType()) if f.name == "source_name" else f for f in self.spark.read.parquet(path).schema]
-        return conform(self.spark.read.schema(T.StructType(known)).parquet(path), TABLES[name])
+    ``read`` sees the changes made so far. Files are only added: rows that are
+    replaced stay in their old files, which the next version doesn't name.
+    """
 
-    def views(self) -> None:
-        """Register every table for SQL."""
-        for name in TABLES:
-            self.read(name).createOrReplaceTempView(name)
+    def __init__(self, store: Store, base: Snapshot):
+        self.store, self.base = store, base
+        self.changed: dict[str, list[str]] = {}
+        self.looked_at: set[str] = set()
+        self.added: list[str] = []
 
-    def _split(self, name: str) -> bool:
-        return "source_name" in TABLES[name].fieldNames() and name in KEYS
-
-    def _parted(self, name: str, rows: DataFrame) -> DataFrame:
-        return rows.withColumn("part", F.pmod(F.xxhash64(*KEYS[name]), F.lit(self.PARTS)).cast("int"))
+    def places(self, name: str) -> list[str]:
+        self.looked_at.add(name)
+        return self.changed.get(name, self.base.tables.get(name, []))
 
-    def frozen(self, rows: DataFrame) -> DataFrame:
-        """The rows as they are now, whatever is written later: kept beside the tables."""
-        path = f"{self.path}/.frozen-{uuid.uuid4().hex}"
-        rows.write.parquet(path)
-        return self.spark.read.schema(rows.schema).parquet(path)
+    def read(self, name: str) -> DataFrame:
+        return self.store._rows(name, self.places(name))
 
     def append(self, name: str, rows: DataFrame) -> None:
-        self._write(name, rows, "append")
+        self.changed[name] = self.places(name) + self._add(name, conform(rows, TABLES[name]))
 
     def replace_sources(self, name: str, rows: DataFrame, sources: list[str] | None = None) -> None:
         """All rows of ``sources`` (those in ``rows`` if not given): the ones in
         ``rows`` take their place, and a source without any has none left."""
         new = conform(rows, TABLES[name])
-        if not self._split(name):
-            return self._staged(name, new, None)
+        if not self.store._split(name):
+            return self._replace(name, new, None)
         named = [r[0] for r in new.select("source_name").distinct().collect()] if sources is None else sources  # one row a source
-        every = self.spark.createDataFrame([(s, p) for s in named for p in range(self.PARTS)], "source_name string, part int")
-        return self._staged(name, new.filter(F.col("source_name").isin(named)), every)
+        return self._replace(name, new.filter(F.col("source_name").isin(named)), {(s, p) for s in named for p in range(self.store.parts)})
 
     def upsert(self, name: str, rows: DataFrame, keys: list[str]) -> None:
         new = conform(rows, TABLES[name])
-        if not self._split(name):
-            return self._staged(name, upsert(self.read(name), new, keys), None)
-        touched = self._parted(name, new).select("source_name", "part").distinct()
-        return self._staged(name, upsert(self._in(name, touched), new, keys), touched)
+        if not self.store._split(name):
+            return self._replace(name, upsert(self.read(name), new, keys), None)
+        touched = self._groups(name, new)
+        return self._replace(name, upsert(self._in(name, touched), new, keys), touched)
 
-    def _in(self, name: str, touched: DataFrame) -> DataFrame:
-        """Stored rows in partitions: at most ``PARTS`` rows a source are broadcast."""
-        return self._parted(name, self.read(name)).join(F.broadcast(touched), ["source_name", "part"], "left_semi").drop("part").select(TABLES[name].fieldNames())
+    def merge(self, name: str, rows: DataFrame, combine: Callable[[DataFrame], DataFrame]) -> None:
+        """Rows and those stored in the partitions that they fall into, put together by ``combine``."""
+        new = conform(rows, TABLES[name])
+        touched = self._groups(name, new)
+        return self._replace(name, combine(self._in(name, touched).unionByName(new)), touched)
 
     def insert_absent(self, name: str, seeds: DataFrame, keys: list[str]) -> None:
-        self._staged(name, insert_absent(self.read(name), conform(seeds, TABLES[name]), keys), None)
+        """Seeds whose key the table lacks, in files of their own."""
+        self.append(name, conform(seeds, TABLES[name]).dropDuplicates(keys).join(self.read(name), keys, "left_anti"))
 
     def delete(self, name: str, gone: DataFrame, keys: list[str]) -> None:
         old = self.read(name)
-        if not self._split(name):
-            return self._staged(name, delete_keys(old, gone, keys), None)
-        touched = self._parted(name, old.join(gone.select(*keys).distinct(), keys, "left_semi").select(old.columns)).select("source_name", "part").distinct()
-        return self._staged(name, delete_keys(self._in(name, touched), gone, keys), touched)
+        if not self.store._split(name):
+            return self._replace(name, delete_keys(old, gone, keys), None)
+        touched = self._groups(name, old.join(gone.select(*keys).distinct(), keys, "left_semi").select(old.columns))
+        return self._replace(name, delete_keys(self._in(name, touched), gone, keys), touched)
+
+    def _groups(self, name: str, rows: DataFrame) -> set[tuple[str, int]]:
+        """Partitions that rows fall into: at most ``parts`` a source."""
+        return {(r[0], r[1]) for r in self.store._parted(name, rows).select("source_name", "part").distinct().collect()}
+
+    def _in(self, name: str, touched: set[tuple[str, int]]) -> DataFrame:
+        """Stored rows of some partitions; no other files are read."""
+        held = {self.store._leaf(s, p) for s, p in touched}
+        return self.store._rows(name, [p for p in self.places(name) if p.split("/", 1)[1] in held])
+
+    def _replace(self, name: str, rows: DataFrame, touched: set[tuple[str, int]] | None) -> None:
+        """Put rows in the place of those in the partitions touched, or of the whole table."""
+        gone = None if touched is None else {self.store._leaf(s, p) for s, p in touched}
+        kept = [] if gone is None else [p for p in self.places(name) if p.split("/", 1)[1] not in gone]
+        self.looked_at.add(name)
+        self.changed[name] = kept + self._add(name, rows)
+
+    def _add(self, name: str, rows: DataFrame) -> list[str]:
+        """Write rows into a new folder; the folders that hold them."""
+        own = f"{name}/batch={uuid.uuid4().hex}"
+        self.added.append(own)
+        split = self.store._split(name)
+        rows = conform(rows, TABLES[name])
+        writer = self.store._parted(name, rows).write.partitionBy("source_name", "part") if split else rows.write
+        writer.parquet(f"{self.store.path}/{own}")
+        below = self.store.folder.matching(f"{own}/source_name=*/part=*") if split else [own]
+        return [p.removeprefix(f"{name}/") for p in below]
+
+
+class Store:
+    """Tables of ``schemas.TABLES`` in one folder, with a log of their versions.
+
+    A write adds files and then publishes a version that names the files of
+    every table (``versions.VersionLog``); readers take the newest version, and
+    what they have begun to read stays as it is. A write that is cut short at
+    any step leaves the last version, and files that ``clean`` deletes. Of two
+    writers at once one publishes first; the other's changes are made again on
+    top of it if it has changed a table that they looked at, else only published
+    under the next number.
+
+    Tables with a source and a key are partitioned by source and, below it, by
+    a hash of the key; a keyed write reads and replaces only the partitions that
+    its keys fall into. ``parts`` is the number of a source's, and stays what it
+    was when the store was made.
+    """
+
+    PARTS = 16
+    #: Times that a writer tries again after others have published first.
+    TRIES = 50
+
+    def __init__(self, spark: SparkSession, path: str, parts: int = PARTS):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.folder, self.log = Folder(spark, self.path), VersionLog(spark, f"{self.path}/_log")
+        self.parts = self.log.last()[1].get("parts", parts)
+
+    def snapshot(self, version: int | None = None) -> Snapshot:
+        """The newest version, or an older one that ``clean`` has left."""
+        number, content = self.log.last() if version is None else (version, self.log.read(version))
+        return Snapshot(number, content.get("tables", {}))
+
+    def read(self, name: str, at: Snapshot | None = None) -> DataFrame:
+        """The table as it is now, or in a snapshot; one that isn't there is empty."""
+        return self._rows(name, (at or self.snapshot()).tables.get(name, []))
+
+    def views(self) -> None:
+        """Register every table of one snapshot for SQL."""
+        at = self.snapshot()
+        for name in TABLES:
+            self.read(name, at).createOrReplaceTempView(name)
+
+    def transact(self, changes: Callable[[Transaction], None]) -> int:
+        """Make changes that become visible together; the version that has them."""
+        now = self.snapshot()
+        for _ in range(self.TRIES):
+            change = Transaction(self, now)
+            changes(change)
+            for _ in range(self.TRIES):
+                if self.log.publish(now.version + 1, {"parts": self.parts, "tables": now.tables | change.changed}):
+                    return now.version + 1
+                now = self.snapshot()
+                if any(now.tables.get(n, []) != change.base.tables.get(n, []) for n in change.looked_at):
+                    break  # made on what is no longer so
+            for place in change.added:
+                self.folder.delete(place)
+        raise RuntimeError(f"other writers were faster {self.TRIES} times")
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        self.transact(lambda t: t.append(name, rows))
+
+    def replace_sources(self, name: str, rows: DataFrame, sources: list[str] | None = None) -> None:
+        self.transact(lambda t: t.replace_sources(name, rows, sources))
+
+    def upsert(self, name: str, rows: DataFrame, keys: list[str]) -> None:
+        self.transact(lambda t: t.upsert(name, rows, keys))
+
+    def insert_absent(self, name: str, seeds: DataFrame, keys: list[str]) -> None:
+        self.transact(lambda t: t.insert_absent(name, seeds, keys))
+
+    def delete(self, name: str, gone: DataFrame, keys: list[str]) -> None:
+        self.transact(lambda t: t.delete(name, gone, keys))
+
+    def clean(self, keep: int = 2, grace: float = 86_400.0) -> list[str]:
+        """Delete all versions but the newest ``keep``, and the files that none of
+        those names, if they are older than ``grace`` seconds: younger ones may
+        belong to a write that has not ended. Returns what was deleted."""
+        kept = {f"{name}/{p.split('/', 1)[0]}" for number in self.log.forget(keep) for name, places in self.log.read(number)["tables"].items() for p in places}
+        gone = [p for p in self.folder.matching("*/batch=*") if p not in kept and self.folder.age(p) >= grace]
+        for place in gone:
+            self.folder.delete(place)
+        return gone
 
     def drop(self, confirmed: bool = False) -> None:
         """Delete all tables; only if it is confirmed."""
         if not confirmed:
             raise PermissionError("deleting all tables must be confirmed")
-        place, files = self._place(self.path)
-        files.delete(place, True)
+        self.folder.delete()
 
-    def _staged(self, name: str, rows: DataFrame, touched: DataFrame | None) -> None:
-        """Put rows in the place of those in the partitions touched, or of the whole table."""
-        stage = f"{self.path}/.stage-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{stage}/rows")
-        made = self.spark.read.schema(rows.schema).parquet(f"{stage}/rows")
-        left = []
-        if touched is not None:
-            touched.write.parquet(f"{stage}/touched")
-            touched = self.spark.read.schema("source_name string, part int").parquet(f"{stage}/touched")
-            held = self._parted(name, made).select("source_name", "part").distinct()
-            left = touched.join(held, ["source_name", "part"], "left_anti").collect()  # at most PARTS rows a source
-        if touched is None and self._split(name):
-            place, files = self._place(f"{self.path}/{name}")
-            files.delete(place, True)
-        self._write(name, made, "overwrite")
+    def _split(self, name: str) -> bool:
+        return "source_name" in TABLES[name].fieldNames() and name in KEYS
+
+    def _parted(self, name: str, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("part", F.pmod(F.xxhash64(*KEYS[name]), F.lit(self.parts)).cast("int"))
+
+    def _leaf(self, source: str | None, part: int) -> str:
+        """Where a partition's rows are in a batch of them."""
         escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-        for r in left:
-            place, files = self._place(f"{self.path}/{name}/source_name={escape(r['source_name'])}/part={r['part']}")
-            files.delete(place, True)
-        place, files = self._place(stage)
-        files.delete(place, True)
+        return f"source_name={escape(source) if source else '__HIVE_DEFAULT_PARTITION__'}/part={part}"
 
-    def _write(self, name: str, rows: DataFrame, mode: str) -> None:
-        rows = conform(rows, TABLES[name])
-        if self._split(name):
-            writer = self._parted(name, rows).write.mode(mode).partitionBy("source_name", "part").option("partitionOverwriteMode", "dynamic")
-        else:
-            writer = rows.write.mode(mode)
-        writer.parquet(f"{self.path}/{name}")
+    def _rows(self, name: str, places: list[str]) -> DataFrame:
+        """Rows in some of a table's folders. The types of their names aren't guessed: 007 is no number."""
+        if not places:
+            return empty(self.spark, name)
+        schema = T.StructType([*TABLES[name].fields, T.StructField("batch", T.StringType()), *([T.StructField("part", T.IntegerType())] if self._split(name) else [])])
+        root = f"{self.path}/{name}"
+        return self.spark.read.schema(schema).option("basePath", root).parquet(*[f"{root}/{p}" for p in places]).select(TABLES[name].fieldNames())
+
+
+#: Column of a row's block, in tables that ``in_blocks`` has written.
+BLOCK = "block__"
+
+
+def in_blocks(df: DataFrame, order: list[str], blocks: int | None = None) -> DataFrame:
+    """The rows written with the number of their block: a range of the order.
+
+    Blocks follow each other as the order does, and rows equal in it share one;
+    there are as many as shuffle partitions, if not given. Bounds are sampled by
+    the one shuffle that deals the rows out, and what is written stays as it is,
+    so that a task that is run again finds its rows where they were.
+    """
+    n = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(df.repartitionByRange(n, *order).withColumn(BLOCK, F.spark_partition_id()), "blocks")
 
 
-def numbered(df: DataFrame, order: list[str], start: int = 0, rows_a_range: int = 1_000_000) -> DataFrame:
+def numbered(df: DataFrame, order: list[str], start: int = 0, blocks: int | None = None) -> DataFrame:
     """Add ``seq``: places from ``start`` on in the given order, without gaps.
 
-    Rows are cut into ranges of the order, counted, and numbered within them.
-    The bounds of the ranges are taken first and fixed, so that a task that is
-    run again puts its rows where they were; rows equal in ``order`` share a
-    range and stand in any order.
+    Rows are dealt into blocks of the order, counted, and numbered within them;
+    rows equal in ``order`` stand in any order.
     """
-    wanted = max(1, min(1000, -(-df.count() // rows_a_range)))
-    bounds = []
-    if wanted > 1:
-        cut = df.select(*order).repartitionByRange(wanted, *order).groupBy(F.spark_partition_id().alias("range"))
-        least = cut.agg(F.min(F.struct(*order)).alias("least"))
-        bounds = [r["least"] for r in least.orderBy("least").collect()][1:]  # fewer than a thousand
-    kinds = df.select(*order).schema
-    own = F.struct(*order)
-    fixed = [F.struct(*[F.lit(b[f.name]).cast(f.dataType).alias(f.name) for f in kinds]) for b in bounds]
-    place = F.size(F.filter(F.array(*fixed), lambda b: b <= own)) if fixed else F.lit(0)
-    ranged = df.withColumn("__range", place)
-    counts = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inner = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
-    return ranged.join(F.broadcast(starts), "__range").withColumn("seq", (inner + F.col("__before") + start).cast("long")).drop("__range", "__before")
+    held = in_blocks(df, order, blocks)
+    counts = held.groupBy(BLOCK).agg(F.count("*").alias("__n"))
+    before = Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(BLOCK, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))  # a row a block
+    inner = F.row_number().over(Window.partitionBy(BLOCK).orderBy(*order)) - 1
+    return held.join(F.broadcast(starts), BLOCK).withColumn("seq", (inner + F.col("__before") + start).cast("long")).drop(BLOCK, "__before")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import fixed_point
 from ..operators import funnel, listing, progress, report
-from ..operators.upsert import Store
+from ..operators.upsert import Store, Transaction
 from ..schemas import KEYS
 from ..sources.readers import scalar
 
@@ -31,12 +31,16 @@ class Run:
     allow_prefix: bool = True
 
     def step_one(self, commits: DataFrame, branches: DataFrame, diffs: DataFrame, tags: DataFrame) -> None:
-        """Funnel and touched files of all sources; each source's rows are replaced."""
+        """Funnel and touched files of all sources; each source's rows in both tables are replaced together."""
         cutoffs = funnel.tag_cutoffs(commits, tags, self.tag) if self.tag else None
         rows = funnel.funnel(commits, branches, diffs, self.excluded_branches, self.tag, cutoffs, self.limit_years, self.now)
         sources = [r[0] for r in commits.select("source_name").distinct().collect()]  # one row a source
-        self.store.replace_sources("commits", rows, sources)
-        self.store.replace_sources("files", funnel.retained_files(self.store.read("commits"), diffs), sources)
+
+        def replace(change: Transaction) -> None:
+            change.replace_sources("commits", rows, sources)
+            change.replace_sources("files", funnel.retained_files(change.read("commits"), diffs), sources)
+
+        self.store.transact(replace)
 
     def _begin(self, todo: DataFrame, table: str) -> None:
         """Mark commits as begun, so that one cut short differs from one never begun."""
@@ -51,7 +55,7 @@ class Run:
 
         problems: commits that could not be checked out or loaded, with failure type and message.
         """
-        todo = self.store.frozen(progress.remaining(self.store.read("commits"), self.store.read("listing_progress")))
+        todo = progress.remaining(self.store.read("commits"), self.store.read("listing_progress"))
         self._begin(todo, "listing_progress")
         if problems is not None:
             self._log(listing.commit_failures(problems.join(todo, COMMIT, "left_semi"), F.lit(self.now)))
@@ -66,7 +70,7 @@ class Run:
         short is done again and counts once. problems: commits that could not be
         loaded or cleaned, with failure type and message; their classes have no outcome.
         """
-        todo = self.store.frozen(progress.remaining(self.store.read("commits"), self.store.read("outcome_progress")))
+        todo = progress.remaining(self.store.read("commits"), self.store.read("outcome_progress"))
         self._begin(todo, "outcome_progress")
         lost = None if problems is None else problems.join(todo, COMMIT, "left_semi")
         items = listing.enabled_whitelist(self.store.read("whitelist")) if self.pilot else None

@@ -51,6 +51,9 @@ TABLES = Schemas({
     "outcomes": "source_name string, commit_hash string, class_name string, is_experiment int, canonical_model_path string, error_message string, is_inside_sublibraries_list int, pilot_match_mode string, matched_sublibrary string, canonical_produced int",
     "failures": "id bigint, source_name string, commit_hash string, class_name string, failure_type string, compiler_message string, created_at_utc timestamp",
     "outcome_progress": "source_name string, commit_hash string, status string, processed_classes_count bigint, saved_models_count bigint, failure_count bigint, last_updated_utc timestamp",
+    "distinct_names": "name string, id bigint",
+    "distinct_bits": "source_name string, day date, bucket bigint, bits binary",
+    "distinct_sketches": "source_name string, day date, sketch binary",
 })
 
 #: Keys by which rows are unique; Spark doesn't hold tables to them.
@@ -67,10 +70,11 @@ KEYS = {
     "outcomes": ["source_name", "commit_hash", "class_name"],
     "failures": ["id"],
     "outcome_progress": ["source_name", "commit_hash"],
+    "distinct_bits": ["source_name", "day", "bucket"],
+    "distinct_sketches": ["source_name", "day"],
 }
 
 #: Nested payloads.
-LISTING_CACHE = "source_name string, commit_hash string, generated_at_utc string, classes array<struct<name:string,is_experiment:boolean>>"
 GITHUB_COMMIT = (
     "sha string, html_url string, author struct<login:string>, committer struct<login:string>, "
     "commit struct<author:struct<name:string,email:string,date:string>,committer:struct<name:string,date:string>,message:string>, "
