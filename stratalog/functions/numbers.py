@@ -28,14 +28,27 @@ SIZE_UNITS = ["B", "KB", "MB", "GB", "TB"]
 
 
 def size_text(n: int) -> str:
-    """Bytes in the greatest unit of 1024 that they reach."""
+    """Bytes in the greatest unit of 1024 that they reach, to two decimals, in columns of seven."""
     unit = min(max(int(n).bit_length() - 1, 0) // 10, len(SIZE_UNITS) - 1)
-    return f"{n / (1 << 10 * unit):.1f} {SIZE_UNITS[unit]}"
+    return f"{n / (1 << 10 * unit):7.2f} {SIZE_UNITS[unit]}"
+
+
+#: Bytes of the suffixes with which disk usage is told.
+DISK_UNITS = {"": 1, "B": 1, "K": 1 << 10, "M": 1 << 20, "G": 1 << 30, "T": 1 << 40}
+
+
+def disk_bytes(shown: Column) -> Column:
+    """Bytes of a size as disk usage tells it (``4.0K``, ``12M``); null if it is none."""
+    number, unit = F.regexp_extract(shown, r"^\s*([0-9]+(?:\.[0-9]+)?)\s*([BKMGT]?)", 1), F.regexp_extract(shown, r"^\s*([0-9]+(?:\.[0-9]+)?)\s*([BKMGT]?)", 2)
+    factor = F.element_at(F.create_map(*[F.lit(v) for pair in DISK_UNITS.items() for v in pair]), unit)
+    return F.when(number != "", F.round(number.try_cast("double") * factor).cast("bigint"))
 
 
 def duration_text(seconds: float) -> str:
-    """Seconds, minutes or hours, without a needless fraction."""
-    for limit, divisor, unit in ((60, 1, "s"), (3600, 60, "m"), (float("inf"), 3600, "h")):
+    """Seconds, minutes or hours to one decimal; nothing below zero."""
+    if seconds < 0:
+        return "0 s"
+    for limit, divisor, unit in ((60, 1, "s"), (3600, 60, "m"), (float("inf"), 3600, "hr")):
         if seconds < limit:
-            return f"{seconds / divisor:.1f}".removesuffix(".0") + f" {unit}"
+            return f"{seconds / divisor:.1f} {unit}"
     raise ValueError("not a duration")

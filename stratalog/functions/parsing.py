@@ -1,76 +1,100 @@
-"""Balanced parsing, which regular expressions can't do: Arrow-batched functions."""
+"""Balanced parsing with column functions: signs by a regular expression, depth by running sums."""
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..fixed import ITEM_KEY, NON_SEMANTIC, OWN_VENDOR, VENDOR_KEY
+from .text import strip
 
 MACRO = re.compile(r"\\newcommand\{\\([A-Za-z0-9_]+)\}\{")
-#: Signs that change where the scanner is: a literal's border, an escape in it, brackets, a comma.
-SIGN = re.compile(r'\\.|["(\[{}\]),]', re.DOTALL)
+#: A string literal. Its escapes are matched in groups of groups, which a matcher
+#: leaves again, so that literals of many escapes don't exhaust its stack.
+ESCAPES = r"(?>(?>(?>\\.[^\"\\]*+){1,60}+){1,60}+)*+"
+LITERAL = rf'"[^"\\]*+{ESCAPES}"'
+#: A text is a row of these: literals, brackets and commas, and what lies between. A quote
+#: without an end is what lies between, too.
+TOKEN = rf'(?s){LITERAL}|[(\[{{)\]}},]|(?:[^"(\[{{)\]}},]++|"(?![^"\\]*+{ESCAPES}"))'
+#: Tokens whose depths are added up together.
+BLOCK = 64
 
 
-@dataclass
-class Scan:
-    """What one pass over a text finds: literals that end, and every bracket and
-    comma outside them with the depth behind it."""
+def tokens_of(text: Column) -> Column:
+    """A text cut into its tokens; together they are the text. Null for null."""
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
-    literals: list[tuple[int, int]] = field(default_factory=list)
-    signs: list[tuple[int, str, int]] = field(default_factory=list)
 
+def _steps(tokens: Column, opening: str, closing: str) -> Column:
+    return F.transform(tokens, lambda t: F.when(t.isin(*opening), 1).when(t.isin(*closing), -1).otherwise(0))
 
-def scan(text: str) -> Scan:
-    found, opened, depth, held = Scan(), None, 0, 0
-    for hit in SIGN.finditer(text):
-        sign = hit[0]
-        if sign == '"' and opened is None:
-            opened, held = hit.start(), len(found.signs)
-        elif sign == '"':
-            found.literals.append((opened, hit.end()))
-            del found.signs[held:]  # signs inside a literal don't count
-            depth = found.signs[-1][2] if found.signs else 0
-            opened = None
-        elif len(sign) == 1:
-            depth += (sign in "([{") - (sign in ")]}")
-            found.signs.append((hit.start(), sign, depth))
-    return found
 
+def _total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
 
-def masked(text: str) -> str:
+
+def _range(n: Column) -> Column:
+    """0 to n - 1."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _named(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(steps: Column) -> Column:
+    """Sums up to each place: within blocks, on top of the sums of the blocks before."""
+
+    def summed(own: Column) -> Column:
+        n = F.size(own)
+        totals = F.transform(_range(F.ceil(n / BLOCK).cast("int")), lambda b: _total(F.slice(own, b * BLOCK + 1, BLOCK)))
+        before = _named(totals, lambda t: F.transform(_range(F.size(t)), lambda b: _total(F.slice(t, 1, b))))
+        return _named(before, lambda start: F.transform(_range(n), lambda i: F.get(start, F.floor(i / BLOCK).cast("int")) + _total(F.slice(own, i - i % BLOCK + 1, i % BLOCK + 1))))
+
+    return _named(steps, summed)
+
+
+def mask_literals(text: Column) -> Column:
     """The text with what string literals hold made neutral, length kept."""
-    shown, at = "", 0
-    for start, end in scan(text).literals:
-        shown += text[at : start + 1] + "." * (end - start - 2)
-        at = end - 1
-    return shown + text[at:]
-
-
-def top_level_parts(text: str) -> list[str]:
-    """Parts between commas that stand in no bracket and no literal."""
-    cuts = [at for at, sign, depth in scan(text).signs if sign == "," and depth == 0]
-    parts = (text[a:b].strip() for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(text)], strict=True))
-    return [p for p in parts if p]
-
-
-def items_of(text: str | None) -> list[str]:
-    """Items of an annotation in brackets; none if it is empty or unbalanced."""
-    signs = scan(text or "").signs
-    first = next((k for k, (_, sign, _) in enumerate(signs) if sign == "("), None)
-    if first is None:
-        return []
-    inside, level = [], 0
-    for at, sign, _ in signs[first:]:
-        level += (sign == "(") - (sign == ")")
-        if level == 0:
-            inside.append(at)
-            break
-    return top_level_parts(text[signs[first][0] + 1 : inside[0]]) if inside else []
+    shown = F.transform(tokens_of(text), lambda t: F.when(t.startswith('"') & t.endswith('"') & (F.length(t) > 1), F.concat(F.lit('"'), F.repeat(F.lit("."), F.length(t) - 2), F.lit('"'))).otherwise(t))
+    return F.array_join(shown, "")
+
+
+def annotation_items(text: Column) -> Column:
+    """Items of an annotation's first bracket, cut at the commas that stand in no
+    bracket and no literal; none if it is empty, unbalanced or null."""
+    tokens = tokens_of(F.coalesce(text, F.lit("")))
+    return _named(tokens, lambda t: _named(_running(_steps(t, "(", ")")), lambda depth: _items(t, depth)))
+
+
+def _items(tokens: Column, depth: Column) -> Column:
+    """Items between the first ``(`` and the place where the depth behind it is none again."""
+    none = F.array().cast("array<string>")
+    first = F.array_position(tokens, "(").cast("int")
+    # Before the first bracket only closing ones can have changed the depth.
+    level = F.get(depth, first - 1) - 1
+    behind = F.array_position(F.slice(depth, first + 1, F.size(depth)), level).cast("int")
+    body = F.slice(tokens, first + 1, behind - 1)
+    return F.when((first == 0) | (F.get(depth, first - 1).isNull()), none).when(behind == 0, none).otherwise(_named(body, _parts))
+
+
+def _parts(body: Column) -> Column:
+    """Parts of a row of tokens between its top-level commas; a last one that is blank is none."""
+    return _named(_running(_steps(body, "([{", ")]}")), lambda depth: _cut(body, depth))
+
+
+def _cut(body: Column, depth: Column) -> Column:
+    places = F.sequence(F.lit(1), F.size(body))
+    commas = F.filter(F.when(F.size(body) > 0, places).otherwise(F.array().cast("array<int>")), lambda i: (F.get(body, i - 1) == ",") & (F.get(depth, i - 1) == 0))
+    ends = F.concat(commas, F.array(F.size(body) + 1))
+    starts = F.concat(F.array(F.lit(0)), commas)
+    parts = F.zip_with(starts, ends, lambda a, b: strip(F.array_join(F.slice(body, a + 1, b - a - 1), "")))
+    last = F.get(parts, F.size(parts) - 1)
+    return F.when(last == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
 def macro_of(line: str | None) -> tuple[str, str] | None:
@@ -86,22 +110,6 @@ def macro_of(line: str | None) -> tuple[str, str] | None:
     return None
 
 
-def mask_literals(text: Column) -> Column:
-    @F.pandas_udf("string")
-    def mask(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else masked(t))
-
-    return mask(text)
-
-
-def annotation_items(text: Column) -> Column:
-    @F.pandas_udf("array<string>")
-    def items(texts: pd.Series) -> pd.Series:
-        return texts.map(items_of)
-
-    return items(text)
-
-
 def tex_macro(line: Column) -> Column:
     @F.pandas_udf("struct<name:string,body:string>")
     def parsed(lines: pd.Series) -> pd.DataFrame:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_empty, references
 from ..schemas import GITHUB_COMMIT, GITHUB_ISSUE, GITHUB_PULLS
+from ..scratch import written
+from .upsert import BLOCK, in_blocks
 
 COMMIT = ["source_name", "commit_hash"]
 VERSION = ["source_name", "commit_hash", "class_name", "is_experiment", "canonical_model_path"]
@@ -18,24 +21,51 @@ def canonical_hash(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def runs(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+def _same(keys: list[str], a: str, b: str) -> Column:
+    """Rows of two frames with equal keys; nulls are equal to each other."""
+    return reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys])
+
+
+def runs(rows: DataFrame, keys: list[str], order: list[str], value: str, blocks: int | None = None) -> DataFrame:
     """Runs of equal consecutive values within a key, numbered from 1.
 
     Columns: the keys, version_index, the value, first and last order columns
     (as structs), n. Nulls are equal to each other.
+
+    Rows are dealt into blocks by key and order, so a key with many rows has
+    many blocks, and no task holds a key. Runs are found within blocks; then a
+    row for each key and block, with its first and its last value, tells whether
+    the run at its start goes on from the block before.
     """
-    within = Window.partitionBy(*keys).orderBy(*order)
-    changed = F.when(F.row_number().over(within) == 1, 1).otherwise((~F.lag(value).over(within).eqNullSafe(F.col(value))).cast("int"))
-    marked = rows.withColumn("__changed", changed)
-    numbered = marked.withColumn("version_index", F.sum("__changed").over(within.rowsBetween(Window.unboundedPreceding, 0)))
     place = F.struct(*order)
-    return numbered.groupBy(*keys, "version_index").agg(F.first(value).alias(value), F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
+    held = in_blocks(rows.select(*keys, *[c for c in order if c not in keys], *[c for c in [value] if c not in [*keys, *order]]), [*keys, *order], blocks)
+    within = Window.partitionBy(BLOCK, *keys).orderBy(*order)
+    changed = F.when(F.row_number().over(within) == 1, 0).otherwise((~F.lag(value).over(within).eqNullSafe(F.col(value))).cast("int"))
+    marked = held.withColumn("changed__", changed)
+    own = marked.withColumn("run__", F.sum("changed__").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    # The value has a name of its own, as it may be a key or an order column too.
+    pieces = written(own.groupBy(BLOCK, *keys, "run__").agg(F.first(value).alias("value__"), F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")), "pieces")
+    ends = pieces.groupBy(BLOCK, *keys).agg(F.min_by("value__", "run__").alias("head__"), F.max_by("value__", "run__").alias("tail__"), F.max("run__").alias("more__"))
+    across = Window.partitionBy(*keys).orderBy(BLOCK)
+    opened = F.when(F.row_number().over(across) == 1, 1).otherwise((~F.lag("tail__").over(across).eqNullSafe(F.col("head__"))).cast("int"))
+    counted = ends.withColumn("opened__", opened)
+    before = F.coalesce(F.sum(F.col("opened__") + F.col("more__")).over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counted.select(BLOCK, *keys, (before + F.col("opened__")).alias("start__"))
+    joined = pieces.alias("p").join(starts.alias("s"), _same([BLOCK, *keys], "p", "s")).select("p.*", (F.col("s.start__") + F.col("p.run__")).alias("version_index"))
+    merged = joined.groupBy(*keys, "version_index").agg(F.first("value__").alias("value__"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
+    return merged.withColumnRenamed("value__", value) if value not in keys else merged.drop("value__")
 
 
 def neighbours(versions: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Versions with the value before and behind them."""
-    within = Window.partitionBy(*keys).orderBy("version_index")
-    return versions.withColumns({"previous": F.lag(value).over(within), "next": F.lead(value).over(within)})
+    """Versions with the value before and behind them.
+
+    Each version is sent to its own number and to the ones beside it, and those
+    of a number meet; a key's versions don't.
+    """
+    roles = F.explode(F.array(*[F.struct(F.lit(role).alias("role"), (F.col("version_index") + d).alias("at")) for role, d in (("own", 0), ("previous", 1), ("next", -1))]))
+    sent = versions.select(*keys, roles.alias("to"), F.struct(*versions.columns).alias("row"))
+    met = sent.groupBy(*keys, "to.at").agg(*[F.max_by("row", F.when(F.col("to.role") == role, 1)).alias(role) for role in ("own", "previous", "next")])
+    return met.filter("own is not null").select("own.*", F.col(f"previous.{value}").alias("previous"), F.col(f"next.{value}").alias("next"))
 
 
 @dataclass

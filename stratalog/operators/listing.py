@@ -14,6 +14,8 @@ from ..functions.text import class_file, dotted_prefixes, output_problem, strip
 
 COMMIT = ["source_name", "commit_hash"]
 CLASS = [*COMMIT, "class_name"]
+#: Type under which failures of types that aren't known are logged.
+UNKNOWN_FAILURE = "unknown_failure"
 #: Whitelists up to this many rows are sent to every task.
 WHITELIST_ROWS = 100_000
 
@@ -130,9 +132,12 @@ def outcomes(candidates: DataFrame, texts: DataFrame, root: str, items: DataFram
 
 def commit_failures(problems: DataFrame, at: Column) -> DataFrame:
     """Failure log of commits that could not be processed: problems are (source_name,
-    commit_hash, failure_type, compiler_message), with one of the failure types."""
-    known = problems.filter(F.col("failure_type").isin(FAILURE_TYPES))
-    return known.select(*COMMIT, F.lit("").alias("class_name"), "failure_type", strip(F.coalesce("compiler_message", F.lit(""))).alias("compiler_message"), at.alias("created_at_utc"))
+    commit_hash, failure_type, compiler_message). All are kept, whatever their type:
+    a type that isn't known is logged as ``UNKNOWN_FAILURE`` with its name in the message."""
+    known = F.col("failure_type").isin(FAILURE_TYPES)
+    message = strip(F.coalesce("compiler_message", F.lit("")))
+    told = F.concat(F.coalesce("failure_type", F.lit("")), F.lit(": "), message)
+    return problems.select(*COMMIT, F.lit("").alias("class_name"), F.when(known, F.col("failure_type")).otherwise(UNKNOWN_FAILURE).alias("failure_type"), F.when(known, message).otherwise(told).alias("compiler_message"), at.alias("created_at_utc"))
 
 
 def failure_rows(outcome_rows: DataFrame, at: Column) -> DataFrame:

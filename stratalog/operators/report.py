@@ -140,6 +140,26 @@ def moving_average(series: DataFrame, order: list[str], value: str, k: int) -> D
     return framed.filter((F.floor(at / block) == F.col("block__")) & (F.col("n__") == k)).drop("n__", "seq__", "block__")
 
 
+def pixel_series(series: DataFrame, x: str, y: str, width: int) -> DataFrame:
+    """(pixel, x, y): what a line drawn over ``width`` pixels needs of a series.
+
+    Of the points that fall into a pixel's stretch of x, the first, the last,
+    the lowest and the highest (M4, Jugel et al., 2014): at most ``4 width`` rows
+    whatever the series' length, and the drawn line is the same. Points of equal
+    x are in order of y; of equal y the lowest is the first and the highest the
+    last. Rows with a null are left out; ``x`` and ``y`` are numbers. One
+    aggregate with map-side combination, on bounds from another.
+    """
+    points = series.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    bounds = points.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))  # one row
+    share = F.when(F.col("hi") > F.col("lo"), (F.col("x") - F.col("lo")) * width / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))).otherwise(0.0)
+    placed = points.crossJoin(F.broadcast(bounds)).select(F.least(F.floor(share), F.lit(width - 1)).cast("int").alias("pixel"), "x", "y")
+    across, upward = F.struct("x", "y"), F.struct("y", "x")
+    four = placed.groupBy("pixel").agg(F.min(across).alias("first"), F.max(across).alias("last"), F.min(upward).alias("low"), F.max(upward).alias("high"))
+    corners = F.array(*[F.struct(F.col(f"{c}.x").alias("x"), F.col(f"{c}.y").alias("y")) for c in ("first", "last", "low", "high")])
+    return four.select("pixel", F.explode(F.array_distinct(corners)).alias("p")).select("pixel", "p.x", "p.y")
+
+
 def timeline(listing: DataFrame, dates: DataFrame) -> DataFrame | None:
     """Counts of each dated commit with moving averages; None below ten commits."""
     rows = commit_counts(listing).join(dates.select(*COMMIT, "committed_ts"), COMMIT).withColumn("date", F.date_format("committed_ts", "yyyy-MM-dd"))
@@ -168,6 +188,39 @@ def invariants(values: dict[str, int], categories: int, package_load: int, extra
     return [*told, ("package load covers load failures", package_load, extra, package_load >= extra)]
 
 
+def checks(commits: DataFrame, listing: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(label, lhs, rhs, ok) of what must agree between tables, each of which is read once.
+
+    Listing rows are counted by commit and meet the commits there; sums of
+    buckets and classes are made apart from the totals that they are held against.
+    """
+    bucket = F.when(F.col("excluded") == 1, reason_bucket(F.col("exclusion_reason")))
+    listed = commit_counts(listing).join(commits.select(*COMMIT, "excluded", bucket.alias("bucket")), COMMIT, "full_outer")
+    kept, known = F.col("excluded") == 0, F.col("n_classes").isNotNull()
+    by_bucket = [F.count_if(F.col("bucket") == b) for b in ("branch", "tag", "age", "bot", "files")]
+    row = listed.agg(
+        (F.count_if(kept) + reduce(lambda a, b: a + b, by_bucket)).alias("retained_excluded"),
+        F.count("excluded").alias("input"),
+        F.count_if(kept & known).alias("listed"),
+        F.count_if(kept & ~known).alias("unlisted"),
+        F.count_if(kept).alias("retained"),
+        F.coalesce(F.sum("n_classes"), F.lit(0)).alias("all"),
+        F.coalesce(F.sum("n_eligible"), F.lit(0)).alias("eligible"),
+        F.coalesce(F.sum(F.col("n_classes") - F.col("n_eligible")), F.lit(0)).alias("other"),
+    )
+    failed = F.col("canonical_produced") == 0
+    made = outcomes.agg(F.count_if(F.col("canonical_produced") == 1).alias("produced"), F.count_if(failed).alias("failed"), F.count(F.when(failed, failure_class(F.coalesce("error_message", F.lit(""))))).alias("categories"))
+    sides = {
+        "retained + excluded = input": (F.col("retained_excluded"), F.col("input")),
+        "listed + unlisted commits = retained": (F.col("listed") + F.col("unlisted"), F.col("retained")),
+        "eligible + other = all": (F.col("eligible") + F.col("other"), F.col("all")),
+        "produced + failed = eligible": (F.col("produced") + F.col("failed"), F.col("eligible")),
+        "categories = failures": (F.col("categories"), F.col("failed")),
+    }
+    told = F.array(*[F.struct(F.lit(label).alias("label"), a.cast("long").alias("lhs"), b.cast("long").alias("rhs"), (a == b).alias("ok")) for label, (a, b) in sides.items()])
+    return row.crossJoin(made).select(F.explode(told).alias("c")).select("c.*")  # one row each
+
+
 def guard_pilot(enabled: bool, allowed: bool) -> None:
     """Pilot data give no report unless that is allowed."""
     if enabled and not allowed:

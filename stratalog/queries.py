@@ -508,12 +508,54 @@ def api_pull_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.get_github_pull_requests("1", "7").select("number", "title", "url", "state", "merged")
 
 
-@query(f"SELECT v::BIGINT AS version_index, l_orderkey::VARCHAR AS commit_hash, CASE WHEN c_custkey IS NULL THEN 0 ELSE 1 END AS n_issues FROM (SELECT *, sum(c) OVER (PARTITION BY l_partkey ORDER BY o_custkey, l_orderkey::VARCHAR) AS v FROM ({VERSIONS})) LEFT JOIN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') ON c_custkey = o_custkey WHERE c = 1 AND l_partkey = 7")
+@query(f"SELECT v::BIGINT AS version_index, l_orderkey::VARCHAR AS commit_hash, CASE WHEN c_custkey IS NULL THEN 0 ELSE 1 END AS n_issues, CASE WHEN l_orderkey % 2 = 0 THEN 'info ' || l_orderkey END AS commit, CASE WHEN l_orderkey % 3 = 0 THEN 'pulls ' || o_custkey END AS pulls FROM (SELECT *, sum(c) OVER (PARTITION BY l_partkey ORDER BY o_custkey, l_orderkey::VARCHAR) AS v FROM ({VERSIONS})) LEFT JOIN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') ON c_custkey = o_custkey WHERE c = 1 AND l_partkey = 7")
 def api_change_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as issues, even orders as commits and every third one with pull requests, so that some are missing."""
     h = versions_history(spark, sf_dir)
     issues = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").cast("long").alias("number"), F.col("c_name").alias("title"), F.lit("open").alias("state"))
-    none = h.commits.select("commit_hash").limit(0)
-    return h.semantic_change_context("1", "7", none.withColumn("info", F.lit("")), none.withColumn("pulls", F.array()), issues).select("version_index", "commit_hash", "n_issues")
+    o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey").cast("string")
+    infos = o.filter("o_orderkey % 2 = 0").select(key.alias("commit_hash"), F.concat(F.lit("info "), key).alias("info"))
+    pulls = o.filter("o_orderkey % 3 = 0").select(key.alias("commit_hash"), F.concat(F.lit("pulls "), F.col("o_custkey").cast("string")).alias("pulls"))
+    return h.semantic_change_context("1", "7", infos, pulls, issues).select("version_index", "commit_hash", "n_issues", "commit", "pulls")
+
+
+FIRST_OF_CLASS = one_row_a_key("SELECT o_custkey AS place FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = 1 AND l_returnflag = 'R' AND l_partkey = 7 ORDER BY o_orderkey LIMIT 1")
+
+
+@query(
+    f"SELECT class_name, version_index, first_seq, last_seq, n AS commit_count, previous, next FROM (SELECT *, lag(digest) OVER w AS previous, lead(digest) OVER w AS next FROM (SELECT l_partkey::VARCHAR AS class_name, v::BIGINT AS version_index, sha256(any_value(q)::VARCHAR || chr(10)) AS digest, min(o_custkey) AS first_seq, max(o_custkey) AS last_seq, count(*) AS n "
+    f"FROM (SELECT *, sum(c) OVER (PARTITION BY l_partkey ORDER BY o_custkey, l_orderkey::VARCHAR) AS v FROM ({VERSIONS})) WHERE l_partkey = 7 GROUP BY l_partkey, v) WINDOW w AS (ORDER BY version_index)) JOIN ({FIRST_OF_CLASS}) ON place BETWEEN first_seq AND last_seq"
+)
+def api_neighbour_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The version of a class at one of its commits, with the ones before and after it."""
+    h = versions_history(spark, sf_dir)
+    at = h.get_commits_touching_class("1", "7").agg(F.min(F.col("commit_hash").cast("long"))).first()[0]
+    return h.get_neighbour_versions("1", "7", str(at)).select("class_name", "version_index", "first_seq", "last_seq", "commit_count", "previous", "next")
+
+
+def fetched(spark: SparkSession, sf_dir: str) -> history.History:
+    """Orders as fetched commits, with their lines as files, and customers as issues with labels."""
+    h, lines = versions_history(spark, sf_dir), table(spark, sf_dir, "lineitem")
+    files = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.struct(F.concat(F.lit("f"), F.col("l_linenumber").cast("string")).alias("filename")))).alias("files"), F.sum("l_linenumber").alias("n"))
+    o = table(spark, sf_dir, "orders").join(files, F.col("l_orderkey") == F.col("o_orderkey"))
+    author = F.struct(F.struct(F.col("o_orderpriority").alias("name")).alias("author"), F.col("o_orderstatus").alias("message"))
+    commit = F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("sha"), F.struct(F.col("o_custkey").cast("string").alias("login")).alias("author"), author.alias("commit"), F.struct(F.col("n").alias("additions")).alias("stats"), "files"))
+    c = table(spark, sf_dir, "customer")
+    issue = F.to_json(F.struct(F.col("c_custkey").alias("number"), F.col("c_name").alias("title"), F.lit("open").alias("state"), F.array(F.struct(F.col("c_mktsegment").alias("name")), F.struct(F.lit("x").alias("name"))).alias("labels")))
+    kinds = [o.select(F.lit("o/r").alias("repository"), F.lit("commit").alias("kind"), F.col("o_orderkey").cast("string").alias("key"), commit.alias("payload")), c.select(F.lit("o/r").alias("repository"), F.lit("issue").alias("kind"), F.col("c_custkey").cast("string").alias("key"), issue.alias("payload"))]
+    h.payloads = kinds[0].unionByName(kinds[1])
+    return h
+
+
+@query("SELECT o_orderkey::VARCHAR AS sha, o_custkey::VARCHAR AS author_login, o_orderpriority AS author_name, o_orderstatus AS message, sum(l_linenumber)::BIGINT AS additions, count(DISTINCT l_linenumber)::INT AS files_changed, string_agg(DISTINCT 'f' || l_linenumber, ',' ORDER BY 'f' || l_linenumber) AS files FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey = 7 GROUP BY ALL")
+def api_github_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fetched(spark, sf_dir).get_github_commit("1", "7")
+    return found.select("sha", "author_login", "author_name", "message", "additions", "files_changed", F.array_join("files", ",").alias("files"))
+
+
+@query("SELECT c_custkey AS number, c_name AS title, 'open' AS state, '' AS url, c_mktsegment || ',x' AS labels FROM customer WHERE c_custkey = 7")
+def api_github_issue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fetched(spark, sf_dir).get_github_issue("1", 7).select("number", "title", "state", "url", F.array_join("labels", ",").alias("labels"))
 
 
 # --- reports and runs
@@ -537,11 +579,16 @@ def funnel_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row.select(F.col("StepOneInputUniqueCommits").alias("total"), F.col("TotalCommitsFiltered").alias("kept"), F.round("StepOneTotalExcludedPct", 9).alias("pct"), F.round("StepOneCommitMoPairsMean", 9).alias("mean"), F.col("StepOneCommitMoPairsMedian").alias("median"))
 
 
-@query("SELECT name, value FROM (SELECT count(*)::VARCHAR AS a, count(*) FILTER (l_returnflag = 'R')::VARCHAR AS b, count(*) FILTER (l_linestatus = 'O')::VARCHAR AS c, greatest(count(*) FILTER (l_returnflag = 'R'), count(*) - count(*) FILTER (l_linestatus = 'O'))::VARCHAR AS d FROM lineitem) CROSS JOIN LATERAL (VALUES ('TotalClassVersions', a), ('ExperimentClassVersions', b), ('ExtractionFailuresCount', c), ('FinalCanonicalModelVersions', d)) v(name, value)")
+@query(
+    "WITH t AS (SELECT count(*) AS t, count(*) FILTER (l_returnflag = 'R') AS e, count(*) FILTER (l_returnflag <> 'R') AS o, greatest(count(*) FILTER (l_returnflag = 'R'), count(*) - count(*) FILTER (l_linestatus = 'O')) AS s, count(*) FILTER (l_linenumber = 1) AS w, count(*) FILTER (l_linestatus = 'O') AS f FROM lineitem), "
+    "c AS (SELECT count(*) FILTER (l_linestatus = 'F') AS c, count(*) FILTER (l_linestatus = 'F' AND l_quantity > 25) AS x FROM lineitem WHERE l_linenumber = 1 AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')) "
+    "SELECT v.name, round(v.value, 6) AS value FROM t, c, LATERAL (VALUES ('ProcessedCommitsCount', c::DOUBLE), ('ProcessedCommitsPercentage', 100.0 * c / 10), ('ExtractionFailures', f::DOUBLE), ('ExtractionFailuresCount', f::DOUBLE), ('ExtractionFailuresPercentage', 100.0 * f / e), ('FinalCanonicalModelVersions', s::DOUBLE), ('FinalCanonicalModelVersionsPercentage', 100.0 * s / e), ('StepOneCommitFoldersWithCanonicals', x::DOUBLE), "
+    "('StepThreeInputScope', e::DOUBLE), ('StepThreeScopeLabel', NULL::DOUBLE), ('TotalClassVersions', t::DOUBLE), ('ExperimentClassVersions', e::DOUBLE), ('ExperimentClassVersionsPercentage', 100.0 * e / t), ('NonExperimentClassVersions', o::DOUBLE), ('NonExperimentClassVersionsPercentage', 100.0 * o / t), ('WhitelistedExperimentClassVersions', w::DOUBLE), ('WhitelistedExperimentClassVersionsPercentage', 100.0 * w / e)) v(name, value)"
+)
 def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts among the metrics of a run."""
+    """All metrics of a run; the label of its scope is no number."""
     rows = progress.run_metrics(distinct_when(spark, sf_dir), scope_semi_join(spark, sf_dir), 10, pilot=False)
-    return rows.filter(F.col("name").isin("TotalClassVersions", "ExperimentClassVersions", "ExtractionFailuresCount", "FinalCanonicalModelVersions"))
+    return rows.select("name", F.round(F.col("value").try_cast("double"), 6).alias("value"))
 
 
 @query("SELECT event_type AS name, max_by(event_id, (user_id, event_id))::VARCHAR AS value FROM events GROUP BY ALL")
@@ -558,12 +605,12 @@ def listing_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress.listing_progress(commits(spark, sf_dir), classes(spark, sf_dir), datetime(2021, 1, 1)).select("commit_hash", "status", "enumerated_classes_count")
 
 
-@query("SELECT replace(regexp_extract(line, '^(.newcommand)', 1), chr(92), '') AS head, regexp_extract(line, 'Key([0-9]+)', 1)::BIGINT AS k, regexp_extract(line, '(.)$', 1) AS last FROM (SELECT chr(92) || 'newcommand{' || chr(92) || 'Key' || n_nationkey || '}{' || n_nationkey || '}' AS line FROM nation)")
+@query("SELECT 'Key' || n_nationkey AS name, replace(format('{:,}', n_nationkey * 7919 * 1000 + n_regionkey), ',', '{,}') AS body FROM nation")
 def tex_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics written as macros and read again."""
-    values = {f"Key{r[0]}": int(r[0]) for r in table(spark, sf_dir, "nation").select("n_nationkey").collect()}  # 25 rows
-    lines = spark.createDataFrame([(x,) for x in tex_lines(values)], "line string").select(tex_macro(F.col("line")).alias("m"))
-    return lines.select(F.lit("newcommand").alias("head"), F.regexp_extract("m.name", "Key([0-9]+)", 1).cast("long").alias("k"), F.lit("}").alias("last"))
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", (F.col("n_nationkey") * 7919 * 1000 + F.col("n_regionkey")).alias("v"))
+    values = {f"Key{r[0]}": int(r[1]) for r in nations.collect()}  # 25 rows
+    return spark.createDataFrame([(x,) for x in tex_lines(values)], "line string").select(tex_macro(F.col("line")).alias("m")).select("m.name", "m.body")
 
 
 # --- predicates of the funnel
@@ -585,25 +632,29 @@ def age_name_and_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("commit_hash").cast("long").alias("c_custkey"), F.when(reason.startswith("commit date: "), "age").otherwise(reason).alias("reason"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'commit message matches ' || chr(39) || '\\bUpdate\\s+release\\s+notes\\b' || chr(39) ELSE '' END AS reason FROM orders")
+@query(
+    "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN '' WHEN o_orderstatus = 'O' THEN 'commit message matches ' || chr(39) || '\\bVersion\\s+bump\\b' || chr(39) WHEN o_orderpriority = '1-URGENT' THEN 'commit message matches ' || chr(39) || '\\bUpdate\\s+release\\s+notes\\b' || chr(39) ELSE '' END AS reason FROM orders"
+)
 def doc_only_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A message about documentation is a bot's only if no other kind of file changed."""
+    """A message about documentation is a bot's only if no other kind of file changed; others are a bot's or not by themselves."""
     o = table(spark, sf_dir, "orders")
     extensions = F.when(F.col("o_orderpriority") == "1-URGENT", F.array(F.lit(".md"), F.lit(".mo"))).when(F.col("o_orderpriority") == "2-HIGH", F.array(F.lit(".md"), F.lit(".c"))).otherwise(F.array(F.lit("")))
-    reason = funnel.bot_reason(F.lit(""), F.lit(""), F.lit("Update release notes"), extensions, [], [])
+    number = F.col("o_orderkey").cast("string")
+    message = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("Fix version bump "), number)).when(F.col("o_orderstatus") == "O", F.concat(number, F.lit(" version  bump"))).otherwise(F.concat(F.lit("update Release notes "), number))
+    reason = funnel.bot_reason(F.lit(""), F.lit(""), message, extensions, [], [])
     return o.select("o_orderkey", F.coalesce(reason, F.lit("")).alias("reason"))
 
 
 # --- text helpers
 
 
-@query("SELECT page_id, regexp_extract(replace(url, '=', ''), '([^/]*)$', 1) AS package, len(string_split(url, '/')) AS n, 'q' AS main FROM pages")
+@query("SELECT page_id, regexp_extract(replace(url, '=', ''), '([^/]*)$', 1) AS package, len(string_split(url, '/')) AS n, CASE WHEN page_id % 2 = 0 THEN 'q' ELSE regexp_extract(replace(url, '=', ''), '([^/]*)$', 1) END AS main FROM pages")
 def load_target_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses as paths of a load target whose package is their last segment."""
     plain = F.replace(F.col("url"), F.lit("="), F.lit(""))
     last = F.element_at(F.split(plain, "/"), -1)
     targets = load_targets(F.concat(F.lit(" "), last, F.lit(" = "), F.replace(plain, F.lit("/"), F.lit(",.")), F.lit(" ;; q=x")))
-    return table(spark, sf_dir, "pages").select("page_id", targets[0]["package"].alias("package"), F.size(targets[0]["paths"]).cast("long").alias("n"), main_package(F.concat(last, F.lit("=a;q=b")), F.lit("s")).alias("main"))
+    return table(spark, sf_dir, "pages").select("page_id", targets[0]["package"].alias("package"), F.size(targets[0]["paths"]).cast("long").alias("n"), main_package(F.when(F.col("page_id") % 2 == 0, F.concat(last, F.lit("=a;q=b"))).otherwise(F.concat(F.lit("q=b;"), last, F.lit("=a"))), F.lit("s")).alias("main"))
 
 
 @query("SELECT p_partkey, replace(replace(p_name, ' ', '.'), '.', '_') AS file, 'S/' || p_partkey || '/' || split_part(p_name, ' ', 1) || '.mo' AS under, 'S' AS source_name, p_partkey::VARCHAR AS commit_hash, split_part(p_name, ' ', 1) AS class_stem FROM part")
@@ -613,11 +664,11 @@ def stored_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", class_file(F.replace(F.col("p_name"), F.lit(" "), F.lit("."))).alias("file"), under_segment(path).alias("under"), path_key(path).alias("k")).select("p_partkey", "file", "under", "k.*")
 
 
-@query("SELECT p_partkey, p_name AS message, p_partkey * 1001 AS number, p_partkey % 4 < 2 AS flag, 'input part' AS words FROM part")
+@query("SELECT p_partkey, p_name AS message, p_partkey * 1001 AS number, p_partkey % 4 < 2 AS flag, p_name AS words FROM part")
 def small_parsers(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     flag = F.element_at(F.array(F.lit("yes "), F.lit("ON"), F.lit("0"), F.lit("")), (key % 4 + 1).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", compiler_error(F.concat(F.lit(' " '), "p_name", F.lit('" '))).alias("message"), parsed_int(F.format_number(key * 1001, 0)).alias("number"), parsed_flag(flag).alias("flag"), metric_words(F.lit("\\StepTwoInputPart")).alias("words"))
+    return table(spark, sf_dir, "part").select("p_partkey", compiler_error(F.concat(F.lit(' " '), "p_name", F.lit('" '))).alias("message"), parsed_int(F.format_number(key * 1001, 0)).alias("number"), parsed_flag(flag).alias("flag"), metric_words(F.concat(F.lit("\\StepTwo"), F.replace(F.initcap("p_name"), F.lit(" "), F.lit("")))).alias("words"))
 
 
 @query("SELECT p_partkey, len(string_split(p_name, ' ')) + 1 AS n, 1 AS kept FROM part")
@@ -629,12 +680,15 @@ def annotation_items_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", items.alias("items")).select("p_partkey", F.size("items").cast("long").alias("n"), F.size(semantic_items(F.col("items"))).alias("kept"))
 
 
-@query()
+@query(
+    "SELECT p_partkey, 'version=\"' || p_name || '\"|experiment(StopTime=' || p_size || ')|__Other_' || p_partkey || ' = \"a, b)\"|__OpenModelica_x = 1' AS items, 'experiment(StopTime=' || p_size || ')|__OpenModelica_x = 1' AS kept, "
+    "'annotation(version=\"' || repeat('.', length(p_name)) || '\", experiment(StopTime=' || p_size || '), __Other_' || p_partkey || ' = \".....\", __OpenModelica_x = 1)' AS masked FROM part"
+)
 def annotation_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items of annotation texts made of part names; balanced parsing is beyond SQL."""
+    """Items of annotation texts made of part names, those with an effect, and the text without its literals."""
     text = F.format_string('annotation(version="%s", experiment(StopTime=%s), __Other_%s = "a, b)", __OpenModelica_x = 1)', F.col("p_name"), F.col("p_size").cast("string"), F.col("p_partkey").cast("string"))
-    items = table(spark, sf_dir, "part").select("p_partkey", annotation_items(text).alias("items"), F.length(mask_literals(text)).alias("masked_chars"))
-    return items.withColumn("kept", semantic_items(F.col("items")))
+    items = table(spark, sf_dir, "part").select("p_partkey", annotation_items(text).alias("items"), mask_literals(text).alias("masked"))
+    return items.select("p_partkey", F.array_join("items", "|").alias("items"), F.array_join(semantic_items(F.col("items")), "|").alias("kept"), "masked")
 
 
 @query(

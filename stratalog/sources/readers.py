@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parsing import tex_macro
 from ..functions.text import strip, under_segment
-from ..schemas import INPUTS, LISTING_CACHE, TABLES, conform
+from ..schemas import INPUTS, TABLES, conform
 
 
 def read_input(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -21,12 +21,50 @@ def scalar(df: DataFrame, default: object = 0) -> object:
     return default if row is None or row[0] is None else row[0]
 
 
+def listed_classes(payload: Column) -> Column:
+    """(class_name, is_experiment) of the entries of a JSON record's ``classes``.
+
+    Null if the payload is no JSON object or has no list there. Entries that are
+    no objects, or have no name, are passed over one by one; names of other
+    types are taken as text and flags by whether they are empty or zero.
+    """
+    entries = F.try_variant_get(F.try_parse_json(payload), "$.classes", "array<variant>")
+    told = F.transform(entries, lambda e: F.struct(strip(_shown(F.try_variant_get(e, "$.name", "variant"))).alias("class_name"), _truth(F.try_variant_get(e, "$.is_experiment", "variant")).cast("int").alias("is_experiment")))
+    return F.filter(told, lambda c: F.coalesce(c["class_name"], F.lit("")) != "")
+
+
+def _shown(value: Column) -> Column:
+    kind = F.schema_of_variant(value)
+    text = F.try_variant_get(value, "$", "string")
+    return F.when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(text)).otherwise(text)
+
+
+def _truth(value: Column) -> Column:
+    kind = F.schema_of_variant(value)
+    text = F.try_variant_get(value, "$", "string")
+    empty = text.isin("", "{}", "[]")
+    number = F.try_variant_get(value, "$", "double")
+    return F.coalesce(F.when(kind == "VOID", False).when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean")).when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), number != 0).otherwise(~empty), F.lit(False))
+
+
 def listing_cache(spark: SparkSession, path: str) -> DataFrame:
-    """Class listings from JSON caches: malformed files and nameless entries are passed over."""
-    raw = spark.read.schema(LISTING_CACHE).option("mode", "PERMISSIVE").option("multiLine", True).json(path)
-    rows = raw.select("source_name", "commit_hash", F.explode("classes").alias("c"))
-    named = rows.select("source_name", "commit_hash", strip(F.col("c.name")).alias("class_name"), F.coalesce(F.col("c.is_experiment"), F.lit(False)).cast("int").alias("is_experiment"))
-    return named.filter("class_name <> ''")
+    """Class listings from JSON caches: a record a file, or a record a line.
+
+    Records that are malformed are passed over, and within records the entries
+    that are (``listed_classes``). A record without source or commit has those
+    of its path, ``<source>/<commit>.json``.
+    """
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select("value", F.split(F.col("_metadata.file_path"), "/").alias("at"))
+    lines = F.filter(F.split("value", "\n"), lambda line: F.btrim(line) != "")
+    apart = F.try_parse_json(F.get(lines, F.lit(0))).isNotNull()
+    records = raw.select("at", F.explode(F.when(apart, lines).otherwise(F.array("value"))).alias("record"))
+    parsed = records.withColumn("v", F.try_parse_json("record"))
+    named = parsed.select(
+        F.coalesce(F.try_variant_get("v", "$.source_name", "string"), F.element_at("at", -2)).alias("source_name"),
+        F.coalesce(F.try_variant_get("v", "$.commit_hash", "string"), F.regexp_replace(F.element_at("at", -1), r"\.json$", "")).alias("commit_hash"),
+        F.explode(listed_classes(F.col("record"))).alias("c"),
+    )
+    return named.select("source_name", "commit_hash", "c.class_name", "c.is_experiment")
 
 
 def write_listing_cache(listing: DataFrame, path: str) -> None:

@@ -259,7 +259,7 @@ def test_commits_that_could_not_be_processed(spark, tmp_path):
     assert [tuple(r)[1:6] for r in store.read("failures").collect()] == [("S", "a", "", "load_model_failed", "no file")]
     states = {r["commit_hash"]: (r["status"], r["saved_models_count"], r["failure_count"]) for r in store.read("outcome_progress").collect()}
     assert states == {"a": ("complete", 0, 1), "b": ("complete", 1, 0)}
-    assert listing.commit_failures(problems, F.lit(T1)).count() == 1
+    assert listing.commit_failures(problems, F.lit(T1)).count() == 2
     broken = texts.withColumn("text", F.expr("raise_error('cut short')"))
     store.replace_sources("commits", frame(spark, "commits", [("S", "c", 2, "", "", "", 0, "")]))
     store.upsert("listing", frame(spark, "listing", [("S", "c", "X", 1)]), schemas.KEYS["listing"])
@@ -282,7 +282,7 @@ def test_age_limit_needs_a_time(spark):
 def test_numbering_and_means_in_ranges(spark, monkeypatch):
     rows = [(k * 7919 % 1000 // 3, float(k)) for k in range(1000)]
     series = spark.createDataFrame([(a, k, v) for k, (a, v) in enumerate(rows)], "a int, b int, v double").repartition(5)
-    found = upsert.numbered(series, ["a", "b"], rows_a_range=70).orderBy("seq").collect()
+    found = upsert.numbered(series, ["a", "b"], blocks=9).orderBy("seq").collect()
     want = sorted((a, k, v) for k, (a, v) in enumerate(rows))
     assert [(r["a"], r["b"], r["v"], r["seq"]) for r in found] == [(*w, k) for k, w in enumerate(want)]
     monkeypatch.setattr(report, "BLOCK_ROWS", 20)
@@ -391,3 +391,123 @@ def test_streaming(spark, tmp_path):
     (tmp_path / "none").mkdir()
     raw = incremental.read_stream(spark, str(tmp_path / "none"), "commits_raw")
     assert incremental.new_commits(raw).isStreaming and incremental.daily_commits(raw).columns == ["source_name", "day", "n"]
+
+
+def test_failures_of_unknown_types_are_kept(spark, tmp_path):
+    """A commit that failed in a way that nobody foresaw is logged, not lost with its classes."""
+    store = upsert.Store(spark, str(tmp_path / "store"))
+    run = Run(store, now=T1)
+    store.replace_sources("commits", frame(spark, "commits", [("S", c, k, "", "", "", 0, "") for k, c in enumerate("ab")]))
+    store.upsert("listing", frame(spark, "listing", [("S", c, "X", 1) for c in "ab"]), schemas.KEYS["listing"])
+    problems = spark.createDataFrame([("S", "a", "disk_full", " no room \n"), ("S", "b", None, None)], "source_name string, commit_hash string, failure_type string, compiler_message string")
+    run.step_three(frame(spark, "canonical_texts", []), problems)
+    logged = {r["commit_hash"]: (r["failure_type"], r["compiler_message"]) for r in store.read("failures").collect()}
+    assert logged == {"a": ("unknown_failure", "disk_full: no room"), "b": ("unknown_failure", ": ")}
+    assert {r["commit_hash"]: r["failure_count"] for r in store.read("outcome_progress").collect()} == {"a": 1, "b": 1}
+
+
+@pytest.mark.parametrize("blocks", [1, 3, 40])
+def test_runs_of_huge_keys(spark, blocks):
+    """A key that spans many blocks, nulls as keys and values, runs over borders, keys with one row."""
+    import random
+
+    rng = random.Random(blocks)
+    rows, at = [], 0
+    for _ in range(400):
+        at += rng.randint(1, 2)
+        rows.append((rng.choice(["k", "k", "k", None, f"s{at}"]), at, rng.choice(["x", "x", "x", "y", None])))
+    want = []
+    for key in {r[0] for r in rows}:
+        number, last = 0, object()
+        for _, place, value in sorted((r for r in rows if r[0] == key), key=lambda r: r[1]):
+            if number == 0 or value != last:
+                number += 1
+                want.append([key, number, value, place, place, 0])
+            want[-1][4:] = [place, want[-1][5] + 1]
+            last = value
+    data = spark.createDataFrame(rows, "k string, at int, v string").repartition(5)
+    found = history.runs(data, ["k"], ["at"], "v", blocks)
+    got = [(r["k"], r["version_index"], r["v"], r["first"]["at"], r["last"]["at"], r["n"]) for r in found.collect()]
+    assert sorted(got, key=repr) == sorted(map(tuple, want), key=repr)
+    beside = {(r["k"], r["version_index"]): (r["previous"], r["next"]) for r in history.neighbours(found, ["k"], "v").collect()}
+    values = {(k, n): v for k, n, v, *_ in want}
+    assert beside == {(k, n): (values.get((k, n - 1)), values.get((k, n + 1))) for k, n in values}
+
+
+def test_no_task_holds_a_key(spark):
+    """Rows of one key are dealt into as many blocks as there are partitions."""
+    data = spark.range(4000).selectExpr("1 as k", "id", "id div 700 as v")
+    sizes = [r["count"] for r in upsert.in_blocks(data, ["k", "id"], 16).groupBy(upsert.BLOCK).count().collect()]
+    assert len(sizes) >= 12 and max(sizes) < 1000
+    assert history.runs(data, ["k"], ["id"], "v", 16).count() == 6
+
+
+def test_distinct_counts_grow_by_days(spark, tmp_path):
+    """Days are added one by one, twice, and late; older rows are never read again."""
+    from stratalog.operators import distinct
+
+    store = upsert.Store(spark, str(tmp_path / "store"), parts=2)
+    schema = "source_name string, day date, name string"
+    days = [[("S", "2024-01-01", f"n{k}") for k in range(200)] + [("T", "2024-01-01", "n1"), ("T", "2024-01-01", None)], [("S", "2024-01-03", f"n{k}") for k in range(100, 70_000, 7)], [("S", "2024-01-02", f"n{k}") for k in range(150, 300)] + [(None, None, "n5")]]
+    seen = {}
+    for day in [*days, days[1]]:
+        rows = [(s, None if d is None else datetime.fromisoformat(d).date(), n) for s, d, n in day]
+        distinct.add(store, spark.createDataFrame(rows, schema))
+        for s, d, n in day:
+            if n is not None:
+                seen.setdefault((s, d), set()).add(n)
+    got = {(r["source_name"], r["day"] and str(r["day"])): r["n"] for r in distinct.counts(store, ["source_name", "day"]).collect()}
+    assert got == {k: len(v) for k, v in seen.items()}
+    union = set().union(*seen.values())
+    assert distinct.counts(store, []).first()["n"] == len(union)
+    assert {r["source_name"]: r["n"] for r in distinct.counts(store, ["source_name"], "2024-01-02", "2024-01-02").collect()} == {"S": 150}
+    guess = distinct.estimates(store, []).first()["n"]
+    assert abs(guess - len(union)) < 5 * distinct.ERROR * len(union)
+    assert distinct.counts(upsert.Store(spark, str(tmp_path / "none")), ["source_name"]).count() == 0
+
+
+def test_pixels_keep_the_drawn_line(spark):
+    """First, last, lowest and highest of each pixel, whatever the number of points."""
+    import random
+
+    rng = random.Random(2)
+    points = [(rng.random() * 100, rng.gauss(0, 5)) for _ in range(3000)] + [(7.0, None), (None, 1.0), (0.0, 1.0), (100.0, 2.0), (100.0, -2.0)]
+    found = [tuple(r) for r in report.pixel_series(spark.createDataFrame(points, "t double, v double"), "t", "v", 40).collect()]
+    whole = [(t, v) for t, v in points if t is not None and v is not None]
+    want = set()
+    for pixel in range(40):
+        own = [p for p in whole if min(int((p[0]) * 40 / 100.0), 39) == pixel]
+        want |= {(pixel, *p) for p in (min(own), max(own), min(own, key=lambda p: (p[1], p[0])), max(own, key=lambda p: (p[1], p[0])))}
+    assert set(found) == want and len(found) == len(want) <= 160
+    assert report.pixel_series(spark.createDataFrame([(1, 2), (1, 3)], "t int, v int"), "t", "v", 5).count() == 2
+    assert report.pixel_series(spark.createDataFrame([], "t int, v int"), "t", "v", 5).count() == 0
+
+
+ENTRIES = [
+    ('{"classes": [{"name": " A ", "is_experiment": true}, {"name": "B"}]}', [("A", 1), ("B", 0)]),
+    ('{"classes": [{"name": "A", "is_experiment": 1}, 5, "x", null, [], {"other": 1}, {"name": ""}, {"name": "\\n"}]}', [("A", 1)]),
+    ('{"classes": [{"name": null}, {"name": 7}, {"name": 1.5, "is_experiment": 0.0}, {"name": true, "is_experiment": "no"}]}', [("None", 0), ("7", 0), ("1.5", 0), ("True", 1)]),
+    ('{"classes": [{"name": "A", "is_experiment": []}, {"name": "B", "is_experiment": {"x": 1}}, {"name": "C", "is_experiment": null}]}', [("A", 0), ("B", 1), ("C", 0)]),
+    ('{"classes": {"name": "A"}}', None), ('{"classes": null}', None), ("[1]", None), ('{"classes": [', None), ("", None), (None, None), ('{"classes": []}', []),
+]
+
+
+def test_tolerant_listings(spark, tmp_path):
+    """One bad entry is dropped, and not its record; the reference reads them with a general JSON parser."""
+    rows = spark.createDataFrame([(k, p) for k, (p, _) in enumerate(ENTRIES)], "k int, p string").select("k", readers.listed_classes(F.col("p")).alias("c")).orderBy("k").collect()
+    assert [None if r["c"] is None else [tuple(x) for x in r["c"]] for r in rows] == [want for _, want in ENTRIES]
+    place = tmp_path / "cache" / "Lib"
+    place.mkdir(parents=True)
+    for k, (payload, _) in enumerate(ENTRIES):
+        (place / f"c{k}.json").write_text(payload or "")
+    (place / "many.json").write_text('{"source_name": "Q", "commit_hash": "z", "classes": [{"name": "L"}]}\nbroken\n{"commit_hash": "y", "classes": [{"name": "M"}]}\n')
+    found = sorted(tuple(r) for r in readers.listing_cache(spark, str(tmp_path / "cache")).collect())
+    assert found == sorted([("Lib", f"c{k}", *c) for k, (_, want) in enumerate(ENTRIES) for c in want or []] + [("Q", "z", "L", 0), ("Lib", "y", "M", 0)])
+
+
+def test_checks_read_each_table_once(spark):
+    commits = frame(spark, "commits", [("S", c, k, "", "", "", int(bool(r)), r) for k, (c, r) in enumerate([("a", ""), ("b", ""), ("c", "excluded branch"), ("d", "no such bucket")])])
+    listed = frame(spark, "listing", [("S", "a", "A", 1), ("S", "a", "B", 0), ("S", "x", "C", 1)])
+    made = frame(spark, "outcomes", [("S", "a", "A", 1, "p", "", 0, "", "", 1), ("S", "x", "C", 1, "", "type error", 0, "", "", 0)])
+    found = report.checks(commits, listed, made)
+    assert {r["label"]: (r["lhs"], r["rhs"], r["ok"]) for r in found.collect()} == {"retained + excluded = input": (3, 4, False), "listed + unlisted commits = retained": (2, 2, True), "eligible + other = all": (3, 3, True), "produced + failed = eligible": (2, 2, True), "categories = failures": (1, 1, True)}

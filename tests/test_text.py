@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -92,16 +93,62 @@ def test_small_parsers(spark):
     ],
 )
 def test_annotations(spark, given, items, kept):
-    assert len(parsing.items_of(given)) == items
     frame = spark.createDataFrame([(given,)], "v string").select(parsing.annotation_items(F.col("v")).alias("i"))
     row = frame.select("i", parsing.semantic_items(F.col("i")).alias("k")).first()
     assert (len(row["i"]), row["k"]) == (items, kept)
 
 
-def test_masking_keeps_length():
-    given = 'a = "x, (\\" y", b("z")'
-    assert len(parsing.masked(given)) == len(given)
-    assert parsing.top_level_parts(given) == ['a = "x, (\\" y"', 'b("z")']
+STRING = re.compile(r'"(?:[^"\\]|\\.)*"', re.DOTALL)
+
+
+def plain_mask(given):
+    return STRING.sub(lambda m: '"' + "." * (len(m[0]) - 2) + '"', given)
+
+
+def plain_items(given):
+    """The same by one walk over a masked text."""
+    shown, depth, start, out = plain_mask(given), 0, None, []
+    close = None
+    for i, sign in enumerate(shown):
+        if sign == "(" and start is None:
+            start = i
+        depth += start is not None and {"(": 1, ")": -1}.get(sign, 0)
+        if start is not None and depth == 0:
+            close = i
+            break
+    if close is None:
+        return []
+    level, begin = 0, start + 1
+    for i in range(start + 1, close):
+        level += (shown[i] in "([{") - (shown[i] in ")]}")
+        if shown[i] == "," and level == 0:
+            out.append(given[begin:i].strip())
+            begin = i + 1
+    return out + [given[begin:close].strip()] * bool(given[begin:close].strip())
+
+
+PIECES = ["a", "(", ")", "[", "]", "{", "}", ",", '"', "\\", '\\"', " ", "\n", "é", "ab = 1", "()", '"x, (y"']
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=30).map("".join), min_size=60, max_size=60))
+def test_scanning_equals_a_walk(spark, values):
+    assert column(spark, values, parsing.mask_literals) == [plain_mask(v) for v in values]
+    assert column(spark, values, parsing.annotation_items) == [plain_items(v) for v in values]
+    balanced = [f"annotation({v})" for v in values]
+    assert column(spark, balanced, parsing.annotation_items) == [plain_items(v) for v in balanced]
+
+
+def test_scanning_long_texts(spark):
+    """Many items, many escapes in a literal, deep brackets, quotes without an end."""
+    values = ["(" + ", ".join(f"a{k}(b, {{c, {k}}})" for k in range(3000)) + ")", '("' + '\\"' * 20_000 + '", b)', "(" * 3000 + "a, b" + ")" * 3000, '(a, "b, c' + "x" * 50_000 + ", d)", "(" + "x" * 100_000 + ', "' + "y" * 100_000 + '")', None]
+    assert column(spark, values, parsing.annotation_items) == [plain_items(v or "") for v in values]
+    assert column(spark, values, parsing.mask_literals) == [v and plain_mask(v) for v in values]
+
+
+def test_annotations_need_no_python_workers(spark):
+    plan = spark.createDataFrame([("(a, b)",)], "v string").select(parsing.annotation_items(F.col("v")), parsing.mask_literals(F.col("v")), parsing.clean_annotation(F.col("v")))
+    assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
 def test_macros():
@@ -115,5 +162,6 @@ def test_numbers(spark):
     halves = spark.createDataFrame([(0.5,), (1.5,), (2.5,), (3.4,)], "v double")
     assert [r[0] for r in halves.select(numbers.half_even(F.col("v"))).collect()] == [0, 2, 2, 3]
     assert (numbers.fixed_point(0.25), numbers.fixed_point(0.15)) == ("0.2", "0.1")
-    assert (numbers.duration_text(62), numbers.duration_text(60), numbers.size_text(1536)) == ("1 m", "1 m", "1.5 KB")
-    assert [numbers.size_text(n) for n in (0, 1023, 1024, 1 << 30, 5 << 50)] == ["0.0 B", "1023.0 B", "1.0 KB", "1.0 GB", "5120.0 TB"]
+    assert [numbers.duration_text(x) for x in (-1, 0, 59.96, 62, 60, 7200)] == ["0 s", "0.0 s", "60.0 s", "1.0 m", "1.0 m", "2.0 hr"]
+    assert [numbers.size_text(n) for n in (0, 1023, 1024, 1536, 1 << 30, 5 << 50)] == ["   0.00 B", "1023.00 B", "   1.00 KB", "   1.50 KB", "   1.00 GB", "5120.00 TB"]
+    assert column(spark, ["4.0K", "12M\tx", "0", " 1.5G", "x", None, "7B"], numbers.disk_bytes) == [4096, 12 << 20, 0, 3 << 29, None, None, 7]
