@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from .common import free_name, small, stored
 
-#: Share of a host's pages beyond which a line is boilerplate, and pages that
-#: must hold it: on a host of one page any line stands on all of them.
+#: Share of a host's pages beyond which a line is boilerplate. It must repeat: on
+#: a host of one page any line stands on all of them.
 MAX_RATIO = 0.1
-LEAST_PAGES = 5
+LEAST_PAGES = 2
 #: White space that lines are compared without.
 AROUND = " \t\x0b\x0c\r"
 #: Parts of a host's pages where its lines are too many to be broadcast.

@@ -3,22 +3,26 @@
 Events are signed: an insert adds a document's counts, a delete subtracts
 them, a revision subtracts the old and adds the new ones. A batch is summed by
 (source, lang, tokenizer) and added to the totals of the last version; the new
-totals and the ids of all batches they hold are written aside and published by
-one rename. A batch whose id the totals hold already changes nothing, so
+totals are written into a folder of their own and published as the next version
+of a log (``stratalog.versions``), which fails if another writer has published
+that number meanwhile. A batch that the totals hold already changes nothing, so
 retries and replays count once; what was left half-written is never read. Work
-follows the batch and the number of keys, not the history.
+follows the batch and the number of keys, not the history: which batches are in
+the totals is told by a small file for each.
 """
 
 from __future__ import annotations
 
-import re
+import hashlib
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..versions import Folder, VersionLog
 from .common import scratch_dir, stored
 from .tokenizing import default_vocabulary, token_ids
 
@@ -32,7 +36,9 @@ KEPT_VERSIONS = 3
 def count_tokens(docs: DataFrame, vocabulary: str | None = None, text_col: str = "text") -> DataFrame:
     """(source, lang, n_tokens, n_words, n_bytes) of each row's whole text.
 
-    A null text counts as empty. Other columns are ignored.
+    A null text counts as empty; null sources and languages stay null; equal and
+    repeated rows count each; very long texts are counted whole; an empty table
+    gives no rows; other columns are ignored, whatever their names.
     """
     path = vocabulary or default_vocabulary()
     rows = docs.select("source", "lang", F.coalesce(docs[text_col], F.lit("")).alias("text"))
@@ -55,61 +61,66 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, text_col: str =
 
 
 class RollupStore:
-    """Totals by source, language and tokenizer, a folder for each version of them.
+    """Totals by source, language and tokenizer, with a version for each batch.
 
-    A version holds the totals and the ids of the batches in them. It appears
-    by a rename that fails if another writer has published the same number,
-    which then tries again on top of it.
+    A version names the folder of its totals and the batch that made them. The
+    file that marks a batch as held is created behind its version, and at the
+    latest before the next one, so that only the newest version can lack it.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-
-    def _at(self, path: str):
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return place, place.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _versions(self) -> list[int]:
-        place, files = self._at(self.path)
-        names = [f.getPath().getName() for f in files.listStatus(place)] if files.exists(place) else []
-        return sorted(int(n[8:]) for n in names if re.fullmatch(r"version-\d+", n))
-
-    def _read(self, version: int, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.path}/version-{version}/{name}") if version else self.spark.createDataFrame([], schema)
+        self.folder, self.log = Folder(spark, self.path), VersionLog(spark, f"{self.path}/log")
 
     def commit(self, batch_id: str, events: DataFrame) -> bool:
         """Add a batch of signed events to the totals; whether it was new.
 
         Events have ``KEYS``, ``SUMS`` and sign (1 or -1; null counts as 0, as
-        do null numbers). Null keys form groups of their own; other columns are
-        ignored; an empty batch only leaves its id.
+        do null numbers). Null keys form groups of their own; repeated and
+        equal events count each time; other columns are ignored, whatever their
+        names; an empty batch only leaves its id.
         """
         signed = [F.coalesce(F.sum(F.coalesce(F.col(c), F.lit(0)) * F.coalesce(F.col("sign"), F.lit(0))), F.lit(0)).cast("long").alias(c) for c in SUMS]
         delta = stored(events.groupBy(*KEYS).agg(*signed), "delta")
         while True:
-            last = max(self._versions(), default=0)
-            batches = self._read(last, "batches", "batch string")
-            if not batches.filter(F.col("batch") == batch_id).isEmpty():
+            version, now = self.log.last()
+            if version:
+                self._mark(now["batch"])
+            if self.folder.exists(self._marker(batch_id)):
                 return False
-            total = self._read(last, "totals", TOTALS).unionByName(delta).groupBy(*KEYS).agg(*[F.sum(c).cast("long").alias(c) for c in SUMS])
-            aside = f"{self.path}/aside-{uuid.uuid4().hex}"
-            total.filter(" or ".join(f"{c} <> 0" for c in SUMS)).coalesce(1).write.parquet(f"{aside}/totals")
-            batches.unionByName(self.spark.createDataFrame([(batch_id,)], "batch string")).coalesce(1).write.parquet(f"{aside}/batches")
-            if self._publish(aside, last + 1):
+            total = self._totals(now).unionByName(delta).groupBy(*KEYS).agg(*[F.sum(c).cast("long").alias(c) for c in SUMS])
+            own = f"totals-{uuid.uuid4().hex}"
+            total.filter(" or ".join(f"{c} <> 0" for c in SUMS)).coalesce(1).write.parquet(f"{self.path}/{own}")
+            if self.log.publish(version + 1, {"batch": batch_id, "totals": own}):
+                self._mark(batch_id)
+                self._clean()
                 return True
+            self.folder.delete(own)
+
+    @staticmethod
+    def _marker(batch_id: str) -> str:
+        digest = hashlib.sha256(batch_id.encode()).hexdigest()
+        return f"batches/{digest[:2]}/{digest}"
+
+    def _mark(self, batch_id: str) -> None:
+        if not self.folder.exists(self._marker(batch_id)):
+            self.folder.create(self._marker(batch_id), batch_id)
+
+    def _clean(self) -> None:
+        """Delete old totals; another writer may have done so already."""
+        for number in self.log.numbers()[:-KEPT_VERSIONS]:
+            try:
+                self.folder.delete(self.log.read(number)["totals"])
+            except Py4JJavaError:
+                continue
+        self.log.forget(KEPT_VERSIONS)
 
-    def _publish(self, aside: str, version: int) -> bool:
-        (source, files), (target, _) = self._at(aside), self._at(f"{self.path}/version-{version}")
-        if files.exists(target) or not files.rename(source, target):
-            files.delete(source, True)
-            return False
-        for old in self._versions()[:-KEPT_VERSIONS]:
-            files.delete(self._at(f"{self.path}/version-{old}")[0], True)
-        return True
+    def _totals(self, version: dict) -> DataFrame:
+        return self.spark.read.schema(TOTALS).parquet(f"{self.path}/{version['totals']}") if version else self.spark.createDataFrame([], TOTALS)
 
     def totals(self) -> DataFrame:
         """Totals of the last version, without keys that came to nothing; empty before the first batch."""
-        return self._read(max(self._versions(), default=0), "totals", TOTALS)
+        return self._totals(self.log.last()[1])
 
 
 def rollup_documents(docs: DataFrame, path: str | None = None, vocabulary: str | None = None) -> DataFrame:

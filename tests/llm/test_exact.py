@@ -357,18 +357,48 @@ def test_store_before_and_after_a_failed_commit(spark, tmp_path):
     broken = event.withColumn("n_tokens", F.expr("raise_error('lost')").cast("long"))
     with pytest.raises(Exception, match="lost"):
         store.commit("b1", broken)
-    (tmp_path / "rollup" / "aside-half" / "totals").mkdir(parents=True)  # what a driver that died leaves
+    (tmp_path / "rollup" / "totals-half").mkdir(parents=True)  # what a driver that died leaves
     assert store.totals().count() == 0 and store.commit("b1", event)
-    publish, lost = store._publish, []
+    publish, lost = store.log.publish, []
 
-    def overtaken(aside, version):  # another writer is first, once
+    def overtaken(number, content):  # another writer is first, between look and publish
         if not lost:
             lost.append(token_counts.RollupStore(spark, store.path).commit("b2", event))
-        return publish(aside, version)
+        return publish(number, content)
 
-    store._publish = overtaken
+    store.log.publish = overtaken
     assert store.commit("b3", event) and lost == [True]
     assert rows_of(store.totals(), "n_docs", "n_tokens") == [(3, 30)]
+    assert store.log.last()[0] == 3
+
+
+def test_a_batch_that_two_writers_send_counts_once(spark, tmp_path):
+    """Also where the first one has died before it marked the batch."""
+    store = token_counts.RollupStore(spark, str(tmp_path / "rollup"))
+    event = spark.createDataFrame([("a", "en", "v1", 1, 10, 50, 1)], "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_bytes long, sign int")
+    publish = store.log.publish
+
+    def overtaken(number, content):
+        store.log.publish = publish
+        other = token_counts.RollupStore(spark, store.path)
+        other._mark = lambda batch: None  # dies behind its version
+        assert other.commit("b1", event)
+        return publish(number, content)
+
+    store.log.publish = overtaken
+    assert not store.commit("b1", event)
+    assert not token_counts.RollupStore(spark, store.path).commit("b1", event)
+    assert store.commit("b2", event) and not store.commit("b1", event)
+    assert rows_of(store.totals(), "n_docs") == [(2,)]
+
+
+def test_commits_do_not_read_the_history(spark, tmp_path):
+    """After many batches the folder holds a few versions, and a small file for each batch."""
+    store = token_counts.RollupStore(spark, str(tmp_path / "rollup"))
+    event = spark.createDataFrame([("a", "en", "v1", 1, 10, 50, 1)], "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_bytes long, sign int")
+    assert all(store.commit(f"b{k}", event) for k in range(8))
+    assert len(store.log.numbers()) == len(store.folder.matching("totals-*")) == token_counts.KEPT_VERSIONS
+    assert len(store.folder.matching("batches/*/*")) == 8 and rows_of(store.totals(), "n_docs") == [(8,)]
 
 
 def test_plain_text_has_one_tokenisation():
