@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..fixed import BOT_MESSAGES, DOC_EXTENSIONS, DOC_ONLY, EXCLUDED_BRANCH, HUMAN_OVERRIDE, NO_FILES
 from ..functions.text import blank_to_empty, branch_name, contains_any, first_line, strip, suffix
+from .upsert import numbered
 
 COMMIT = ["source_name", "commit_hash"]
 
@@ -157,6 +158,13 @@ def funnel(
     )
 
 
+def in_recorded_order(rows: DataFrame) -> DataFrame:
+    """Funnel rows with ``seq`` as they are recorded: within a source, commits of excluded
+    branches only before all others, and each of both in the order in which they came."""
+    placed = rows.withColumn("later__", F.col("exclusion_reason") != EXCLUDED_BRANCH).withColumnRenamed("seq", "came__")
+    return numbered(placed, ["source_name", "later__", "came__", "commit_hash"]).drop("later__", "came__").select(rows.columns)
+
+
 def retained_files(funnel_rows: DataFrame, diffs: DataFrame) -> DataFrame:
     """Touched model files of retained commits."""
     kept = funnel_rows.filter("excluded = 0").select(*COMMIT)

@@ -97,6 +97,13 @@ class Transaction:
         """Seeds whose key the table lacks, in files of their own."""
         self.append(name, conform(seeds, TABLES[name]).dropDuplicates(keys).join(self.read(name), keys, "left_anti"))
 
+    def append_new(self, name: str, rows: DataFrame, natural: list[str], number: str) -> None:
+        """Rows whose natural key the table lacks, numbered on from its last one in the key's order."""
+        held = self.read(name)
+        last = held.agg(F.max(number)).first()[0]
+        fresh = rows.dropDuplicates(natural).join(held.select(*natural), natural, "left_anti")
+        self.append(name, numbered(fresh.drop(number), natural, start=(last or 0) + 1).withColumnRenamed("seq", number))
+
     def delete(self, name: str, gone: DataFrame, keys: list[str]) -> None:
         old = self.read(name)
         if not self.store._split(name):

@@ -47,8 +47,10 @@ class Run:
         self.store.upsert(table, todo.select(*COMMIT, F.lit("processing").alias("status"), F.lit(self.now).alias("last_updated_utc")), KEYS[table])
 
     def _log(self, failed: DataFrame) -> None:
-        """Failures under an id of what failed: a rerun replaces its own rows."""
-        self.store.upsert("failures", failed.withColumn("id", F.xxhash64("source_name", "commit_hash", "class_name", "failure_type")), KEYS["failures"])
+        """Append failures with ids that go on from the last one. A run that is made
+        again logs nothing twice; what earlier runs logged stays."""
+        natural = [*COMMIT, "class_name", "failure_type", "created_at_utc"]
+        self.store.transact(lambda t: t.append_new("failures", failed, natural, "id"))
 
     def step_two(self, listed: DataFrame, problems: DataFrame | None = None) -> None:
         """Listings of commits not complete yet; a rerun finds nothing left to do.

@@ -83,6 +83,16 @@ GITHUB_COMMIT = (
 GITHUB_PULLS = "array<struct<number:bigint,title:string,html_url:string,state:string,merged_at:string,labels:array<struct<name:string>>>>"
 GITHUB_ISSUE = "number bigint, title string, html_url string, state string, labels array<struct<name:string>>"
 
+#: What the programming interface's records are called, and their fields.
+RECORDS = Schemas({
+    "ClassVersion": "commit_hash string, class_name string, canonical_model_path string, is_experiment boolean",
+    "CommitInfo": "commit_hash string, author_email string, commit_message string, excluded boolean, exclusion_reason string",
+    "CanonicalizationFailure": "commit_hash string, class_name string, failure_type string, compiler_message string, created_at_utc string",
+    "GitHubCommitInfo": "sha string, url string, author_login string, author_name string, author_email string, authored_date string, committer_login string, committer_name string, committed_date string, message string, files_changed bigint, additions bigint, deletions bigint, changed_files array<string>",
+    "GitHubPullRequest": "number bigint, title string, url string, state string, merged boolean, labels array<string>",
+    "GitHubIssue": "number bigint, title string, url string, state string, labels array<string>",
+})
+
 #: Names that tables and columns had before.
 FORMER_COLUMNS = {"omc_error": "compiler_message"}
 

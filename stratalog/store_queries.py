@@ -83,6 +83,25 @@ def store_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read("files")
 
 
+@query("SELECT o_orderkey::VARCHAR AS commit_hash, row_number() OVER (ORDER BY o_orderpriority <> '1-URGENT', o_orderkey) - 1 AS seq FROM orders")
+def recorded_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as commits in the order in which the funnel records them."""
+    return funnel.in_recorded_order(commits(spark, sf_dir)).select("commit_hash", "seq")
+
+
+@query("SELECT row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_partkey) AS id, l_orderkey::VARCHAR AS commit_hash, l_partkey::VARCHAR AS class_name FROM (SELECT DISTINCT l_orderkey, l_partkey, year(l_shipdate) AS l_shipdate FROM lineitem WHERE l_returnflag = 'R')")
+def failure_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures of returned lines, logged year by year; a year that is logged again adds nothing."""
+    lines, store = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'"), new_store(spark)
+    key = [F.lit("s").alias("source_name"), F.lpad(F.col("l_orderkey").cast("string"), 12, "0").alias("commit_hash"), F.lpad(F.col("l_partkey").cast("string"), 12, "0").alias("class_name")]
+    rows = lines.select(*key, F.lit("no_classes").alias("failure_type"), F.lit("").alias("compiler_message"), F.date_trunc("year", "l_shipdate").alias("created_at_utc"))
+    years = [r[0] for r in rows.select("created_at_utc").distinct().orderBy("created_at_utc").collect()]  # a few
+    for year in [*years, *years[-1:]]:
+        store.transact(lambda t, year=year: t.append_new("failures", rows.filter(F.col("created_at_utc") == year), ["created_at_utc", "commit_hash", "class_name"], "id"))
+    plain = [F.regexp_replace(c, "^0+(?=.)", "").alias(c) for c in ("commit_hash", "class_name")]
+    return store.read("failures").select("id", *plain)
+
+
 HALF = "CASE WHEN user_id % 2 = 0 THEN 0 ELSE user_id END"
 
 

@@ -511,3 +511,34 @@ def test_checks_read_each_table_once(spark):
     made = frame(spark, "outcomes", [("S", "a", "A", 1, "p", "", 0, "", "", 1), ("S", "x", "C", 1, "", "type error", 0, "", "", 0)])
     found = report.checks(commits, listed, made)
     assert {r["label"]: (r["lhs"], r["rhs"], r["ok"]) for r in found.collect()} == {"retained + excluded = input": (3, 4, False), "listed + unlisted commits = retained": (2, 2, True), "eligible + other = all": (3, 3, True), "produced + failed = eligible": (2, 2, True), "categories = failures": (1, 1, True)}
+
+
+def test_failure_log_goes_on(spark, tmp_path):
+    """Ids go on from run to run; a run that is made again logs nothing twice, and older messages stay."""
+    store = upsert.Store(spark, str(tmp_path / "store"), parts=2)
+    problems = lambda *rows: spark.createDataFrame(list(rows), "source_name string, commit_hash string, failure_type string, compiler_message string")
+    first = listing.commit_failures(problems(("S", "b", "no_classes", "x"), ("S", "a", "no_classes", "y")), F.lit(T0))
+    for _ in range(2):
+        Run(store, now=T0)._log(first)
+    Run(store, now=T1)._log(listing.commit_failures(problems(("S", "a", "no_classes", "again")), F.lit(T1)))
+    assert sorted((r["id"], r["commit_hash"], r["compiler_message"]) for r in store.read("failures").collect()) == [(1, "a", "y"), (2, "b", "x"), (3, "a", "again")]
+
+
+def test_recorded_order(spark):
+    rows = frame(spark, "commits", [("S", "a", 5, "", "", "", 0, ""), ("S", "b", 7, "", "", "", 1, "excluded branch"), ("S", "c", 6, "", "", "", 1, "no .mo files"), ("S", "d", 9, "", "", "", 1, "excluded branch")])
+    assert [r["commit_hash"] for r in funnel.in_recorded_order(rows).orderBy("seq").collect()] == ["b", "d", "a", "c"]
+
+
+def test_records(spark):
+    from stratalog import records
+
+    h = history.History(frame(spark, "commits", [("S", "c", 0, None, "", "m", 1, "x")]), None, frame(spark, "outcomes", [("S", "c", "A", 1, None, "", 0, "", "", 1)]), None)
+    (info,) = records.records(h.get_commit("S", "c"), "CommitInfo")
+    assert (info.commit_hash, info.author_email, info.excluded, info.exclusion_reason) == ("c", "", True, "x")
+    (version,) = records.records(h.get_models_for_commit("S", "c"), "ClassVersion")
+    assert version == records.record_type("ClassVersion")("c", "A", "", True)
+    with pytest.raises(AttributeError):
+        version.class_name = "B"
+    h.payloads, h.github = frame(spark, "github_payloads", [("o/r", "commit", "c", '{"sha": "c", "files": [{"filename": "f"}]}')]), {"S": "o/r"}
+    (fetched,) = records.records(h.get_github_commit("S", "c"), "GitHubCommitInfo")
+    assert (fetched.sha, fetched.changed_files, fetched.files_changed, fetched.authored_date) == ("c", ["f"], 1, "")
