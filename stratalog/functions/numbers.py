@@ -44,6 +44,20 @@ def disk_bytes(shown: Column) -> Column:
     return F.when(number != "", F.round(number.try_cast("double") * factor).cast("bigint"))
 
 
+def disk_text(n: Column) -> Column:
+    """Bytes as disk usage tells them: in the greatest unit, rounded up, with a decimal below ten."""
+    unit = F.when(n < 1024, 0).otherwise(F.least(F.floor(F.log2(n.cast("double")) / 10), F.lit(4))).cast("int")
+    value = n / F.pow(F.lit(1024.0), unit)
+    shown = F.when(unit == 0, n.cast("string")).when(value <= 9.9, F.format_string("%.1f", F.ceil(value * 10) / 10)).otherwise(F.ceil(value).cast("string"))
+    return F.concat(shown, F.element_at(F.array(*map(F.lit, ("", "K", "M", "G", "T"))), unit + 1))
+
+
+def tex_size(shown: Column) -> Column:
+    """Disk usage (``1.2G``) as TeX (``1.2\\,GB``); null if it is none."""
+    pattern = r"^([0-9.]+)([KMGT]?)"
+    return F.when(shown.rlike(pattern), F.concat(F.regexp_extract(shown, pattern, 1), F.lit("\\,"), F.regexp_extract(shown, pattern, 2), F.lit("B")))
+
+
 def duration_text(seconds: float) -> str:
     """Seconds, minutes or hours to one decimal; nothing below zero."""
     if seconds < 0:

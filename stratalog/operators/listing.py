@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..fixed import FAILURE_TYPES
 from ..functions.numbers import half_even, percent, ratio
-from ..functions.text import class_file, dotted_prefixes, output_problem, strip
+from ..functions.text import class_file, dotted_prefixes, load_targets, output_problem, strip
 
 COMMIT = ["source_name", "commit_hash"]
 CLASS = [*COMMIT, "class_name"]
@@ -104,6 +104,33 @@ def canonicalize(candidates: DataFrame, plug_in: Canonicalizer) -> DataFrame:
     return candidates.select(*CLASS).mapInPandas(plug_in, TEXTS)
 
 
+def load_plan(commits: DataFrame, sources: DataFrame, files: DataFrame, shared: DataFrame | None = None) -> DataFrame:
+    """(source_name, commit_hash, place, package, path): what is loaded for each commit, in order.
+
+    sources: (name, package_file) with load targets as text; files: (source_name,
+    commit_hash, path) of the commit's own tree, shared: (path) of what all may
+    use. Of a target's paths the first that is there is taken, in the commit's
+    tree before the shared one. A target that has none is passed over, but the
+    last one: its row stays, without a path (``load_problems``).
+    """
+    targets = sources.select(F.col("name").alias("source_name"), load_targets(F.col("package_file")).alias("targets"))
+    each = targets.select("source_name", F.size("targets").alias("n"), F.posexplode("targets").alias("place", "target"))
+    wanted = commits.select(*COMMIT).join(each, "source_name").select(*COMMIT, "place", "n", "target.package", F.posexplode_outer("target.paths").alias("rank", "path"))
+    own = wanted.join(files.select(*COMMIT, "path").distinct(), [*COMMIT, "path"], "left_semi").withColumn("base", F.lit(0))
+    found = own
+    if shared is not None:
+        found = own.unionByName(wanted.join(shared.select("path").distinct(), "path", "left_semi").withColumn("base", F.lit(1)))
+    best = found.groupBy(*COMMIT, "place").agg(F.min_by("path", F.struct("rank", "base")).alias("found"))
+    every = wanted.select(*COMMIT, "place", "n", "package").distinct().join(best, [*COMMIT, "place"], "left")
+    return every.filter("found is not null or place = n - 1").select(*COMMIT, "place", "package", F.col("found").alias("path"))
+
+
+def load_problems(plan: DataFrame) -> DataFrame:
+    """Commits whose last load target is not there, as ``commit_failures`` takes them."""
+    missing = plan.filter("path is null")
+    return missing.select(*COMMIT, F.lit(FAILURE_TYPES[1]).alias("failure_type"), F.concat(F.lit("no file for "), "package").alias("compiler_message"))
+
+
 def outcomes(candidates: DataFrame, texts: DataFrame, root: str, items: DataFrame | None = None, allow_prefix: bool = True) -> DataFrame:
     """Outcome of every candidate class: path if its text is complete, else the error.
 

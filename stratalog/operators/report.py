@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed import BOT_SIGNS, EMPTY_FAILURE, FAILURES, OTHER_FAILURE, REPORTED_FAILURES
-from ..functions.numbers import percent
+from ..functions.numbers import disk_text, percent, tex_size
 from ..functions.text import first_match, strip
 from .listing import commit_counts, growth, listing_totals
 from .upsert import numbered
@@ -221,6 +221,11 @@ def checks(commits: DataFrame, listing: DataFrame, outcomes: DataFrame) -> DataF
     return row.crossJoin(made).select(F.explode(told).alias("c")).select("c.*")  # one row each
 
 
+def storage_metrics(sizes: DataFrame) -> DataFrame:
+    """(name, value) of stored artifacts from (name, bytes), as reports show them; those that aren't there are left out."""
+    return sizes.filter("bytes is not null").select("name", tex_size(disk_text(F.col("bytes"))).alias("value"))
+
+
 def guard_pilot(enabled: bool, allowed: bool) -> None:
     """Pilot data give no report unless that is allowed."""
     if enabled and not allowed:

@@ -102,6 +102,21 @@ def failure_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read("failures").select("id", *plain)
 
 
+@query(
+    "WITH c AS (SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'F' THEN 'F' ELSE 'O' END AS s FROM orders), f AS (SELECT DISTINCT l_orderkey AS k, l_returnflag || l_linenumber AS path FROM lineitem), t(s, place, package, rank, path) AS (VALUES ('F', 0, 'A', 0, 'R1'), ('F', 0, 'A', 1, 'all'), ('F', 1, 'B', 0, 'N2'), ('F', 1, 'B', 1, 'A3'), ('O', 0, 'N4', 0, 'N4')), "
+    "hits AS (SELECT c.k, place, min_by(t.path, (rank, base)) AS path FROM c JOIN t ON t.s = c.s JOIN (SELECT k, path, 0 AS base FROM f UNION ALL SELECT k, 'all', 1 FROM c UNION ALL SELECT k, 'A3', 1 FROM c WHERE false) x ON x.k = c.k AND x.path = t.path GROUP BY c.k, place) "
+    "SELECT c.k::VARCHAR AS commit_hash, t.place, package, hits.path FROM c JOIN (SELECT DISTINCT s, place, package FROM t) t ON t.s = c.s LEFT JOIN hits ON hits.k = c.k AND hits.place = t.place WHERE hits.path IS NOT NULL OR t.place = CASE c.s WHEN 'F' THEN 1 ELSE 0 END"
+)
+def load_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Load targets of all orders: lines are the files of their trees, one file is shared."""
+    source = F.when(F.col("o_orderstatus") == "F", "F").otherwise("O").alias("source_name")
+    own = table(spark, sf_dir, "orders").select(source, F.col("o_orderkey").cast("string").alias("commit_hash"))
+    paths = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("commit_hash"), F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("path"))
+    sources = spark.createDataFrame([("F", "A=R1,all; B = N2 , A3"), ("O", "N4")], "name string, package_file string")
+    shared = spark.createDataFrame([("all",)], "path string")
+    return listing.load_plan(own, sources, own.join(paths, "commit_hash"), shared).drop("source_name")
+
+
 HALF = "CASE WHEN user_id % 2 = 0 THEN 0 ELSE user_id END"
 
 

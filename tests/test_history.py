@@ -542,3 +542,23 @@ def test_records(spark):
     h.payloads, h.github = frame(spark, "github_payloads", [("o/r", "commit", "c", '{"sha": "c", "files": [{"filename": "f"}]}')]), {"S": "o/r"}
     (fetched,) = records.records(h.get_github_commit("S", "c"), "GitHubCommitInfo")
     assert (fetched.sha, fetched.changed_files, fetched.files_changed, fetched.authored_date) == ("c", ["f"], 1, "")
+
+
+def test_load_plan(spark):
+    """Targets in order, candidates in order, the own tree before the shared one; the last target must be there."""
+    commits = frame(spark, "commits", [("S", c, k, "", "", "", 0, "") for k, c in enumerate("abc")]).select("source_name", "commit_hash")
+    sources = spark.createDataFrame([("S", "P=p/x.mo,p/y.mo;Q=q.mo;R=r.mo")], "name string, package_file string")
+    files = spark.createDataFrame([("S", "a", "p/y.mo"), ("S", "a", "r.mo"), ("S", "b", "p/x.mo"), ("S", "b", "q.mo"), ("T", "c", "r.mo")], "source_name string, commit_hash string, path string")
+    shared = spark.createDataFrame([("p/x.mo",), ("q.mo",)], "path string")
+    plan = listing.load_plan(commits, sources, files, shared)
+    rows = sorted(tuple(r)[1:] for r in plan.collect())
+    assert rows == [("a", 0, "P", "p/x.mo"), ("a", 1, "Q", "q.mo"), ("a", 2, "R", "r.mo"), ("b", 0, "P", "p/x.mo"), ("b", 1, "Q", "q.mo"), ("b", 2, "R", None), ("c", 0, "P", "p/x.mo"), ("c", 1, "Q", "q.mo"), ("c", 2, "R", None)]
+    alone = listing.load_plan(commits, sources, files)
+    assert sorted(tuple(r)[1:] for r in alone.filter("commit_hash = 'a'").collect()) == [("a", 0, "P", "p/y.mo"), ("a", 2, "R", "r.mo")]
+    assert sorted(tuple(r) for r in listing.load_problems(plan).collect()) == [("S", c, "load_model_failed", "no file for R") for c in "bc"]
+
+
+def test_storage_metrics(spark):
+    rows = [("a", 0), ("b", 1023), ("c", 1024), ("d", 1025), ("e", 12 << 20), ("f", (12 << 30) + 1), ("g", 199 << 30), ("h", None)]
+    found = report.storage_metrics(spark.createDataFrame(rows, "name string, bytes long")).collect()
+    assert {r["name"]: r["value"] for r in found} == {"a": r"0\,B", "b": r"1023\,B", "c": r"1.0\,KB", "d": r"1.1\,KB", "e": r"12\,MB", "f": r"13\,GB", "g": r"199\,GB"}
