@@ -42,10 +42,11 @@ def delete_keys(old: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Snapshot:
-    """A version of a store: the folders that each table's rows are in."""
+    """A version of a store: the folders that each table's rows are in, and the parts of its sources."""
 
     version: int
     tables: dict[str, list[str]]
+    parts: dict[str, int]
 
 
 class Transaction:
@@ -58,6 +59,7 @@ class Transaction:
     def __init__(self, store: Store, base: Snapshot):
         self.store, self.base = store, base
         self.changed: dict[str, list[str]] = {}
+        self.parts: dict[str, int] = {}
         self.looked_at: set[str] = set()
         self.added: list[str] = []
 
@@ -68,6 +70,15 @@ class Transaction:
     def read(self, name: str) -> DataFrame:
         return self.store._rows(name, self.places(name))
 
+    def parts_of(self, name: str) -> int:
+        return self.parts.get(name, self.base.parts.get(name, self.store.parts))
+
+    def repart(self, name: str, parts: int) -> None:
+        """Write a table anew with another number of parts of each source."""
+        rows = self.read(name)
+        self.parts[name] = parts
+        self._replace(name, rows, None)
+
     def append(self, name: str, rows: DataFrame) -> None:
         self.changed[name] = self.places(name) + self._add(name, conform(rows, TABLES[name]))
 
@@ -78,7 +89,7 @@ class Transaction:
         if not self.store._split(name):
             return self._replace(name, new, None)
         named = [r[0] for r in new.select("source_name").distinct().collect()] if sources is None else sources  # one row a source
-        return self._replace(name, new.filter(F.col("source_name").isin(named)), {(s, p) for s in named for p in range(self.store.parts)})
+        return self._replace(name, new.filter(F.col("source_name").isin(named)), {(s, p) for s in named for p in range(self.parts_of(name))})
 
     def upsert(self, name: str, rows: DataFrame, keys: list[str]) -> None:
         new = conform(rows, TABLES[name])
@@ -112,8 +123,8 @@ class Transaction:
         return self._replace(name, delete_keys(self._in(name, touched), gone, keys), touched)
 
     def _groups(self, name: str, rows: DataFrame) -> set[tuple[str, int]]:
-        """Partitions that rows fall into: at most ``parts`` a source."""
-        return {(r[0], r[1]) for r in self.store._parted(name, rows).select("source_name", "part").distinct().collect()}
+        """Partitions that rows fall into: at most so many as a source has parts."""
+        return {(r[0], r[1]) for r in self.store._parted(name, rows, self.parts_of(name)).select("source_name", "part").distinct().collect()}
 
     def _in(self, name: str, touched: set[tuple[str, int]]) -> DataFrame:
         """Stored rows of some partitions; no other files are read."""
@@ -133,7 +144,7 @@ class Transaction:
         self.added.append(own)
         split = self.store._split(name)
         rows = conform(rows, TABLES[name])
-        writer = self.store._parted(name, rows).write.partitionBy("source_name", "part") if split else rows.write
+        writer = self.store._parted(name, rows, self.parts_of(name)).write.partitionBy("source_name", "part") if split else rows.write
         writer.parquet(f"{self.store.path}/{own}")
         below = self.store.folder.matching(f"{own}/source_name=*/part=*") if split else [own]
         return [p.removeprefix(f"{name}/") for p in below]
@@ -152,23 +163,25 @@ class Store:
 
     Tables with a source and a key are partitioned by source and, below it, by
     a hash of the key; a keyed write reads and replaces only the partitions that
-    its keys fall into. ``parts`` is the number of a source's, and stays what it
-    was when the store was made.
+    its keys fall into. A source has ``parts`` of them at first, and more once
+    ``fit_parts`` finds that they hold too many rows.
     """
 
     PARTS = 16
+    #: Rows of a partition beyond which ``fit_parts`` makes more of them.
+    PART_ROWS = 2_000_000
     #: Times that a writer tries again after others have published first.
     TRIES = 50
 
     def __init__(self, spark: SparkSession, path: str, parts: int = PARTS):
         self.spark, self.path = spark, path.rstrip("/")
         self.folder, self.log = Folder(spark, self.path), VersionLog(spark, f"{self.path}/_log")
-        self.parts = self.log.last()[1].get("parts", parts)
+        self.parts = parts
 
     def snapshot(self, version: int | None = None) -> Snapshot:
         """The newest version, or an older one that ``clean`` has left."""
         number, content = self.log.last() if version is None else (version, self.log.read(version))
-        return Snapshot(number, content.get("tables", {}))
+        return Snapshot(number, content.get("tables", {}), content.get("parts", {}))
 
     def read(self, name: str, at: Snapshot | None = None) -> DataFrame:
         """The table as it is now, or in a snapshot; one that isn't there is empty."""
@@ -187,7 +200,8 @@ class Store:
             change = Transaction(self, now)
             changes(change)
             for _ in range(self.TRIES):
-                if self.log.publish(now.version + 1, {"parts": self.parts, "tables": now.tables | change.changed}):
+                parts = now.parts | {n: change.parts_of(n) for n in change.changed if self._split(n)}
+                if self.log.publish(now.version + 1, {"parts": parts, "tables": now.tables | change.changed}):
                     return now.version + 1
                 now = self.snapshot()
                 if any(now.tables.get(n, []) != change.base.tables.get(n, []) for n in change.looked_at):
@@ -211,6 +225,22 @@ class Store:
     def delete(self, name: str, gone: DataFrame, keys: list[str]) -> None:
         self.transact(lambda t: t.delete(name, gone, keys))
 
+    def fit_parts(self, name: str) -> int:
+        """Make parts of a table's sources follow the rows of the largest one; their number.
+
+        Rows are counted from the files' own figures; a table is written anew only
+        when its parts are to double at least, so that growing by rows costs a
+        constant number of copies of each.
+        """
+        at = self.snapshot()
+        now = at.parts.get(name, self.parts)
+        most = self.read(name, at).groupBy("source_name").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        wanted = 1 << max(0, -(-most // self.PART_ROWS) - 1).bit_length()
+        if wanted < 2 * now:
+            return now
+        self.transact(lambda t: t.repart(name, wanted))
+        return wanted
+
     def clean(self, keep: int = 2, grace: float = 86_400.0) -> list[str]:
         """Delete all versions but the newest ``keep``, and the files that none of
         those names, if they are older than ``grace`` seconds: younger ones may
@@ -230,8 +260,8 @@ class Store:
     def _split(self, name: str) -> bool:
         return "source_name" in TABLES[name].fieldNames() and name in KEYS
 
-    def _parted(self, name: str, rows: DataFrame) -> DataFrame:
-        return rows.withColumn("part", F.pmod(F.xxhash64(*KEYS[name]), F.lit(self.parts)).cast("int"))
+    def _parted(self, name: str, rows: DataFrame, parts: int) -> DataFrame:
+        return rows.withColumn("part", F.pmod(F.xxhash64(*KEYS[name]), F.lit(parts)).cast("int"))
 
     def _leaf(self, source: str | None, part: int) -> str:
         """Where a partition's rows are in a batch of them."""

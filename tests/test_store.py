@@ -169,3 +169,19 @@ def test_log_on_a_file_system_that_is_not_local(spark, tmp_path):
 def test_versions_are_small_json(store):
     text = store.log.folder.read(f"{1:020}.json")
     assert set(json.loads(text)) == {"parts", "tables"} and len(text) < 1000
+
+
+def test_parts_follow_the_rows(spark, store, monkeypatch):
+    """A table is written anew with more parts once they hold too many rows, and keyed writes go on."""
+    monkeypatch.setattr(Store, "PART_ROWS", 10)
+    store.replace_sources("files", files(spark, *[("U", f"c{k}", "p", 0) for k in range(70)]))
+    before = held(store)
+    assert store.fit_parts("files") == 8 and store.snapshot().parts["files"] == 8 and held(store) == before
+    assert store.fit_parts("files") == 8 and store.snapshot().version == 3
+    other = Store(spark, store.path, parts=2)
+    other.upsert("files", files(spark, ("U", "c3", "p", 1)), KEY)
+    other.delete("files", files(spark, ("U", "c4", "p", 0)), KEY)
+    assert len(held(store)) == len(before) - 1 and ("U", "c3", "p", 1) in held(store) and ("U", "c3", "p", 0) not in held(store)
+    assert sum("=U/" in p for p in store.snapshot().tables["files"]) <= 8
+    store.replace_sources("files", files(spark), ["U"])
+    assert held(store) == [("S", "a", "p", 0), ("T", "b", "q", 0)]
