@@ -264,12 +264,12 @@ def scope_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress.scope_metrics(states, scope)
 
 
-@query("SELECT state, corrupt, count(*) AS n FROM (SELECT CASE WHEN o.doc_id IS NULL THEN 'orphan' WHEN toxic = 1 AND whole IS NOT TRUE THEN 'missing' WHEN toxic = 0 AND whole THEN 'present' ELSE 'same' END AS state, o.doc_id IS NOT NULL AND coalesce(NOT whole, false) AS corrupt FROM labels o FULL JOIN (SELECT doc_id, n_chars % 2 = 0 AS whole FROM documents WHERE n_chars < 3000) f ON f.doc_id = o.doc_id) GROUP BY ALL")
+@query("SELECT state, corrupt, count(*) AS n FROM (SELECT CASE WHEN o.doc_id IS NULL THEN 'orphan' WHEN toxic = 1 AND whole IS NOT TRUE THEN 'missing' WHEN toxic = 0 AND whole THEN 'present' ELSE 'same' END AS state, o.doc_id IS NOT NULL AND coalesce(NOT whole, false) AS corrupt FROM labels o FULL JOIN (SELECT doc_id, n_chars % 2 = 0 AS whole FROM documents) f ON f.doc_id = o.doc_id) GROUP BY ALL")
 def full_outer_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels as outcomes, short texts as files that are there; odd ones are cut off."""
+    """Labels as outcomes, texts as files; those of odd length are cut off."""
     named = F.concat(F.lit("a/"), F.col("doc_id").cast("string"))
     rows = table(spark, sf_dir, "labels").select(F.lit("s").alias("source_name"), F.lit("c").alias("commit_hash"), F.col("doc_id").cast("string").alias("class_name"), named.alias("canonical_model_path"), F.lit("").alias("error_message"), F.col("toxic").alias("canonical_produced"))
-    files = table(spark, sf_dir, "documents").filter("n_chars < 3000").select(named.alias("path"), F.concat("text", F.when(F.col("n_chars") % 2 == 0, "\nend a;\n").otherwise("\n.")).alias("text"))
+    files = table(spark, sf_dir, "documents").select(named.alias("path"), F.concat("text", F.when(F.col("n_chars") % 2 == 0, "\nend a;\n").otherwise("\n.")).alias("text"))
     return listing.reconcile(rows, files).groupBy("state", "corrupt").agg(F.count("*").alias("n"))
 
 
@@ -572,11 +572,15 @@ def failure_fold_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.failure_histogram(outcome_rows(spark, sf_dir), 5)
 
 
-@query(f"SELECT count(*) AS total, count(*) FILTER (b IS NULL) AS kept, round(100.0 * count(*) FILTER (b IS NOT NULL) / count(*), 9) AS pct, round((SELECT count(*) FROM lineitem)::DOUBLE / count(*) FILTER (b IS NULL), 9) AS mean, (SELECT median(n) FROM ({PER_COMMIT})) AS median FROM (SELECT {REASON} AS b FROM orders)")
+@query(
+    f"WITH s AS (SELECT count(*) AS t, count(*) FILTER (b = 'branch') AS br, count(*) FILTER (b = 'bot') AS bot, count(*) FILTER (b = 'tag') AS tag, count(*) FILTER (b = 'files') AS nomo, count(*) FILTER (b IS NULL) AS kept FROM (SELECT {REASON} AS b FROM orders)), f AS (SELECT (SELECT count(*) FROM lineitem) AS p, median(n)::DOUBLE AS m FROM ({PER_COMMIT})) "
+    'SELECT t AS "StepOneInputUniqueCommits", br AS "StepOneExcludedBranchesCount", round(100.0 * br / t, 9) AS "StepOneExcludedBranchesPct", bot AS "StepOneExcludedBotCount", round(100.0 * bot / t, 9) AS "StepOneExcludedBotPct", tag AS "StepOneExcludedPreVThreeCount", round(100.0 * tag / t, 9) AS "StepOneExcludedPreVThreePct", nomo AS "StepOneExcludedNoMoCount", round(100.0 * nomo / (nomo + kept), 9) AS "StepOneExcludedNoMoPct", '
+    't - kept AS "StepOneTotalExcludedCount", round(100.0 * (t - kept) / t, 9) AS "StepOneTotalExcludedPct", kept AS "TotalCommitsFiltered", p AS "StepOneCommitMoPairs", round(p::DOUBLE / kept, 9) AS "StepOneCommitMoPairsMean", m AS "StepOneCommitMoPairsMedian" FROM s, f'
+)
 def funnel_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run summary of the funnel; lines stand for touched files."""
     row = report.funnel_summary(commits(spark, sf_dir), classes(spark, sf_dir))
-    return row.select(F.col("StepOneInputUniqueCommits").alias("total"), F.col("TotalCommitsFiltered").alias("kept"), F.round("StepOneTotalExcludedPct", 9).alias("pct"), F.round("StepOneCommitMoPairsMean", 9).alias("mean"), F.col("StepOneCommitMoPairsMedian").alias("median"))
+    return row.withColumns({c: F.round(c, 9) for c in row.columns if c.endswith(("Pct", "Mean"))})
 
 
 @query(
