@@ -65,10 +65,15 @@ def ladder(first: DataFrame) -> list[DataFrame]:
 
 
 def _handed_down(labels: DataFrame, steps: list[DataFrame]) -> DataFrame:
-    """Labels at every commit that first parents lead to from one that has them."""
-    for step in steps:
+    """Labels at every commit that first parents lead to from one that has them.
+
+    Two strides go into one plan; what is written is read twice by the next.
+    """
+    for k, step in enumerate(steps):
         moved = labels.join(step, COMMIT).select("source_name", F.explode(F.slice("ways", 1, WAYS - 1)).alias("commit_hash"), "word", "bits")
-        labels = written(_combined(labels.unionByName(moved)), "labels")
+        labels = _combined(labels.unionByName(moved))
+        if k % 2 or k == len(steps) - 1:
+            labels = written(labels, "labels")
     return labels
 
 
