@@ -295,7 +295,7 @@ def test_stages_on_the_tables(spark, small):
         after = {(r["doc_id"], r["text"]) for r in docs.collect()}
         if name != "line_dedup":
             assert after <= before, name
-        if name == "simhash_near_dedup":
+        if name == "near_dedup":
             assert {k for k, _ in after} == brute_kept(sorted(before))
         sizes.append(docs.count())
     assert sizes[1] > 0.7 * sizes[0] and sizes[2] == sizes[1] >= sizes[3] >= sizes[4] > 0.5 * sizes[0]
