@@ -46,16 +46,25 @@ def _named(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _appended(numbers: Column, start: Column) -> Column:
+    """Sums up to each place of a few numbers, on top of ``start``."""
+    none = F.array().cast("array<int>")
+    return F.aggregate(numbers, none, lambda out, x: F.array_append(out, F.coalesce(F.get(out, F.size(out) - 1), start) + x))
+
+
 def _running(steps: Column) -> Column:
-    """Sums up to each place: within blocks, on top of the sums of the blocks before."""
+    """Sums up to each place: within blocks, on top of the sums of the blocks before.
 
-    def summed(own: Column) -> Column:
-        n = F.size(own)
-        totals = F.transform(_range(F.ceil(n / BLOCK).cast("int")), lambda b: _total(F.slice(own, b * BLOCK + 1, BLOCK)))
-        before = _named(totals, lambda t: F.transform(_range(F.size(t)), lambda b: _total(F.slice(t, 1, b))))
-        return _named(before, lambda start: F.transform(_range(n), lambda i: F.get(start, F.floor(i / BLOCK).cast("int")) + _total(F.slice(own, i - i % BLOCK + 1, i % BLOCK + 1))))
+    Within a block each sum is the one before and a step, so a place is visited once.
+    """
 
-    return _named(steps, summed)
+    def blocks(own: Column) -> Column:
+        starts = _range(F.ceil(F.size(own) / BLOCK).cast("int"))
+        totals = F.transform(starts, lambda b: _total(F.slice(own, b * BLOCK + 1, BLOCK)))
+        before = _named(totals, lambda t: F.transform(starts, lambda b: _total(F.slice(t, 1, b))))
+        return _named(before, lambda start: F.flatten(F.transform(starts, lambda b: _appended(F.slice(own, b * BLOCK + 1, BLOCK), F.get(start, b)))))
+
+    return _named(steps, lambda own: F.when(F.size(own) <= BLOCK, _appended(own, F.lit(0))).otherwise(blocks(own)))
 
 
 def mask_literals(text: Column) -> Column:
@@ -75,11 +84,14 @@ def _items(tokens: Column, depth: Column) -> Column:
     """Items between the first ``(`` and the place where the depth behind it is none again."""
     none = F.array().cast("array<string>")
     first = F.array_position(tokens, "(").cast("int")
-    # Before the first bracket only closing ones can have changed the depth.
-    level = F.get(depth, first - 1) - 1
-    behind = F.array_position(F.slice(depth, first + 1, F.size(depth)), level).cast("int")
-    body = F.slice(tokens, first + 1, behind - 1)
-    return F.when((first == 0) | (F.get(depth, first - 1).isNull()), none).when(behind == 0, none).otherwise(_named(body, _parts))
+
+    def inside(first: Column) -> Column:
+        # Before the first bracket only closing ones can have changed the depth.
+        level = F.get(depth, first - 1) - 1
+        behind = F.array_position(F.slice(depth, first + 1, F.size(depth)), level).cast("int")
+        return _named(behind, lambda n: F.when(n == 0, none).otherwise(_named(F.slice(tokens, first + 1, n - 1), _parts)))
+
+    return _named(first, lambda at: F.when((at == 0) | F.get(depth, at - 1).isNull(), none).otherwise(inside(at)))
 
 
 def _parts(body: Column) -> Column:
@@ -88,13 +100,16 @@ def _parts(body: Column) -> Column:
 
 
 def _cut(body: Column, depth: Column) -> Column:
-    places = F.sequence(F.lit(1), F.size(body))
-    commas = F.filter(F.when(F.size(body) > 0, places).otherwise(F.array().cast("array<int>")), lambda i: (F.get(body, i - 1) == ",") & (F.get(depth, i - 1) == 0))
-    ends = F.concat(commas, F.array(F.size(body) + 1))
-    starts = F.concat(F.array(F.lit(0)), commas)
-    parts = F.zip_with(starts, ends, lambda a, b: strip(F.array_join(F.slice(body, a + 1, b - a - 1), "")))
-    last = F.get(parts, F.size(parts) - 1)
-    return F.when(last == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    places = F.when(F.size(body) > 0, F.sequence(F.lit(1), F.size(body))).otherwise(F.array().cast("array<int>"))
+    commas = F.filter(places, lambda i: (F.get(body, i - 1) == ",") & (F.get(depth, i - 1) == 0))
+
+    def between(cuts: Column) -> Column:
+        return F.zip_with(F.concat(F.array(F.lit(0)), cuts), F.concat(cuts, F.array(F.size(body) + 1)), lambda a, b: strip(F.array_join(F.slice(body, a + 1, b - a - 1), "")))
+
+    def kept(parts: Column) -> Column:
+        return F.when(F.get(parts, F.size(parts) - 1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+    return _named(_named(commas, between), kept)
 
 
 def macro_of(line: str | None) -> tuple[str, str] | None:
@@ -125,12 +140,11 @@ def item_key(item: Column) -> Column:
 
 def non_semantic(key: Column) -> Column:
     """Whether an annotation has no effect: listed, or of another vendor."""
-    vendor = F.regexp_extract(key, VENDOR_KEY, 1)
-    return key.isin(NON_SEMANTIC) | ((vendor != "") & (vendor != OWN_VENDOR))
+    return key.isin(NON_SEMANTIC) | ~F.coalesce(F.nullif(F.regexp_extract(key, VENDOR_KEY, 1), F.lit("")), F.lit(OWN_VENDOR)).isin(OWN_VENDOR)
 
 
 def semantic_items(items: Column) -> Column:
-    return F.filter(items, lambda item: ~non_semantic(item_key(item)))
+    return F.filter(items, lambda item: ~_named(item_key(item), non_semantic))
 
 
 def clean_annotation(text: Column) -> Column:

@@ -46,6 +46,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt out evenly to a few tasks a core: a split of a file holds very
+    many short rows, and what is computed of each may take long."""
+    return rows.repartition(3 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as rows of the commit table; pending ones stand for excluded."""
     o = table(spark, sf_dir, "orders")
@@ -681,7 +687,7 @@ def annotation_items_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.transform(F.split("p_name", " "), lambda w: F.concat(F.lit("__V_"), w, F.lit(" = 1")))
     text = F.concat(F.lit("annotation("), F.array_join(words, ", "), F.lit(', experiment(a = {1, 2}, b = "x, \\") y"))'))
     items = annotation_items(text)
-    return table(spark, sf_dir, "part").select("p_partkey", items.alias("items")).select("p_partkey", F.size("items").cast("long").alias("n"), F.size(semantic_items(F.col("items"))).alias("kept"))
+    return spread(table(spark, sf_dir, "part")).select("p_partkey", items.alias("items")).select("p_partkey", F.size("items").cast("long").alias("n"), F.size(semantic_items(F.col("items"))).alias("kept"))
 
 
 @query(
@@ -691,7 +697,7 @@ def annotation_items_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 def annotation_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of annotation texts made of part names, those with an effect, and the text without its literals."""
     text = F.format_string('annotation(version="%s", experiment(StopTime=%s), __Other_%s = "a, b)", __OpenModelica_x = 1)', F.col("p_name"), F.col("p_size").cast("string"), F.col("p_partkey").cast("string"))
-    items = table(spark, sf_dir, "part").select("p_partkey", annotation_items(text).alias("items"), mask_literals(text).alias("masked"))
+    items = spread(table(spark, sf_dir, "part")).select("p_partkey", annotation_items(text).alias("items"), mask_literals(text).alias("masked"))
     return items.select("p_partkey", F.array_join("items", "|").alias("items"), F.array_join(semantic_items(F.col("items")), "|").alias("kept"), "masked")
 
 
