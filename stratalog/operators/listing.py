@@ -18,6 +18,8 @@ CLASS = [*COMMIT, "class_name"]
 UNKNOWN_FAILURE = "unknown_failure"
 #: Whitelists up to this many rows are sent to every task.
 WHITELIST_ROWS = 100_000
+#: Load targets, and paths of them, up to this many are sent to every task.
+TARGET_ROWS = 100_000
 
 
 def commit_counts(listing: DataFrame, keys: list[str] | None = None, flag: Column | None = None) -> DataFrame:
@@ -112,17 +114,27 @@ def load_plan(commits: DataFrame, sources: DataFrame, files: DataFrame, shared:
     use. Of a target's paths the first that is there is taken, in the commit's
     tree before the shared one. A target that has none is passed over, but the
     last one: its row stays, without a path (``load_problems``).
+
+    Targets are sent to every task if they are few (``TARGET_ROWS``): no row is
+    dealt out by its source or by a path, of which there may be few. What is dealt
+    out is a number for each hit, the place of its path among the target's.
     """
-    targets = sources.select(F.col("name").alias("source_name"), load_targets(F.col("package_file")).alias("targets"))
-    each = targets.select("source_name", F.size("targets").alias("n"), F.posexplode("targets").alias("place", "target"))
-    wanted = commits.select(*COMMIT).join(each, "source_name").select(*COMMIT, "place", "n", "target.package", F.posexplode_outer("target.paths").alias("rank", "path"))
-    own = wanted.join(files.select(*COMMIT, "path").distinct(), [*COMMIT, "path"], "left_semi").withColumn("base", F.lit(0))
-    found = own
+    targets = sources.select(F.col("name").alias("source_name"), load_targets(F.col("package_file")).alias("targets")).distinct()
+    each = targets.select("source_name", F.size("targets").alias("n"), F.xxhash64("targets").alias("listed"), F.posexplode("targets").alias("place", "target"))
+    each = each.select("source_name", "listed", "place", "n", "target.package", "target.paths")
+    ranked = each.select("source_name", "listed", "place", F.posexplode("paths").alias("rank", "path"))
+    few = ranked.limit(TARGET_ROWS + 1).count() <= TARGET_ROWS and each.limit(TARGET_ROWS + 1).count() <= TARGET_ROWS
+    sent = F.broadcast if few else lambda df: df
+    key = [*COMMIT, "listed", "place"]
+    common = F.lit(None).cast("int")
     if shared is not None:
-        found = own.unionByName(wanted.join(shared.select("path").distinct(), "path", "left_semi").withColumn("base", F.lit(1)))
-    best = found.groupBy(*COMMIT, "place").agg(F.min_by("path", F.struct("rank", "base")).alias("found"))
-    every = wanted.select(*COMMIT, "place", "n", "package").distinct().join(best, [*COMMIT, "place"], "left")
-    return every.filter("found is not null or place = n - 1").select(*COMMIT, "place", "package", F.col("found").alias("path"))
+        there = ranked.join(shared.select("path").distinct(), "path", "left_semi").groupBy("source_name", "listed", "place").agg((2 * F.min("rank") + 1).alias("common"))
+        each, common = each.join(there, ["source_name", "listed", "place"], "left"), F.col("common")
+    asked = commits.select(*COMMIT).join(sent(each.select("source_name", "listed", "place", common.alias("hit"))), "source_name").select(*key, F.when(F.col("commit_hash").isNotNull(), F.col("hit")).alias("hit"), F.lit(True).alias("asked"))
+    own = files.select(*COMMIT, "path").dropna().join(sent(ranked), ["source_name", "path"]).select(*key, (2 * F.col("rank")).alias("hit"), F.lit(False).alias("asked"))
+    best = asked.unionByName(own).groupBy(*key).agg(F.min("hit").alias("hit"), F.max("asked").alias("asked")).filter("asked")
+    named = best.join(sent(each.select("source_name", "listed", "place", "n", "package", "paths")), ["source_name", "listed", "place"])
+    return named.filter("hit is not null or place = n - 1").select(*COMMIT, "place", "package", F.get("paths", F.floor(F.col("hit") / 2).cast("int")).alias("path"))
 
 
 def load_problems(plan: DataFrame) -> DataFrame:

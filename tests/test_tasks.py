@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratalog import queries
 from stratalog.functions import parsing
+from stratalog.operators import listing
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -20,3 +21,12 @@ def test_parsing_is_dealt_out(spark, name):
 def test_parts_of_an_annotation_are_computed_once(spark):
     plan = spark.createDataFrame([("(a, b)",)], "v string").select(parsing.annotation_items(F.col("v")).alias("items"))
     assert plan._jdf.queryExecution().analyzed().toString().count("zip_with") == 1
+
+
+def test_load_plan_sorts_no_paths(spark):
+    commits = spark.range(100).selectExpr("'S' as source_name", "cast(id as string) as commit_hash")
+    files = commits.selectExpr("source_name", "commit_hash", "'a.mo' as path").filter("commit_hash < '5'")
+    sources = spark.createDataFrame([("S", "P=b.mo,a.mo")], "name string, package_file string")
+    plan = listing.load_plan(commits, sources, files, spark.createDataFrame([("b.mo",)], "path string"))
+    assert "SortAggregate" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert {r["path"] for r in plan.collect()} == {"b.mo"} and plan.count() == 100
