@@ -46,6 +46,8 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five-word shingles, Jaccard of 0.8 or more.
 
+    SimHash links come first, each verified; what lies further apart is found exactly.
+
     The one with the least id stays, null ids last; of rows with that id the one
     with the least hash; repeated rows are copies. Null and wordless texts are
     copies of each other; very long texts are compared whole; an empty table

@@ -1,4 +1,9 @@
-"""Near copies by the Jaccard similarity of word shingles, without loss.
+"""Near copies by SimHash and the Jaccard similarity of word shingles, without loss.
+
+First fingerprints of the shingle sets are linked as ``simhash`` does it, and each
+of these links is verified on the whole sets. Similar sets whose fingerprints lie
+further apart are found exactly, and only pairs that are not connected by then are
+decided:
 
 If two sets have similarity t, each lacks less than a share 1 - t of itself, so
 under any fixed order of all shingles their first n - ceil(t n) + 1 members
@@ -33,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import checked_broadcast, free_shuffles, row_key, short_batches, shuffle_partitions, stored
 from .components import connected_components
-from .simhash import keep_stayers
+from .simhash import keep_stayers, majority, near_links
 
 SHINGLE_WORDS = 5
 MIN_SIMILARITY = 0.8
@@ -162,31 +167,32 @@ def pivot_table(members: np.ndarray) -> bytes:
 
 
 def prefixes(rows: DataFrame, similarity: float) -> DataFrame:
-    """(row_key, doc_id, node, n, skipped, prefix, pivots): node is a hash of the whole
-    set, n its size; ``prefix`` lacks the ``skipped`` first members, which no other row has."""
+    """(row_key, doc_id, node, fp, n, skipped, prefix, pivots): node is a hash of the whole
+    set, fp its SimHash, n its size; ``prefix`` lacks the ``skipped`` first members, which no other row has."""
     order = rows.sparkSession.sparkContext.broadcast(rarity(stored(repeated(rows), "repeated")))
     free_shuffles(rows.sparkSession)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, known, counts = order.value
         for batch in batches:
-            nodes, sizes, skipped, firsts, tables = [], [], [], [], []
+            nodes, prints, sizes, skipped, firsts, tables = [], [], [], [], [], []
             for text in (x.as_py() for x in batch.column("text")):
                 members = shingle_set(text)
                 rank = ranks(members, table, known, counts)
                 first = np.argsort(rank, kind="stable")[: prefix_size(len(members), similarity)]
                 alone = int((rank[first] == 0).sum())
                 nodes.append(xxhash.xxh64_intdigest(members.tobytes()))
+                prints.append(majority(members))
                 sizes.append(len(members))
                 skipped.append(alone)
                 tables.append(pivot_table(members))
                 firsts.append(members[first[alone:]])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row_key"), batch.column("doc_id"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(skipped, pa.int32()), _lists(firsts), pa.array(tables, pa.binary())],
-                names=["row_key", "doc_id", "node", "n", "skipped", "prefix", "pivots"],
+                [batch.column("row_key"), batch.column("doc_id"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(skipped, pa.int32()), _lists(firsts), pa.array(tables, pa.binary())],
+                names=["row_key", "doc_id", "node", "fp", "n", "skipped", "prefix", "pivots"],
             )
 
-    return rows.select("row_key", "doc_id", "text").mapInArrow(made, f"row_key string, doc_id {rows.schema['doc_id'].dataType.simpleString()}, node long, n int, skipped int, prefix array<long>, pivots binary")
+    return rows.select("row_key", "doc_id", "text").mapInArrow(made, f"row_key string, doc_id {rows.schema['doc_id'].dataType.simpleString()}, node long, fp long, n int, skipped int, prefix array<long>, pivots binary")
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -426,13 +432,36 @@ def verified_links(met: DataFrame, nodes: DataFrame, texts: DataFrame, similarit
     first = stored(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v", F.lit(None).cast("long").alias("bucket")), "first")
     links = stored(links.unionByName(pair_links(first, sets, similarity)), "links")
     free_shuffles(met.sparkSession)
-    roots = connected_components(links)
-    top = [checked_broadcast(stored(roots.select(F.col("node").alias(c), F.col("root").alias(f"top_{c}")), "tops")) for c in ("u", "v")]
-    apart = pairs.join(first, ["u", "v"], "left_anti").join(top[0], "u", "left").join(top[1], "v", "left")
-    apart = stored(apart.filter(F.coalesce("top_u", "u") != F.coalesce("top_v", "v")).select("u", "v", "bucket"), "apart")
+    apart = stored(unconnected(pairs.join(first, ["u", "v"], "left_anti"), links).select("u", "v", "bucket"), "apart")
     return links.unionByName(pair_links(apart, sets, similarity))
 
 
+def sketched_links(nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(u, v) links between sets whose SimHash fingerprints ``near_links`` connects,
+    verified on the whole sets.
+
+    Of sets with one fingerprint one stands for all: the others are paired with it,
+    and it with those of near fingerprints.
+    """
+    heads = stored(nodes.groupBy("fp").agg(F.min("node").alias("head")), "fingerprints")
+    mine, other = (heads.select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}")) for c in ("u", "v"))
+    across = near_links(heads.select("fp")).join(mine, "u").join(other, "v").select(F.col("head_u").alias("a"), F.col("head_v").alias("b"))
+    within = nodes.join(heads, "fp").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    pairs = across.unionByName(within).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    pairs = stored(possible_pairs(pairs, nodes, similarity), "sketched")
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    keys = checked_broadcast(stored(ends.join(nodes, "node").select("node", "first.row_key"), "sketched_keys"))
+    sets = stored(_sets(texts.join(keys, "row_key"), "node"), "sketched_sets")
+    return stored(pair_links(pairs.withColumn("bucket", F.lit(None).cast("long")), sets, similarity).distinct(), "sketched_links")
+
+
+def unconnected(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose ends the links don't connect."""
+    roots = connected_components(links)
+    u, v = (checked_broadcast(stored(roots.select(F.col("node").alias(c), F.col("root").alias(f"top_{c}")), "tops")) for c in ("u", "v"))
+    return pairs.join(u, "u", "left").join(v, "v", "left").filter(F.coalesce("top_u", "u") != F.coalesce("top_v", "v")).select(pairs.columns)
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = MIN_SIMILARITY) -> DataFrame:
     """All columns of one document of each group that links of at least
     ``similarity`` connect: the one with the least id, null ids last, and of
@@ -446,14 +475,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     with short_batches(docs.sparkSession):
         prints = stored(prefixes(rows, similarity), "prefixes")
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first")
-        nodes = stored(prints.groupBy("node").agg(first, F.count("*").alias("count"), *[F.first(c).alias(c) for c in ("n", "skipped", "prefix", "pivots")]), "nodes")
+        nodes = stored(prints.groupBy("node").agg(first, F.count("*").alias("count"), *[F.first(c).alias(c) for c in ("fp", "n", "skipped", "prefix", "pivots")]), "nodes")
+        sketched = sketched_links(nodes, rows.select("row_key", "text"), similarity)
+        free_shuffles(docs.sparkSession)
         met = stored(meetings(nodes, similarity), "meetings")
         free_shuffles(docs.sparkSession)
-        pairs = possible_pairs(met.filter("bucket is null").select("u", "v"), nodes, similarity)
+        pairs = possible_pairs(unconnected(met.filter("bucket is null").select("u", "v"), sketched), nodes, similarity)
         met = stored(pairs.withColumn("bucket", F.lit(None).cast("long")).unionByName(met.filter("bucket is not null")), "possible")
         free_shuffles(docs.sparkSession)
         links = verified_links(met, nodes.select("node", "n", "first.row_key"), rows.select("row_key", "text"), similarity)
-        roots = connected_components(links)
+        roots = connected_components(links.unionByName(sketched))
         labelled = nodes.select("node", "first", "count").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         groups = labelled.groupBy("root").agg(F.min("first").alias("first"), F.sum("count").alias("count"))
     several = stored(labelled.select("node", "root").join(groups.filter("count > 1"), "root").select("node", "first"), "several")

@@ -38,6 +38,15 @@ REFINED = 2048
 REFERENCES = [xxhash.xxh64_intdigest(f"pivot {k}".encode()) for k in range(PIVOTS)]
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the 64-bit hashes."""
+    ones = np.zeros(64, dtype=np.int64)
+    for k in range(0, len(hashes), CHUNK):
+        bits = np.unpackbits(hashes[k : k + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return sum(1 << k for k in np.flatnonzero(2 * ones > len(hashes)).tolist())
+
+
 def simhash(text: str) -> int:
     """64-bit fingerprint of a whole text as an unsigned number.
 
@@ -56,11 +65,7 @@ def simhash(text: str) -> int:
     last = ends[width - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(line[a:b], HASH_SEED) for a, b in zip(first, last, strict=True)], dtype="<u8")
-    ones = np.zeros(64, dtype=np.int64)
-    for k in range(0, len(hashes), CHUNK):
-        bits = np.unpackbits(hashes[k : k + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return sum(1 << k for k in np.flatnonzero(2 * ones > len(hashes)).tolist())
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

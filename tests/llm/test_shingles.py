@@ -102,3 +102,21 @@ def test_order_is_that_of_all_rows(spark, monkeypatch):
     monkeypatch.setattr(shingles, "TABLE_BITS", 6)
     monkeypatch.setattr(shingles, "COMMON", 3)
     assert sorted(r["doc_id"] for r in shingles.keep_one(docs.select("doc_id", "text")).collect()) == sorted(brute_kept(rows))
+
+
+def test_simhash_links_come_first_and_are_verified(spark, monkeypatch):
+    base = [f"w{k}" for k in range(400)]
+    texts = [" ".join(base), " ".join([*base, "end"]), "one two three four five six", "one two three four five seven", "one two three four five six"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = []
+    plain = shingles.near_links
+
+    def seen(nodes, *more):
+        asked.append(nodes.count())
+        # Links that bits alone would make of all fingerprints.
+        return nodes.crossJoin(nodes.selectExpr("fp as v")).selectExpr("fp as u", "v").filter("u < v") if len(asked) == 2 else plain(nodes, *more)
+
+    monkeypatch.setattr(shingles, "near_links", seen)
+    for _ in range(2):
+        assert sorted(r["doc_id"] for r in shingles.keep_one(docs).collect()) == [0, 2, 3]
+    assert asked == [3, 3]  # the two long texts have one fingerprint
