@@ -75,6 +75,24 @@ def test_rounds_are_logarithmic(spark):
         ancestry.reach(spark.createDataFrame([("S", "b", "1")], REFS), spark.createDataFrame([("S", "1", "2", 0), ("S", "2", "1", 0)], PARENTS))
 
 
+def test_rounds_do_not_write_all_commits_anew(spark, monkeypatch):
+    """Five merges on the way from one line to the last, with lines whose commits are joined in turns."""
+    n, rows = 400, [0]
+
+    def counting(df, name, written=ancestry.written):
+        held = written(df, name)
+        rows[0] += held.count() if name in ("labels", "entered", "fresh", "known") else 0
+        return held
+
+    monkeypatch.setattr(ancestry, "FEW_LINKS", 100, raising=False)
+    monkeypatch.setattr(ancestry, "written", counting)
+    parents = [("S", str(c), str(c - 8), 0) for c in range(8, n)] + [("S", str(n - 1 - 21 * k), str(n - 14 - 21 * k), 1) for k in range(5)]
+    parents += [("S", f"side {k}", str(40 * k), 0) for k in range(3)]
+    refs = [("S", "tip", str(n - 1)), ("S", "inner", "200"), ("S", "side", "side 2")]
+    assert reached(spark, refs, parents) == brute_reach(refs, parents)
+    assert rows[0] < n
+
+
 def test_reach_of_nothing_and_funnel_form(spark):
     assert reached(spark, [], []) == set()
     assert reached(spark, [("S", "b", "1")], []) == {("S", "1", "b")}
