@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from ..scratch import written
 
 COMMIT = ["source_name", "commit_hash"]
+#: The same for keys that are sorted: sorting looks at the first eight bytes of the
+#: first column before all else, which the same source has in every row.
+SORTED = ["commit_hash", "source_name"]
 CHANGE = [*COMMIT, "status", "a_path", "b_path", "similarity"]
 #: Least share of common lines of a rename, in hundredths, and lines of a file's sketch.
 RENAME_SHARE = 50
@@ -25,44 +28,49 @@ def path_changes(trees: DataFrame, parents: DataFrame) -> DataFrame:
 
     trees: (source_name, commit_hash, path, blob); parents as in ``ancestry``.
     A commit without a parent, or with one that has no tree, adds all its paths.
-    Keys are (commit, path), so that no commit lands in one task.
+    Keys are (commit, path), so that no commit lands in one task. Both sides are
+    aggregated in one shuffle, where repeated rows fall together.
     """
     first = parents.filter("place = 0 and parent_hash is not null").select(*COMMIT, "parent_hash").distinct()
-    old = trees.withColumnRenamed("commit_hash", "parent_hash").join(first, ["source_name", "parent_hash"])
-    a = old.select(*COMMIT, "path", F.col("blob").alias("a_blob"), F.lit(True).alias("was"))
-    b = trees.select(*COMMIT, "path", F.col("blob").alias("b_blob"), F.lit(True).alias("is"))
-    both = a.join(b, [*COMMIT, "path"], "full_outer").filter(~F.col("a_blob").eqNullSafe(F.col("b_blob")) | F.col("was").isNull() | F.col("is").isNull())
+    old = trees.withColumnRenamed("commit_hash", "parent_hash").join(first, ["parent_hash", "source_name"])
+    sides = old.select(*COMMIT, "path", "blob", F.lit(1).alias("side")).unionByName(trees.select(*COMMIT, "path", "blob", F.lit(2).alias("side")))
+    keys = [*SORTED, "path"]
+    blob = [F.max(F.when(F.col("side") == side, F.col("blob"))).alias(name) for side, name in ((1, "a_blob"), (2, "b_blob"))]
+    both = sides.repartition(*keys).groupBy(*keys).agg(F.bit_or("side").alias("sides"), *blob).filter((F.col("sides") < 3) | ~F.col("a_blob").eqNullSafe(F.col("b_blob")))
     # A commit without rows of its own has deleted all its parent's paths, if it is known at all.
-    return both.select(*COMMIT, F.when(F.col("was"), F.col("path")).alias("a_path"), F.when(F.col("is"), F.col("path")).alias("b_path"), "a_blob", "b_blob")
+    return both.select(*COMMIT, F.when(F.col("sides") != 2, F.col("path")).alias("a_path"), F.when(F.col("sides") != 1, F.col("path")).alias("b_path"), "a_blob", "b_blob")
 
 
 def file_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
-def _paired(gone: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of deleted and added paths with equal keys: the first with the first by path, and so on."""
-    place = lambda path: F.row_number().over(Window.partitionBy(*keys).orderBy(path))
-    return gone.withColumn("place", place("a_path")).join(new.withColumn("place", place("b_path")), [*keys, "place"]).select(*COMMIT, "a_path", "b_path")
+def exact_renames(found: DataFrame) -> DataFrame:
+    """(source_name, commit_hash, a_path, b_path, blob): paths that are on one side only,
+    in pairs of equal blobs where there are any; a path is in one row.
+
+    found: rows of ``path_changes``. Files that kept their name are paired first,
+    the first with the first by path, then the others. Null blobs are in no pair.
+    Rows are dealt out once, by commit and blob.
+    """
+    one = found.filter("a_path is null or b_path is null").select(*COMMIT, F.coalesce("a_path", "b_path").alias("path"), F.coalesce("a_blob", "b_blob").alias("blob"), F.col("b_path").isNotNull().alias("new"))
+    alike = F.when(F.col("blob").isNull(), F.concat(F.lit("p"), "path")).otherwise(F.concat(F.lit("b"), "blob"))  # a path without a blob stands alone
+    keys = [*SORTED, "alike"]
+    named = one.withColumn("alike", alike).repartition(*keys).withColumn("name", file_name(F.col("path")))
+    place = F.row_number().over(Window.partitionBy(*keys, "name", "new").orderBy("path"))
+    n = [F.count(F.when(F.col("new") == side, 1)).over(Window.partitionBy(*keys, "name")) for side in (False, True)]
+    # Pairs keep name and place; of what is left, whatever its name, the first new one meets the first deleted one.
+    told = named.withColumn("place", place).withColumn("kept", F.col("place") <= F.least(*n))
+    again = F.row_number().over(Window.partitionBy(*keys, "kept", "new").orderBy("path"))
+    met = told.withColumn("pair", F.when(F.col("kept"), F.col("name"))).withColumn("at", F.when(F.col("kept"), F.col("place")).otherwise(again))
+    sides = [F.max(F.when(F.col("new") == side, F.col("path"))).alias(name) for side, name in ((False, "a_path"), (True, "b_path"))]
+    return met.groupBy(*keys, "pair", "at").agg(*sides, F.max("blob").alias("blob")).drop("alike", "pair", "at")
 
 
 def _without(rows: DataFrame, pairs: DataFrame, path: str) -> DataFrame:
     return rows.join(pairs.select(*COMMIT, path), [*COMMIT, path], "left_anti")
 
 
-def exact_renames(gone: DataFrame, new: DataFrame) -> DataFrame:
-    """Pairs (source_name, commit_hash, a_path, b_path) of equal blobs; a path is in one at most.
-
-    gone: (source_name, commit_hash, a_path, blob), new: (..., b_path, blob).
-    Files that kept their name are paired first. Null blobs are in no pair.
-    """
-    a = gone.withColumn("name", file_name(F.col("a_path"))).dropna(subset=["blob"])
-    b = new.withColumn("name", file_name(F.col("b_path"))).dropna(subset=["blob"])
-    moved = written(_paired(a, b, [*COMMIT, "blob", "name"]), "moved")
-    rest = _paired(_without(a, moved, "a_path"), _without(b, moved, "b_path"), [*COMMIT, "blob"])
-    return moved.unionByName(rest)
-
-
 def sketch(text: Column, lines: int = SKETCH_LINES) -> Column:
     """The least hashes of a text's distinct lines: all of them where there are few."""
     hashes = F.array_distinct(F.transform(F.split(text, "\n", -1), lambda line: F.xxhash64(line)))
@@ -126,25 +134,19 @@ def changes(trees: DataFrame, parents: DataFrame, texts: DataFrame | None = None
     only equal blobs are renames; of long texts the ``SKETCH_LINES`` least line
     hashes stand for all. Repeated tree rows are one; an empty tree gives nothing.
     """
-    found = written(path_changes(trees, parents).distinct(), "changes")
-    gone = found.filter("b_path is null").select(*COMMIT, "a_path", F.col("a_blob").alias("blob"))
-    new = found.filter("a_path is null").select(*COMMIT, "b_path", F.col("b_blob").alias("blob"))
-    renames = written(exact_renames(gone, new).withColumn("similarity", F.lit(100)), "renames")
-    gone, new = _without(gone, renames, "a_path"), _without(new, renames, "b_path")
-    if texts is not None:
+    found = written(path_changes(trees, parents), "changes")
+    exact = F.when(F.col("a_path").isNotNull() & F.col("b_path").isNotNull(), 100).alias("similarity")
+    single = exact_renames(found)
+    if texts is None:
+        single = single.select(*COMMIT, "a_path", "b_path", exact)
+    else:
+        single = written(single, "renames")
+        gone = single.filter("b_path is null").select(*COMMIT, "a_path", "blob")
+        new = single.filter("a_path is null").select(*COMMIT, "b_path", "blob")
         sketches = texts.select("blob", sketch(F.col("text")).alias("sketch"))
         similar = similar_pairs(*[written(side.join(sketches, "blob").drop("blob"), "sketches") for side in (gone, new)], share)
         likely = matched(similar)
-        gone, new, renames = _without(gone, likely, "a_path"), _without(new, likely, "b_path"), renames.unionByName(likely)
-    none = F.lit(None).cast("int").alias("similarity")
-    path = F.lit(None).cast("string")
-    kinds = (
-        found.filter("a_path is not null and b_path is not null").select(*COMMIT, F.lit("M").alias("status"), "a_path", "b_path", none),
-        gone.select(*COMMIT, F.lit("D").alias("status"), "a_path", path.alias("b_path"), none),
-        new.select(*COMMIT, F.lit("A").alias("status"), path.alias("a_path"), "b_path", none),
-        renames.select(*COMMIT, F.lit("R").alias("status"), "a_path", "b_path", "similarity"),
-    )
-    out = kinds[0]
-    for more in kinds[1:]:
-        out = out.unionByName(more)
-    return out.select(CHANGE)
+        single = _without(_without(single, likely, "a_path"), likely, "b_path").select(*COMMIT, "a_path", "b_path", exact).unionByName(likely)
+    status = F.when(F.col("a_path").isNull(), "A").when(F.col("b_path").isNull(), "D").otherwise("R")
+    changed = found.filter("a_path is not null and b_path is not null")
+    return changed.select(*COMMIT, F.lit("M").alias("status"), "a_path", "b_path", F.lit(None).cast("int").alias("similarity")).unionByName(single.withColumn("status", status)).select(CHANGE)

@@ -212,6 +212,24 @@ def test_lines_that_all_files_share_bring_no_pairs_together(spark):
     assert snapshots.similar_pairs(gone, new).count() == 40
 
 
+def test_paths_are_dealt_out_once_for_changes_and_once_for_renames(spark, monkeypatch):
+    plans = []
+
+    def shuffles(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+
+    def looking(df, name, written=snapshots.written):
+        shuffles(df)
+        return written(df, name)
+
+    monkeypatch.setattr(snapshots, "written", looking)
+    trees = [("S", "1", "a/x", "b"), ("S", "1", "a/y", "b"), ("S", "1", "z", "b"), ("S", "2", "c/y", "b"), ("S", "2", "d", "b"), ("S", "2", "z", None)]
+    found = snapshots.changes(spark.createDataFrame(trees, TREES), spark.createDataFrame([("S", "2", "1", 0)], PARENTS))
+    shuffles(found)
+    assert {tuple(r)[1:] for r in found.filter("commit_hash = '2'").collect()} == {("2", "M", "z", "z", None), ("2", "R", "a/y", "c/y", 100), ("2", "R", "a/x", "d", 100)}
+    assert sum(plans) <= 5  # parents, both sides of their join with trees, changes, renames
+
+
 def test_changes_of_nothing(spark):
     assert told(spark, [], []) == set()
     assert told(spark, [("S", "c", "p", "b")], []) == {("S", "c", "A", None, "p", None)}
