@@ -25,10 +25,21 @@ def latest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return df.groupBy(*keys).agg(newest).select(*[F.col(c) if c in keys else F.col(f"row.{c}").alias(c) for c in df.columns])
 
 
+def telling_first(keys: list[str]) -> list[str]:
+    """Keys with the source last, as it tells few rows apart: sorting begins with the first."""
+    return sorted(keys, key=lambda k: k == "source_name")
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` take the place of rows of ``old`` with the same key."""
+    """Rows of ``new`` take the place of rows of ``old`` with the same key.
+
+    Columns are picked one by one, all by the same rank and so from the same row:
+    a table of numbers is then hashed and not sorted.
+    """
     ranked = old.withColumn("__rank", F.lit(0)).unionByName(new.withColumn("__rank", F.lit(1)))
-    return latest(ranked, keys, "__rank").drop("__rank")
+    rest = [c for c in old.columns if c not in keys]
+    grouped = ranked.groupBy(*telling_first(keys))
+    return (grouped.agg(*[F.max_by(c, "__rank").alias(c) for c in rest]) if rest else ranked.select(*keys).distinct()).select(old.columns)
 
 
 def insert_absent(old: DataFrame, seeds: DataFrame, keys: list[str]) -> DataFrame:
@@ -37,7 +48,7 @@ def insert_absent(old: DataFrame, seeds: DataFrame, keys: list[str]) -> DataFram
 
 
 def delete_keys(old: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
-    return old.join(gone.select(*keys).distinct(), keys, "left_anti").select(old.columns)
+    return old.join(gone.select(*keys).distinct(), telling_first(keys), "left_anti").select(old.columns)
 
 
 @dataclass(frozen=True)
@@ -119,7 +130,10 @@ class Transaction:
         old = self.read(name)
         if not self.store._split(name):
             return self._replace(name, delete_keys(old, gone, keys), None)
-        touched = self._groups(name, old.join(gone.select(*keys).distinct(), keys, "left_semi").select(old.columns))
+        if set(KEYS[name]) <= set(keys):
+            touched = self._groups(name, conform(gone.select(*keys), T.StructType([f for f in TABLES[name] if f.name in keys])))
+        else:  # parts are known from the stored rows only
+            touched = self._groups(name, old.join(gone.select(*keys).distinct(), keys, "left_semi").select(old.columns))
         return self._replace(name, delete_keys(self._in(name, touched), gone, keys), touched)
 
     def _groups(self, name: str, rows: DataFrame) -> set[tuple[str, int]]:

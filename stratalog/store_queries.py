@@ -16,7 +16,7 @@ from .operators import ancestry, distinct, funnel, history, listing, report, sna
 from .operators.upsert import Store
 from .queries import classes, commits, outcome_rows, query, table, versions_history
 from .schemas import KEYS
-from .scratch import shared_folder
+from .scratch import shared_folder, written
 from .sources import readers
 
 
@@ -74,7 +74,7 @@ def store_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table of the store after an upsert, one that replaces, a delete, and a source replaced by less."""
     lines, store, keys = table(spark, sf_dir, "lineitem"), new_store(spark), KEYS["files"]
     key = [F.col("l_returnflag").alias("source_name"), F.col("l_orderkey").cast("string").alias("commit_hash"), F.col("l_linenumber").cast("string").alias("mo_file_path")]
-    rows = lines.groupBy(*key).agg(F.max((F.col("l_linestatus") == "O").cast("int")).alias("open"))
+    rows = written(lines.groupBy(*key).agg(F.max((F.col("l_linestatus") == "O").cast("int")).alias("open")), "rows")  # read by all changes
     store.upsert("files", rows.withColumn("is_baseline", F.lit(0)), keys)
     opened = rows.filter("open = 1").withColumn("is_baseline", F.lit(1))
     store.upsert("files", opened, keys)

@@ -185,3 +185,26 @@ def test_parts_follow_the_rows(spark, store, monkeypatch):
     assert sum("=U/" in p for p in store.snapshot().tables["files"]) <= 8
     store.replace_sources("files", files(spark), ["U"])
     assert held(store) == [("S", "a", "p", 0), ("T", "b", "q", 0)]
+
+
+def test_keyed_writes_of_numbers_are_hashed_and_deletes_look_at_no_stored_row(spark, store, monkeypatch):
+    plans, add = [], Transaction._add
+
+    def looking(self, name, rows):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return add(self, name, rows)
+
+    def count(self, name, rows, groups=Transaction._groups):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return groups(self, name, rows)
+
+    monkeypatch.setattr(Transaction, "_add", looking)
+    monkeypatch.setattr(Transaction, "_groups", count)
+    store.upsert("files", files(spark, ("S", "a", "p", 1), ("S", None, "p", 2), ("T", "new", "q", None)), KEY)
+    assert not any("SortAggregate" in p for p in plans)
+    plans.clear()
+    store.delete("files", files(spark, ("T", "b", "q", 0), ("T", "absent", "q", 0), ("S", None, "p", 2)), KEY)
+    assert "parquet" not in plans[0].lower()
+    assert {tuple(r) for r in store.read("files").collect()} == {("S", "a", "p", 1), ("S", None, "p", 2), ("T", "new", "q", None)}  # no key equals a null
+    store.delete("files", spark.createDataFrame([("S",)], "source_name string"), ["source_name"])
+    assert held(store) == [("T", "new", "q", None)]
