@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.llm import decontamination, line_dedup, packing, shingles, toxicity
-from stratalog.llm.common import free_name, stored, without_rows
+from stratalog.llm.common import free_name, short_batches, stored, without_rows
 
 #: A source stands for a site: lines on more than this share of its documents
 #: go, if so many documents at least hold them.
@@ -27,7 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gives none; further columns come through, whatever their names.
     """
     model = toxicity.fit_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.filter(toxicity.toxicity(model, docs["text"]) < 0.5)
+    with short_batches(spark):
+        return stored(docs.filter(toxicity.toxicity(model, docs["text"]) < 0.5), "ordinary")
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

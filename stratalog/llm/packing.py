@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, plain, stored
+from .common import checked_broadcast, plain, short_batches, stored
 from .tokenizing import default_vocabulary, token_ids
 
 #: Most common unfilled lengths from which patterns of three are enumerated.
@@ -113,7 +113,8 @@ def tokenise(docs: DataFrame, window: int, vocabulary: str, id_col: str, text_co
             names = ["task", "row", "doc_tokens", "chunks", "chunks_before", "chunk_crcs", "tail", "tail_before", "tail_crc", "tail_ids"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(out, types, strict=True)]], names=["doc_id", *names])
 
-    return stored(rows.mapInArrow(made, TOKENS.format(id=id_type)), "tokens")
+    with short_batches(docs.sparkSession):
+        return stored(rows.mapInArrow(made, TOKENS.format(id=id_type)), "tokens")
 
 
 PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

@@ -35,6 +35,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import short_batches, stored
+
 #: Labelled rows of each class that dictionaries and calibration are fitted on
 #: at most, and the longest text among them in bytes. Scores read whole texts.
 SAMPLE_TOXIC = 1500
@@ -271,4 +273,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """
     model = fit_documents(docs, labels, id_col, text_col)
     scored = docs.select(docs[id_col].alias("doc_id"), held_out(docs[id_col]).alias("held_out"), toxicity(model, docs[text_col]).alias("score"))
+    with short_batches(docs.sparkSession):
+        scored = stored(scored, "scores")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

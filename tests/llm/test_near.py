@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from test_shingles import brute_kept
 
-from stratalog.llm import components, decontamination, line_dedup, simhash, toxicity
+from stratalog.llm import common, components, decontamination, line_dedup, packing, simhash, toxicity
 
 
 def brute_simhash(text):
@@ -311,3 +311,25 @@ def test_stages_on_awkward_rows(spark, small, which, request):
         out = stage(spark, docs, small)
         assert out.columns == docs.columns and out.count() <= docs.count(), name
     assert corpus_pipeline.pack_windows(spark, docs, small).count() >= docs.select("doc_id").count()
+
+
+def test_texts_go_to_python_in_short_batches(spark, small, monkeypatch):
+    """What scores and tokenises texts is run within the stage, a few rows a batch."""
+    name, held = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(name)
+
+    def noted(df, table):
+        held.append((table, int(spark.conf.get(name))))
+        return common.stored(df, table)
+
+    for module in (corpus_pipeline, toxicity, packing):
+        monkeypatch.setattr(module, "stored", noted, raising=False)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    kept = corpus_pipeline.drop_toxic(spark, docs, small)
+    scores = toxicity.score_documents(docs, spark.read.parquet(f"{small}/labels.parquet"))
+    packing.tokenise(docs, 1024, packing.default_vocabulary(), "doc_id", "text")
+    assert [table for table, _ in held] == ["ordinary", "scores", "tokens"]
+    assert all(rows <= common.BATCH_ROWS for _, rows in held) and spark.conf.get(name) == before
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (kept, scores)]
+    assert not any("Python" in plan for plan in plans)
+    assert kept.count() == scores.filter("score < 0.5").count()
